@@ -1,45 +1,13 @@
-"""Shared plumbing: tables in the cluster's shared folder, connected components."""
+"""Connected components; tables in the cluster's shared folder come from the session helpers."""
 
 from __future__ import annotations
 
-import re
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import scratch, stash
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only a purely local session may leave it unset; it then gets /tmp/checkpoints.
-    """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    return "file:///tmp/checkpoints"
-
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's JVM exits."""
-    path = f"{shared_dir(spark)}/segspark-{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
-
-
-def stash(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write df as Parquet in the shared folder and return the written table.
-
-    Cuts lineage: a lost executor costs no recomputation of what came before, and
-    later plans see the table's true size when they choose a join.
-    """
-    spark = df.sparkSession
-    path = scratch(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["components", "scratch", "stash"]
 
 
 def _signature(edges: DataFrame) -> tuple:
