@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import components, stash
@@ -19,33 +19,35 @@ BITS = 64
 BLOCK = 2048
 
 
-def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
-    """SimHash of the text's word shingles: bit k is 1 if set in over half of their XXH64 values.
+def fingerprint(text: str | bytes | None, shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
+    """SimHashes of the text's word shingles, one per seed: bit k is 1 if set in over half of their XXH64 values.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A text of fewer words than a shingle is one
     shingle; one without words (or null) has fingerprint 0.
     """
     words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
     if not words:
-        return 0
+        return [0] * len(seeds)
     runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    digest, join = xxhash.xxh64_intdigest, b" ".join
-    hashes = np.array([digest(join(run), SEED) for run in runs], dtype="<u8")
-    ones = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(hashes), 8192):
-        ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    shingles, digest, out = [b" ".join(run) for run in runs], xxhash.xxh64_intdigest, []
+    for seed in seeds:
+        hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
+        ones = np.zeros(BITS, dtype=np.int64)
+        for i in range(0, len(hashes), 8192):
+            ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
+    return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
-    """(doc_id, fingerprint bigint holding the 64 bits) per row; other columns are ignored."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """(doc_id, fingerprint array<bigint> of 64 bits per seed) per row; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(values)], names=["doc_id", "fingerprint"])
+            values = np.array([fingerprint(x.as_py(), shingle, seeds) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(values.reshape(-1, len(seeds)).tolist(), pa.list_(pa.int64()))], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fingerprint long")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fingerprint array<long>")
 
 
 def covering_masks(radius: int, seed: int = 7) -> list[int]:
@@ -61,16 +63,16 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
     return [sum(1 << i for i, label in enumerate(labels) if (label & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
-def _links(a: np.ndarray, radius: int, split: int | None = None) -> Iterator[tuple[int, int]]:
-    """Edges that connect exactly what pairs within the radius connect among a (across a[:split] and a[split:] if given).
+def _links(values: np.ndarray, most: int, split: int | None = None) -> Iterator[tuple[int, int]]:
+    """Edges between positions that connect exactly what pairs of at most most differing bits connect (between values[:split] and values[split:] if given).
 
     Each value looks once at the values that nothing has reached yet, so there are fewer edges than values.
     """
-    side = np.zeros(len(a), dtype=bool)
+    side = np.zeros(len(values), dtype=bool)
     if split is not None:
         side[split:] = True
-    left = np.ones(len(a), dtype=bool)
-    for start in range(len(a)):
+    left = np.ones(len(values), dtype=bool)
+    for start in range(len(values)):
         if not left[start]:
             continue
         left[start] = False
@@ -78,94 +80,104 @@ def _links(a: np.ndarray, radius: int, split: int | None = None) -> Iterator[tup
         while todo:
             at = todo.pop()
             rest = np.flatnonzero(left if split is None else left & (side != side[at]))
-            near = rest[np.bitwise_count(a[rest] ^ a[at]) <= radius]
+            near = rest[np.bitwise_count(values[rest] ^ values[at]).sum(axis=1) <= most]
             left[near] = False
             todo.extend(near.tolist())
             for other in near:
-                yield int(a[at]), int(a[other])
+                yield at, other
 
 
-def _linker(radius: int):
-    """For rows (bucket, i, j, block, fingerprint) sorted by bucket, i, j, block: the edges within each (bucket, i, j)."""
+def _linker(most: int):
+    """For rows (bucket, i, j, block, node, fingerprint) sorted by bucket, i, j, block: the edges within each (bucket, i, j)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(keys: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            out: list[tuple[int, int]] = []
+        def edges(keys: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+            u, v = [], []
             cuts = np.flatnonzero((keys[1:, :3] != keys[:-1, :3]).any(axis=1)) + 1
             starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-            for s, e in zip(starts[ends - starts > 1], ends[ends - starts > 1], strict=True):
-                group = values[s:e]
-                if e - s == 2:
-                    if (int(group[0]) ^ int(group[1])).bit_count() <= radius and (keys[s, 1] == keys[s, 2] or keys[s, 3] != keys[s + 1, 3]):
-                        out.append((int(group[0]), int(group[1])))
-                    continue
+            pairs = starts[ends - starts == 2]
+            near = np.bitwise_count(values[pairs] ^ values[pairs + 1]).sum(axis=1) <= most
+            near &= (keys[pairs, 1] == keys[pairs, 2]) | (keys[pairs, 3] != keys[pairs + 1, 3])
+            u.append(nodes[pairs[near]])
+            v.append(nodes[pairs[near] + 1])
+            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
                 split = None if keys[s, 1] == keys[s, 2] else int((keys[s:e, 3] == keys[s, 1]).sum())
-                out.extend(_links(group, radius, split))
-            pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
-            return pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["u", "v"])
+                found = np.array(list(_links(values[s:e], most, split)), dtype=np.int64).reshape(-1, 2)
+                u.append(nodes[s:e][found[:, 0]])
+                v.append(nodes[s:e][found[:, 1]])
+            return pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-        keys, values = np.empty((0, 4), np.int64), np.empty(0, np.uint64)
+        held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            more = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
-            keys = np.concatenate([keys, more])
-            values = np.concatenate([values, batch.column(4).to_numpy(zero_copy_only=False).view(np.uint64)])
-            last = np.flatnonzero((keys[:, :3] != keys[-1, :3]).any(axis=1))
+            keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
+            values = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(keys), -1)
+            now = (keys, batch.column(4).to_numpy(zero_copy_only=False), values)
+            now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
+            last = np.flatnonzero((now[0][:, :3] != now[0][-1, :3]).any(axis=1))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on in the next batch
             if cut:
-                yield edges(keys[:cut], values[:cut])
-                keys, values = keys[cut:], values[cut:]
-        if len(keys):
-            yield edges(keys, values)
+                yield edges(*(x[:cut] for x in now))
+            held = tuple(x[cut:] for x in now)
+        if held is not None and len(held[0]):
+            yield edges(*held)
 
     return run
 
 
-def links(values: DataFrame, radius: int = 2, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between distinct fingerprints of values(fingerprint) that connect all pairs within the radius.
+def links(values: DataFrame, radius: int = 2, most: int | None = None, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between the nodes of distinct values(node, fingerprint array<bigint>) that connect near ones.
 
-    Every fingerprint goes to one bucket per covering mask. Buckets of one member are dropped; buckets over the block size
-    are split into blocks whose pairs are separate tasks. A bucket yields fewer edges than it has members, however many
-    pairs it holds; two fingerprints are connected here exactly if pairs within the radius connect them.
-    """
-    tables = F.array(*[F.xxhash64(F.lit(t), F.col("fingerprint").bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m))) for t, m in enumerate(covering_masks(radius))])
-    rows = values.select("fingerprint", F.explode(tables).alias("bucket"))
-    from pyspark.sql import Window
+    Every value goes to one bucket per covering mask of each of its 64-bit fingerprints. Two values in a bucket are near if they
+    differ in at most most bits in all (the radius, if not given): with one fingerprint and most = radius exactly the pairs within the radius. Pairs
+    within the radius in any fingerprint always meet; pairs beyond it meet if a mask happens to miss all their differing bits.
 
+    Buckets of one member are dropped; buckets over the block size are split into blocks whose pairs are separate tasks. A
+    bucket yields fewer edges than it has members, however many pairs it holds; what is near within it gets connected.
+    """
+    first = values.select(F.size("fingerprint")).first()
+    masks = covering_masks(radius)
+    keys = [
+        F.xxhash64(F.lit(word * len(masks) + t), F.col("fingerprint")[word].bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m)))
+        for word in range(first[0] if first else 0)
+        for t, m in enumerate(masks)
+    ]
+    rows = values.select("node", "fingerprint", F.explode(F.array(*keys).cast("array<bigint>")).alias("bucket"))
     shared = stash(rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets")
     blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = shared.select("bucket", "fingerprint", blocks.alias("blocks"), F.pmod(F.xxhash64("fingerprint", F.lit(1)), blocks).cast("int").alias("block"))
-    pairs = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "fingerprint").select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fingerprint"
+    dealt = shared.select("bucket", "node", "fingerprint", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
+    pairs = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "node", "fingerprint").select(
+        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "fingerprint"
     )
-    tasks = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block", "fingerprint")
-    return tasks.mapInArrow(_linker(radius), "u long, v long")
+    tasks = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block")
+    return tasks.mapInArrow(_linker(radius if most is None else most), "u long, v long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (64 bits as bigint), component_id.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, most: int | None = None, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (array of 64 bits as bigint per seed), component_id.
 
-    Fingerprints that differ in at most radius bits are linked; component_id is the smallest non-null doc_id reachable,
-    itself included. Copies share a fingerprint and are merged before any comparison. Null or wordless texts have
+    Fingerprints that links() finds near are linked, by default those that differ in at most radius bits; component_id is the smallest non-null
+    doc_id reachable, itself included. Copies share a fingerprint and are merged before any comparison. Null or wordless texts have
     fingerprint 0 and are linked like any other. Other columns are ignored. An empty table gives none.
     """
-    rows = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    values = stash(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "values")
-    label = components(links(values.select("fingerprint"), radius))
-    joined = values.join(label.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn(
-        "component", F.coalesce("component", "fingerprint")
-    )
+    node = F.col("fingerprint")[0] if len(seeds) == 1 else F.xxhash64("fingerprint")
+    rows = stash(fingerprints(docs, id_col, text_col, shingle, seeds).withColumn("node", node), "fingerprints")
+    values = stash(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("first_id")), "values")
+    label = components(links(values.select("node", "fingerprint"), radius, most))
+    joined = values.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = stash(joined.join(least, "component").select("fingerprint", "component_id"), "components")
-    return rows.join(found, "fingerprint").select("doc_id", "fingerprint", "component_id")
+    found = stash(joined.join(least, "component").select("node", "component_id"), "components")
+    return rows.join(found, "node").select("doc_id", "fingerprint", "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, most: int = 20, seeds: tuple[int, ...] = (SEED, SEED + 1)) -> DataFrame:
     """The rows of docs with one document of each near_duplicates() component: that of the smallest doc_id.
 
-    Rows that repeat that doc_id stay too (drop exact copies first). If a component has null ids only, all its rows stay.
+    By default two 64-bit fingerprints of five-word shingles; documents are near if at most 20 of the 128 bits differ, which shingle sets of a Jaccard
+    similarity of 0.8 do on average. Rows that repeat the doc_id that stays do too (drop exact copies first). If a
+    component has null ids only, all its rows stay.
     """
-    stay = near_duplicates(docs, id_col, text_col, shingle, radius).where("component_id is null or doc_id = component_id")
+    stay = near_duplicates(docs, id_col, text_col, shingle, radius, most, seeds).where("component_id is null or doc_id = component_id")
     ids = stash(stay.select(F.col("doc_id").alias("_stay")).distinct(), "stay")
     return docs.join(ids, docs[id_col].eqNullSafe(ids["_stay"]), "left_semi")

@@ -152,8 +152,9 @@ def test_links_connect_what_brute_force_connects(spark, block):
         values.append(v)
     values = sorted(set(values))
     edges = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 2]
-    frame = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in values], "fingerprint long")
-    found = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(frame, 2, block).collect()]
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    frame = spark.createDataFrame([(v, [v]) for v in signed], "node long, fingerprint array<long>")
+    found = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(frame, 2, block=block).collect()]
     assert all((a ^ b).bit_count() <= 2 for a, b in found)
     assert _reach(values, found) == _reach(values, edges)
 
@@ -167,7 +168,7 @@ def test_near_duplicates(docs, rows, none):
         if r[0] is not None:
             least[root[p]] = min(least.get(root[p], r[0]), r[0])
     got = simhash.near_duplicates(docs).collect()
-    assert _sorted((r[0], r[1] % 2**64, r[2]) for r in got) == _sorted((r[0], p, least.get(root[p])) for r, p in zip(rows, prints, strict=True))
+    assert _sorted((r[0], r[1][0] % 2**64, r[2]) for r in got) == _sorted((r[0], p, least.get(root[p])) for r, p in zip(rows, prints, strict=True))
     assert simhash.near_duplicates(none).count() == 0
 
 
@@ -177,7 +178,7 @@ def test_near_duplicates_on_documents(spark):
     prints = {r.doc_id: _fingerprint(r.text) for r in rows}
     ids = sorted(prints)
     root = _reach(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2])
-    assert {r[0]: (r[1] % 2**64, r[2]) for r in simhash.near_duplicates(table).collect()} == {i: (prints[i], root[i]) for i in ids}
+    assert {r[0]: (r[1][0] % 2**64, r[2]) for r in simhash.near_duplicates(table).collect()} == {i: (prints[i], root[i]) for i in ids}
 
 
 # -- 3 ------------------------------------------------------------------------------------------------
