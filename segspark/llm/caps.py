@@ -66,7 +66,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def _wide(filters: int) -> bool:
+    """Whether the numbers of so many filters need 64 bits."""
+    return int(np.ceil(np.sqrt(filters))) ** 2 > 2**31 - 1
+
+
 def _decoder(filters: int):
+    wide = _wide(filters)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes: dict[int, ProductCode] = {}
         for batch in batches:
@@ -80,7 +87,7 @@ def _decoder(filters: int):
                 for start in range(0, len(at), 256):
                     for i, found in zip(at[start : start + 256], code.decode(unit(x[start : start + 256])), strict=True):
                         lists[i] = found
-            yield pa.record_batch([*batch.columns, pa.array(lists, pa.list_(pa.int64())), pa.array(dims.astype(np.int32))], names=["id", "size", "vector", "filters", "dim"])
+            yield pa.record_batch([*batch.columns, pa.array(lists, pa.list_(pa.int64() if wide else pa.int32())), pa.array(dims.astype(np.int32))], names=["id", "size", "vector", "filters", "dim"])
 
     return run
 
@@ -160,9 +167,9 @@ def links(vectors: DataFrame, least: float = 0.9, block: int = BLOCK) -> DataFra
     filter are compared in double precision in blocks; filters over the block size are split into pairs of blocks,
     which are separate tasks. A pair comes out of the first filter that it shares, once. No filter is cut short.
     """
-    n = vectors.count()
-    schema = f"id long, size long, vector {dict(vectors.dtypes)['vector']}, filters array<long>, dim int"
-    decoded = stash(vectors.select("id", "size", "vector").mapInArrow(_decoder(max(LEAST_FILTERS, n)), schema), "filters")
+    filters = max(LEAST_FILTERS, vectors.count())
+    schema = f"id long, size long, vector {dict(vectors.dtypes)['vector']}, filters array<{'long' if _wide(filters) else 'int'}>, dim int"
+    decoded = stash(vectors.select("id", "size", "vector").mapInArrow(_decoder(filters), schema), "filters")
     members = decoded.select("dim", F.explode("filters").alias("filter"))
     large = members.groupBy("dim", "filter").agg(F.count("*").alias("n")).where(F.col("n") > block)
     large = stash(large.select("dim", "filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
