@@ -7,6 +7,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import stash
 
 #: The model is fitted on about so many labelled documents of a language (chosen by a hash of their id), or on all if there are fewer.
-SAMPLE_DOCS = 3000
+SAMPLE_DOCS = 1000
 #: It knows the most frequent words of a language and, of each length from LONGEST down to 1, its most frequent n-grams.
 MAX_WORDS = 20_000
 MAX_GRAMS = 4_000
@@ -65,40 +66,71 @@ class Model:
             floor = 0.5
             logs = {lang: math.log(total.get(lang, 0) + floor * (len(keys) + 1)) for lang in langs}
             self.levels.append({k: tuple(math.log(table.get(lang, {}).get(k, 0) + floor) - logs[lang] for lang in langs) for k in keys})
-        self.seen: dict[str, tuple[float, ...] | None] = {}
 
-    def word(self, word: str) -> tuple[float, ...] | None:
-        """Log scores of a word per language; None if not even one of its characters is known."""
-        known = self.levels[0].get(word)
-        if known is not None:
-            return known
-        if word in self.seen:
-            return self.seen[word]
-        if len(self.seen) >= WORD_CACHE:
-            self.seen.clear()
-        padded, scores = f"<{word}>", None
+    def backoff(self, word: str) -> tuple[float, ...] | None:
+        """Log scores per language of a word that isn't known: the mean of its known n-grams of the greatest length that has any; None if not even one of its characters is known."""
+        padded = f"<{word}>"
         for level, n in enumerate(range(LONGEST, 0, -1), 1):
-            table = self.levels[level]
-            found = [g for i in range(len(padded) - n + 1) if (g := table.get(padded[i : i + n])) is not None]
-            if found and (n > 1 or any(c in table for c in word)):
-                scores = tuple(sum(s) / len(found) for s in zip(*found, strict=True))
-                break
-        self.seen[word] = scores
-        return scores
+            get = self.levels[level].get
+            found = [g for i in range(len(padded) - n + 1) if (g := get(padded[i : i + n])) is not None]
+            if found and (n > 1 or any(c in self.levels[level] for c in word)):
+                return tuple(sum(s) / len(found) for s in zip(*found, strict=True))
+        return None
+
+    def word(self, word: str) -> tuple[float, ...] | None:
+        """Log scores of a word per language."""
+        return self.levels[0].get(word) or self.backoff(word)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share (0 to 1) of the languages' likelihoods; und and 0 for texts without letters."""
-        counts = Counter(w for w in words_of(text) if w.isalpha())
-        if not counts or not self.langs:
+        if self._scorer is None:
+            self._scorer = Scorer(self)
+        return self._scorer.predict(text)
+
+    _scorer: Scorer | None = None
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_scorer"}
+
+
+class Scorer:
+    """A worker's table of word scores: known words, and the unseen words that it has met lately."""
+
+    #: Rows of what isn't made of letters and of what no language knows.
+    NO_LETTERS, NOTHING = 0, 1
+
+    def __init__(self, model: Model):
+        self.model = model
+        known = model.levels[0]
+        self.known = {w: i for i, w in enumerate(known, 2)}
+        self.scores = np.zeros((len(known) + 2 + WORD_CACHE, max(1, len(model.langs))))
+        if known and model.langs:
+            self.scores[2 : len(known) + 2] = list(known.values())
+        self.rows = dict(self.known)
+        self.next = len(known) + 2
+
+    def row(self, word: str) -> int:
+        if not word.isalpha():
+            return self.NO_LETTERS
+        scores = self.model.backoff(word) if self.model.langs else None
+        if scores is None:
+            return self.NOTHING
+        row = self.next
+        self.scores[row], self.rows[word], self.next = scores, row, row + 1
+        return row
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        if self.next + len(text or "") >= len(self.scores):
+            if len(text or "") >= WORD_CACHE:  # a text that may hold more new words than there are places
+                self.scores = np.concatenate([self.scores, np.zeros((len(text), self.scores.shape[1]))])
+            self.rows, self.next = dict(self.known), len(self.known) + 2
+        get, row = self.rows.get, self.row
+        found = np.array([get(w) or row(w) for w in words_of(text)], dtype=np.int64)
+        if not self.model.langs or not found.any():
             return UNKNOWN, 0.0
-        totals = [0.0] * len(self.langs)
-        for word, n in counts.items():
-            scores = self.word(word)
-            if scores is not None:
-                for i, s in enumerate(scores):
-                    totals[i] += n * s
-        best = max(totals)
-        return self.langs[totals.index(best)], 1 / sum(math.exp(t - best) for t in totals)
+        totals = self.scores[found].sum(axis=0)
+        best = int(totals.argmax())
+        return self.model.langs[best], float(1 / np.exp(totals - totals[best]).sum())
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:

@@ -70,8 +70,8 @@ class WordTokenizer:
 
     For tokenizers that drop white space, never merge across it and split letters from other characters: there the ids of a text are
     those of its white-space separated words in turn, and the ids of letters followed by plain punctuation are those of
-    the letters and of the punctuation. Words of letters go straight to the library's merge model, after the library's own
-    normalizer where they aren't ASCII; every other word takes the library's whole path.
+    the letters and of the punctuation. Words of letters go straight to the library's merge model, after its
+    normalizer (for Latin letters the same form and case from Python's own tables); every other word takes the library's whole path.
     """
 
     def __init__(self, path: str):
@@ -94,8 +94,9 @@ class WordTokenizer:
         if word.isascii():
             plain = word.lower()
         else:
-            plain = self.full.normalizer.normalize_str(word)
-            if not plain.isalpha() or any(unicodedata.category(c) == "Cn" for c in plain):
+            latin = max(word) < "\u0180"  # no letter of these depends on its context or on the version of Unicode
+            plain = unicodedata.normalize("NFC", word).lower() if latin else self.full.normalizer.normalize_str(word)
+            if not plain.isalpha() or not latin and any(unicodedata.category(c) == "Cn" for c in plain):
                 return None
             plain = plain.encode().decode("latin-1").translate(self.byte_chars)
         return array("I", [t.id for t in self.merge.tokenize(plain)]).tobytes()
@@ -126,8 +127,8 @@ class WordTokenizer:
         return self.stems[word]
 
     def ids(self, text: bytes) -> np.ndarray:
-        known, word = self.known, self.word
-        return np.frombuffer(b"".join([known[w] if w in known else word(w) for w in text.split()]), dtype="<u4")
+        known, word = self.known.get, self.word
+        return np.frombuffer(b"".join([known(w) or word(w) for w in text.split()]), dtype="<u4")
 
 
 @functools.lru_cache(maxsize=2)

@@ -24,8 +24,11 @@ SCOPE = 256
 _SPAN = "struct<start:bigint,rank:int,end:bigint,kind:string>"
 
 
-def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
-    """Spans of the leftmost non-overlapping matches that keep(match) holds for: gaps and matches alternate, so their lengths add up to positions."""
+def _spans(text: Column, kind: str, pattern: str, keep, maybe: Column) -> Column:
+    """Spans of the leftmost non-overlapping matches that keep(match) holds for: gaps and matches alternate, so their lengths add up to positions.
+
+    Texts for which maybe is false are not searched.
+    """
     hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
     rank = KINDS.index(kind)
@@ -39,24 +42,39 @@ def _spans(text: Column, kind: str, pattern: str, keep) -> Column:
     none = F.array().cast(f"array<{_SPAN}>")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), none.alias("spans"))
     found = F.aggregate(F.filter(steps, lambda x: x["size"].isNotNull()), start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    return F.when(maybe, found).otherwise(none)
 
 
 def _mixed(hit: Column) -> Column:
     return hit.rlike("[0-9]") & hit.rlike("[a-z]") & hit.rlike("[A-Z]")
 
 
+def _has(text: str, *needles: str) -> Column:
+    return reduce(Column.__or__, [F.contains(F.col(text), F.lit(n)) for n in needles])
+
+
 def parts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, content, base, weak) per row: the spans of the base kinds, and the weak candidates; content is a hash of the text."""
+    """(doc_id, content, base, weak) per row: the spans of the base kinds, and the weak candidates; content is a hash of the text.
+
+    Patterns that hold a fixed string are only tried on texts that contain it. Weak candidates are reported only with an identifier
+    near, so texts without one need no search for the others.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    text = F.col("text")
-    base = [
-        _spans(text, "assign", ASSIGN, lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8),
-        _spans(text, "access", ACCESS, lambda hit: F.length(hit) >= 16),
-        _spans(text, "hex", "(?<![0-9a-f])[0-9a-f]{32,}", lambda hit: F.lit(True)),
-    ]
-    weak = [_spans(text, "weak_id", WEAK_ID, lambda hit: F.lit(True)), _spans(text, "weak_secret", WEAK_SECRET, _mixed), _spans(text, "endpoint", ENDPOINT, lambda hit: F.lit(True))]
-    return rows.select("doc_id", F.xxhash64("text").alias("content"), F.concat(*base).alias("base"), F.concat(*weak).alias("weak"))
+    rows = rows.withColumn("low", F.lower("text"))
+    may = {"assign": _has("low", "passw", "secret", "token", "api"), "id": _has("low", "name", "login", "client", "account", "access"), "access": _has("text", "AKIA"), "hex": F.col("text").rlike("[0-9a-f]{32}")}
+    rows = rows.select("doc_id", "text", *[c.alias(f"may_{k}") for k, c in may.items()])
+    text, always = F.col("text"), lambda hit: F.lit(True)
+    rows = rows.select(
+        "doc_id",
+        "text",
+        _spans(text, "assign", ASSIGN, lambda hit: F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8, F.col("may_assign")).alias("assign"),
+        _spans(text, "access", ACCESS, lambda hit: F.length(hit) >= 16, F.col("may_access")).alias("access"),
+        _spans(text, "hex", "(?<![0-9a-f])[0-9a-f]{32,}", always, F.col("may_hex")).alias("hex"),
+        _spans(text, "weak_id", WEAK_ID, always, F.col("may_id")).alias("weak_id"),
+    )
+    named = F.size("access") + F.size("weak_id") > 0
+    weak = F.concat("weak_id", _spans(text, "weak_secret", WEAK_SECRET, _mixed, named), _spans(text, "endpoint", ENDPOINT, always, named))
+    return rows.select("doc_id", F.xxhash64("text").alias("content"), F.concat("assign", "access", "hex").alias("base"), weak.alias("weak"))
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:
