@@ -41,7 +41,7 @@ def linear(weight: np.ndarray, bias: np.ndarray | None = None) -> Callable[[Colu
         y = np.stack(x.to_numpy()).astype(float) @ weight.T
         return pd.Series(list(y if bias is None else y + bias))
 
-    return F.pandas_udf(run, _VECTORS, F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, _VECTORS)
 
 
 def mlp(weights: list[tuple[np.ndarray, np.ndarray | None]]) -> Callable[[Column], Column]:
@@ -56,7 +56,7 @@ def mlp(weights: list[tuple[np.ndarray, np.ndarray | None]]) -> Callable[[Column
             y = y if b is None else y + b
         return pd.Series(list(y))
 
-    return F.pandas_udf(run, _VECTORS, F.PandasUDFType.SCALAR)
+    return F.pandas_udf(run, _VECTORS)
 
 
 def apply(nodes: DataFrame, f: Callable[[Column], Column]) -> DataFrame:

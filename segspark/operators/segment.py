@@ -15,8 +15,8 @@ def ids_below(rows: DataFrame, key: str, size: int | DataFrame | None) -> DataFr
     if isinstance(size, DataFrame):
         return size.select(F.col("id").cast("long"))
     if size is None:
-        size = (rows.agg(F.max(key)).first()[0] if key in rows.columns else None) or -1
-        size = 0 if size == -1 and rows.select(key).first() is None else size + 1
+        largest = rows.agg(F.max(key)).first()[0]
+        size = 0 if largest is None else largest + 1
     return rows.sparkSession.range(size)
 
 
