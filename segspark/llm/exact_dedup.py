@@ -7,7 +7,7 @@ from array import array
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,15 +165,21 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, with all their columns."""
-    stay = stash(groups(content_keys(docs, id_col, text_col)).select(F.col("key").alias("_key"), F.col("keep_id").alias("_keep")), "stay")
+    """The rows of docs that exact_duplicates() keeps, with all their columns.
+
+    Content and id make up one key, by which the rows are joined with what stays and repeated rows told apart: the texts are
+    shuffled once.
+    """
+
+    def place(key, doc):
+        return F.concat(key, F.coalesce(doc.cast("string"), F.lit("-")).cast("binary")).alias("_at")
+
+    stay = stash(groups(content_keys(docs, id_col, text_col)).select(place(F.col("key"), F.col("keep_id"))), "stay")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.concat(F.sha2(text, 256), F.lpad(F.hex(F.octet_length(text)), 16, "0")))
-    rows = docs.withColumn("_key", key).withColumn("_keep", F.col(id_col).cast("long"))
-    kept = rows.join(stay, (rows["_key"] == stay["_key"]) & rows["_keep"].eqNullSafe(stay["_keep"])).drop(stay["_key"]).drop(stay["_keep"])
-    from pyspark.sql import Window
-
-    first = F.row_number().over(Window.partitionBy("_key", "_keep").orderBy(*[c for c, t in docs.dtypes if c != text_col and not t.startswith("map")]))
+    kept = docs.withColumn("_at", place(key, F.col(id_col).cast("long"))).join(stay, "_at")
+    others = [c for c, t in docs.dtypes if c != text_col and not t.startswith("map")]
+    first = F.row_number().over(Window.partitionBy("_at").orderBy(*others))
     return kept.withColumn("_first", first).where("_first = 1").select(*docs.columns)
 
 

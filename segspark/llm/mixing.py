@@ -55,29 +55,26 @@ def copies(sized: DataFrame, key=None, seed: int = 0) -> DataFrame:
     Ranks come from counts per (source, size, slice), so neither a hot source nor a hot size meets in one task.
     """
     sized = sized.withColumn("_slice", F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, SLICE_DIGITS))
-    counts = stash(sized.groupBy("source", "size", "_slice").agg(F.count("*").alias("n")), "counts")
-    per_size = counts.groupBy("source", "size").agg(F.sum("n").alias("n"))
-    upto = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    starts = per_size.select("source", "size", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("below"))
-    within = Window.partitionBy("source", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sized = sized.withColumn("_source", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))  # never null, so that ranking and joining share one exchange
+    counts = stash(sized.groupBy("_source", "source", "size", "_slice").agg(F.count("*").alias("n")), "counts")
+    per_size = counts.groupBy("_source", "source", "size").agg(F.sum("n").alias("n"))
+    upto = Window.partitionBy("_source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    starts = per_size.select("_source", "size", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("below"))
+    within = Window.partitionBy("_source", "size").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = counts.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0)))
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("double") / 2.0**32
     targets = source_targets(per_size.select("source", (F.col("size") * F.col("n")).alias("size"))).withColumn("offset", offset)
-
-    def by(left: DataFrame, right: DataFrame, *cols: str) -> DataFrame:
-        right = right.withColumnsRenamed({c: f"_r_{c}" for c in cols})
-        on = [left[c].eqNullSafe(right[f"_r_{c}"]) for c in cols]
-        return left.join(right, on).drop(*[f"_r_{c}" for c in cols])
-
-    places = by(by(slices, starts, "source", "size"), targets, "source")
-    places = stash(places.select("source", "size", "_slice", (F.col("below") + F.col("before")).alias("_start"), "source_size", "target", "offset"), "places")
+    targets = targets.select(F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_source"), "source_size", "target", "offset")
+    places = slices.drop("source", "n").join(starts, ["_source", "size"]).join(targets, "_source")
+    places = stash(places.select("_source", "size", "_slice", (F.col("below") + F.col("before")).alias("_start"), "source_size", "target", "offset"), "places")
     ties = [F.col("doc_id")] + ([key] if key is not None else [])
-    rank = F.row_number().over(Window.partitionBy("source", "size", "_slice").orderBy(*ties))
-    rows = by(sized.withColumn("_rank", rank), places, "source", "size", "_slice")
+    keys = ["_source", "size", "_slice"]
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*ties))
+    rows = sized.withColumn("_rank", rank).join(places, keys)
     share = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     end = (F.col("_start") + F.col("_rank")).cast("double")
     crossed = F.floor(end * share + F.col("offset")) - F.floor((end - 1) * share + F.col("offset"))
-    return rows.withColumn("copies", F.least(crossed, F.lit(MOST)).cast("int")).drop("_slice", "_start", "_rank", "offset")
+    return rows.withColumn("copies", F.least(crossed, F.lit(MOST)).cast("int")).drop("_source", "_slice", "_start", "_rank", "offset")
 
 
 def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:

@@ -143,8 +143,8 @@ def links(values: DataFrame, radius: int = 2, most: int | None = None, block: in
         for word in range(first[0] if first else 0)
         for t, m in enumerate(masks)
     ]
-    rows = values.select("node", "fingerprint", F.explode(F.array(*keys).cast("array<bigint>")).alias("bucket"))
-    shared = stash(rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets")
+    rows = values.select("node", F.explode(F.array(*keys).cast("array<bigint>")).alias("bucket"))
+    shared = stash(rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets").join(values, "node")
     blocks = F.ceil(F.col("n") / block).cast("int")
     dealt = shared.select("bucket", "node", "fingerprint", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
     pairs = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "node", "fingerprint").select(
@@ -175,9 +175,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """The rows of docs with one document of each near_duplicates() component: that of the smallest doc_id.
 
     By default two 64-bit fingerprints of five-word shingles; documents are near if at most 20 of the 128 bits differ, which shingle sets of a Jaccard
-    similarity of 0.8 do on average. Rows that repeat the doc_id that stays do too (drop exact copies first). If a
-    component has null ids only, all its rows stay.
+    similarity of 0.8 do on average. Rows of a doc_id that stays anywhere stay (drop exact copies first), and so do rows without an id. What goes
+    is joined by id, and is usually few enough for Spark to broadcast by its size.
     """
-    stay = near_duplicates(docs, id_col, text_col, shingle, radius, most, seeds).where("component_id is null or doc_id = component_id")
-    ids = stash(stay.select(F.col("doc_id").alias("_stay")).distinct(), "stay")
-    return docs.join(ids, docs[id_col].eqNullSafe(ids["_stay"]), "left_semi")
+    found = stash(near_duplicates(docs, id_col, text_col, shingle, radius, most, seeds).select("doc_id", "component_id"), "components")
+    stays = found.where("doc_id = component_id").select("doc_id")
+    goes = found.where("doc_id <> component_id").select("doc_id").distinct().join(stays, "doc_id", "left_anti")
+    goes = stash(goes.select(F.col("doc_id").alias("_goes")), "goes")
+    return docs.join(goes, docs[id_col] == goes["_goes"], "left_anti")
