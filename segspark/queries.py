@@ -592,11 +592,11 @@ def round_pow2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").where("value > 0").select("event_id", scalars.nearest_power_of_two(F.col("value")).alias("power"))
 
 
-@query("SELECT event_id, round(user_id * (user_id % 8 + 1) / value / 1e6, 9) AS gflops, round(2.0 * user_id * (user_id % 8 + 1) / value / 1e9, 9) AS sddmm, ceil(user_id / 8)::BIGINT AS tiles, least(greatest(user_id, 10), 100) AS clamped FROM events WHERE value > 0")
+@query("SELECT event_id, round(user_id * (user_id % 8 + 1) / value / 1e6 * 1e6, 6) AS mflops, round(2.0 * user_id * (user_id % 8 + 1) / value / 1e9 * 1e9, 6) AS flops, ceil(user_id / 8)::BIGINT AS tiles, least(greatest(user_id, 10), 100) AS clamped FROM events WHERE value > 0")
 def gflops(spark: SparkSession, d: str) -> DataFrame:
     user, width, value = F.col("user_id"), F.col("user_id") % 8 + 1, F.col("value")
     return table(spark, d, "events").where("value > 0").select(
-        "event_id", F.round(scalars.gflops(user, width, value), 9).alias("gflops"), F.round(scalars.sddmm_gflops(user, width, value), 9).alias("sddmm"),
+        "event_id", F.round(scalars.gflops(user, width, value) * 1e6, 6).alias("mflops"), F.round(scalars.sddmm_gflops(user, width, value) * 1e9, 6).alias("flops"),
         scalars.ceil_div(user, 8).alias("tiles"), scalars.clamp(user, 10, 100).cast("long").alias("clamped"),
     )
 
