@@ -66,25 +66,23 @@ def covering_masks(radius: int, seed: int = 7) -> list[int]:
 def _links(values: np.ndarray, most: int, split: int | None = None) -> Iterator[tuple[int, int]]:
     """Edges between positions that connect exactly what pairs of at most most differing bits connect (between values[:split] and values[split:] if given).
 
-    Each value looks once at the values that nothing has reached yet, so there are fewer edges than values.
+    Each value looks once at the values that nothing has reached yet, so there are fewer edges than values, and all is done once
+    everything has been reached.
     """
-    side = np.zeros(len(values), dtype=bool)
-    if split is not None:
-        side[split:] = True
-    left = np.ones(len(values), dtype=bool)
-    for start in range(len(values)):
-        if not left[start]:
-            continue
-        left[start] = False
-        todo = [start]
-        while todo:
+    rest = np.arange(len(values))
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
             at = todo.pop()
-            rest = np.flatnonzero(left if split is None else left & (side != side[at]))
-            near = rest[np.bitwise_count(values[rest] ^ values[at]).sum(axis=1) <= most]
-            left[near] = False
-            todo.extend(near.tolist())
-            for other in near:
-                yield at, other
+            near = np.bitwise_count(values[rest] ^ values[at]).sum(axis=1) <= most
+            if split is not None:
+                near &= (rest >= split) != (at >= split)
+            found = rest[near].tolist()
+            if found:
+                rest = rest[~near]
+                todo.extend(found)
+                for other in found:
+                    yield at, other
 
 
 def _linker(most: int):
