@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from segspark.llm import bpe, exact_dedup, language, mixing, simhash
+from segspark.llm import bpe, exact_dedup, language, mixing, shingles
 from segspark.llm.common import stash
 
 
@@ -21,8 +21,8 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles) the document with the smallest doc_id stays."""
-    return simhash.drop_near_duplicates(docs)
+    """Of each group of near copies (similarity of five-word shingles 0.8 or more) the document with the smallest doc_id stays."""
+    return shingles.drop_near_copies(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

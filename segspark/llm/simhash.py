@@ -167,17 +167,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
     found = stash(joined.join(least, "component").select("node", "component_id"), "components")
     return rows.join(found, "node").select("doc_id", "fingerprint", "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, radius: int = 6, most: int = 20, seeds: tuple[int, ...] = (SEED, SEED + 1)) -> DataFrame:
-    """The rows of docs with one document of each near_duplicates() component: that of the smallest doc_id.
-
-    By default two 64-bit fingerprints of five-word shingles; documents are near if at most 20 of the 128 bits differ, which shingle sets of a Jaccard
-    similarity of 0.8 do on average. Rows of a doc_id that stays anywhere stay (drop exact copies first), and so do rows without an id. What goes
-    is joined by id, and is usually few enough for Spark to broadcast by its size.
-    """
-    found = stash(near_duplicates(docs, id_col, text_col, shingle, radius, most, seeds).select("doc_id", "component_id"), "components")
-    stays = found.where("doc_id = component_id").select("doc_id")
-    goes = found.where("doc_id <> component_id").select("doc_id").distinct().join(stays, "doc_id", "left_anti")
-    goes = stash(goes.select(F.col("doc_id").alias("_goes")), "goes")
-    return docs.join(goes, docs[id_col] == goes["_goes"], "left_anti")
