@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.vectors import to_long, to_vectors, zeros
 from ..functions.scalars import reduction
 from ..plans.layout import dim_of, reduce_vectors
+from ..session import stash
 
 
 def ids_below(rows: DataFrame, key: str, size: int | DataFrame | None) -> DataFrame:
@@ -84,7 +85,26 @@ def segment_boundaries(items: DataFrame, block: int = 1 << 16) -> DataFrame:
     return rows.select(*items.columns, (~F.col("idx").eqNullSafe(before) | (F.col("_first") & F.col("_known").isNull())).alias("is_start"))
 
 
-def segmented_scan(items: DataFrame, value: str = "v") -> DataFrame:
-    """items(pos, idx, value) with running: the sum of value so far within the segment."""
-    order = Window.partitionBy("idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return items.withColumn("running", F.sum(value).over(order))
+def deal(rows: DataFrame, order: list[str], block: int = 1 << 16) -> DataFrame:
+    """rows with _block, numbered in the given order: ranges of the whole order of about block rows each, whatever the keys' shares.
+
+    Written once, because ranges come from a sample and must not be drawn anew for the second phase.
+    """
+    parts = max(1, -(-rows.count() // block))
+    return stash(rows.repartitionByRange(parts, *order).withColumn("_block", F.spark_partition_id().cast("long")), "dealt")
+
+
+def segmented_scan(items: DataFrame, value: str = "v", block: int = 1 << 16) -> DataFrame:
+    """items(pos, idx, value) with running: the sum of value so far within the segment.
+
+    Blocks of rows run on their own; what a segment holds in the blocks before is added from one row per block and segment.
+    """
+    blocked = deal(items, ["idx", "pos"], block)
+    before = Window.partitionBy("idx").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = blocked.groupBy("_block", "idx").agg(F.sum(value).alias("_sum"))
+    bases = sums.select(F.col("_block").alias("_at"), F.col("idx").alias("_idx"), F.sum("_sum").over(before).alias("_base"))
+    within = Window.partitionBy("_block", "idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    local = blocked.withColumn("_local", F.sum(value).over(within))
+    rows = local.join(bases, (F.col("_block") == F.col("_at")) & F.col("idx").eqNullSafe(F.col("_idx")))
+    running = F.when(F.col("_base").isNull(), F.col("_local")).when(F.col("_local").isNull(), F.col("_base")).otherwise(F.col("_base") + F.col("_local"))
+    return rows.select(*items.columns, running.alias("running"))

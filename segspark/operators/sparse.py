@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segment import ids_below
+from .segment import deal, ids_below
 
-#: Running sums are taken in blocks of so many consecutive keys.
+#: Running sums are taken in blocks of about so many consecutive rows.
 BLOCK = 1 << 16
 
 
 def running_sum(rows: DataFrame, value, out: str, order: list[str], inclusive: bool = True, block: int = BLOCK) -> DataFrame:
     """rows with the sum of value over all rows up to (with inclusive) each in the given order.
 
-    order[0] must be an integer key; the others break its ties. Two phases: rows are blocked by ranges of the key, the sums of the
-    blocks are added up first (one row a block), then each block runs on its own. No window spans the table.
+    The sum is a total one over order; rows equal in all of it stand together. Two phases: rows are dealt by ranges of the whole order,
+    the sums of these blocks are added up first (one row a block), then each block runs on its own. No window spans the table or a key.
     """
-    blocked = rows.withColumn("_block", F.floor(F.col(order[0]) / block)).withColumn("_value", value)
+    blocked = deal(rows.withColumn("_value", value), order, block)
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     bases = blocked.groupBy("_block").agg(F.sum("_value").alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
     within = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -26,7 +26,7 @@ def running_sum(rows: DataFrame, value, out: str, order: list[str], inclusive: b
 
 
 def number_rows(rows: DataFrame, out: str, order: list[str], block: int = BLOCK) -> DataFrame:
-    """rows with their position from 0 in the given order (order[0] an integer key)."""
+    """rows with their position from 0 in the given order."""
     return running_sum(rows, F.lit(1).cast("long"), out, order, inclusive=False, block=block)
 
 
