@@ -23,23 +23,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
+    """The folder that driver and executors share: spark.checkpoint.dir, with its scheme.
 
-    Only a purely local session may leave it unset; it then gets /tmp/checkpoints.
+    A path without scheme belongs to Spark's default file system; named in full, readers and writers outside of Spark find the same
+    one. Only a purely local session may leave the setting unset; it then gets /tmp/checkpoints.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        return configured.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path(configured)
+        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file:///tmp/checkpoints"
 
 
+def _delete(spark: SparkSession, path: str, on_exit: bool) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.deleteOnExit(jpath) if on_exit else fs.delete(jpath, True)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder; it is deleted when the driver's JVM exits."""
     path = f"{shared_dir(spark)}/segspark-{name}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    _delete(spark, path, on_exit=True)
     return path
 
 
@@ -52,4 +59,14 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._stashed_at = path
+    return written
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that stash() returned, once nothing reads them any more; other frames are left alone."""
+    for frame in frames:
+        path = getattr(frame, "_stashed_at", None)
+        if path:
+            _delete(frame.sparkSession, path, on_exit=False)
