@@ -1,13 +1,35 @@
-"""Connected components; tables in the cluster's shared folder come from the session helpers."""
+"""Connected components and joins on hot keys; tables in the cluster's shared folder come from the session helpers."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import scratch, stash
+from ..session import discard, scratch, stash
 
-__all__ = ["components", "scratch", "stash"]
+__all__ = ["components", "discard", "join_hot", "least_of", "scratch", "stash"]
+
+#: Rows of one key that are joined in one task.
+HOT = 4096
+
+
+def join_hot(rows: DataFrame, found: DataFrame, key: str, by: str, limit: int = HOT) -> DataFrame:
+    """rows joined with found(key, n, ...), which has one row for each key and the number n of its rows.
+
+    Keys of more than limit rows are split: their rows by the hash of by, their one row of found repeated for each part. The list of these
+    keys has at most one entry for limit rows and is joined as its size on disk suggests.
+    """
+    parts = F.ceil(F.col("n") / limit).cast("int")
+    hot = stash(found.where(F.col("n") > limit).select(key, parts.alias("_parts")), "hot")
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
+    right = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
+def least_of(rows: DataFrame, key: str, value: str, by: str, out: str, limit: int = HOT) -> DataFrame:
+    """rows with the column out: the smallest value among the rows of their key. Hot keys are split by the hash of by."""
+    least = stash(rows.groupBy(key).agg(F.min(value).alias(out), F.count("*").alias("n")), "least")
+    return join_hot(rows, least, key, by, limit).drop("n")
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -20,8 +42,8 @@ def components(edges: DataFrame) -> DataFrame:
     component is the smallest node reachable. Alternates large-star and small-star
     steps; each round is two aggregations and two joins over the edges and is written to the
     shared folder, and the number of rounds grows with the logarithm of the
-    longest chain. Nothing but a row count and a checksum reaches the driver.
-    Self-loops and null ends are ignored; an empty input gives an empty result.
+    longest chain. Nothing but a row count and a checksum reaches the driver. A hub's edges meet in a join that AQE splits once
+    they are many. Self-loops and null ends are ignored; an empty input gives an empty result.
     """
     current = stash(
         edges.where(F.col("u") != F.col("v"))
@@ -36,8 +58,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
-        after = _signature(current)
+        following = stash(small.union(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(current)
+        current, after = following, _signature(following)
         if after == before:
             break
         before = after

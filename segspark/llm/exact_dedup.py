@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stash
+from .common import join_hot, stash
 
 SLOTS = 4
 MAX_KICKS = 250
+# Fixed value: the odd multiplier (of MurmurHash2) that turns a tag into the distance of its two buckets.
+TAG_MULTIPLIER = 0x5BD1E995
 #: A map task hands its groups on when its index holds so many live keys, so its memory stays bounded.
 FLUSH_KEYS = 200_000
 
@@ -44,7 +46,7 @@ class CuckooIndex:
         head, tag = struct.unpack_from("<QH", key)
         tag = tag or 1
         first = head & self.mask
-        return first, first ^ (tag * 0x5BD1E995 & self.mask), tag
+        return first, first ^ (tag * TAG_MULTIPLIER & self.mask), tag
 
     def find(self, key: bytes) -> int:
         """The key's reference, or -1."""
@@ -84,6 +86,16 @@ class CuckooIndex:
         return -1
 
     def _insert(self, ref: int) -> None:
+        """Place a stored key; when it or another finds no place the table doubles, once or more, and is refilled from the stored keys."""
+        if not self._settle(ref):
+            size, settled = self.mask + 1, False
+            while not settled:
+                size *= 2
+                self._clear(size)
+                settled = all(self._settle(r) for r, key in enumerate(self.keys) if key is not None)
+
+    def _settle(self, ref: int) -> bool:
+        """Place a stored key, moving others; False if one (this or another) is left without a place."""
         first, second, tag = self._place(self.keys[ref])
         bucket = first
         for kick in range(MAX_KICKS):
@@ -91,15 +103,12 @@ class CuckooIndex:
                 for slot in range(b * SLOTS, b * SLOTS + SLOTS):
                     if not self.tags[slot]:
                         self.tags[slot], self.refs[slot] = tag, ref
-                        return
+                        return True
             slot = bucket * SLOTS + kick % SLOTS
             tag, self.tags[slot] = self.tags[slot], tag
             ref, self.refs[slot] = self.refs[slot], ref
-            bucket ^= tag * 0x5BD1E995 & self.mask
-        self._clear(2 * (self.mask + 1))
-        for ref, key in enumerate(self.keys):
-            if key is not None:
-                self._insert(ref)
+            bucket ^= tag * TAG_MULTIPLIER & self.mask
+        return False
 
 
 _GROUP = T.StructType([
@@ -108,12 +117,17 @@ _GROUP = T.StructType([
 _GROUP_ARROW = pa.schema([("key", pa.binary()), ("keep_id", pa.int64()), ("n", pa.int64())])
 
 
-def _merge(batches: Iterator[pa.RecordBatch], flush: int | None) -> Iterator[pa.RecordBatch]:
+def _merge(batches: Iterator[pa.RecordBatch], in_order: bool) -> Iterator[pa.RecordBatch]:
+    """Merge rows of one key. The index holds FLUSH_KEYS keys; it is handed on when full.
+
+    In order of the keys that is final for all but the last key, which goes on; otherwise a key may come out again later.
+    """
     index, keep, total = CuckooIndex(), [], []
 
-    def out():
-        for i in range(0, len(index.keys), 10_000):
-            yield pa.record_batch([index.keys[i : i + 10_000], keep[i : i + 10_000], total[i : i + 10_000]], schema=_GROUP_ARROW)
+    def out(upto: int):
+        for i in range(0, upto, 10_000):
+            e = min(i + 10_000, upto)
+            yield pa.record_batch([index.keys[i:e], keep[i:e], total[i:e]], schema=_GROUP_ARROW)
 
     for batch in batches:
         for key, doc, n in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
@@ -125,10 +139,14 @@ def _merge(batches: Iterator[pa.RecordBatch], flush: int | None) -> Iterator[pa.
                 total[ref] += n
                 if keep[ref] is None or doc is not None and doc > keep[ref]:
                     keep[ref] = doc
-        if flush and len(index) >= flush:
-            yield from out()
-            index, keep, total = CuckooIndex(), [], []
-    yield from out()
+        if len(index) >= FLUSH_KEYS:
+            done = len(index) - in_order
+            yield from out(done)
+            rest = list(zip(index.keys[done:], keep[done:], total[done:], strict=True))
+            index, keep, total = CuckooIndex(), [r[1] for r in rest], [r[2] for r in rest]
+            for key, *_ in rest:
+                index.add(key)
+    yield from out(len(index))
 
 
 def content_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -142,45 +160,54 @@ def groups(keys: DataFrame) -> DataFrame:
     """(key, keep_id, n) per distinct content of keys(doc_id, key).
 
     Each task first merges its own rows in a cuckoo index, so a content that holds a third of all rows
-    reaches the shuffle as one row a task; the merged rows then meet in the index of their key's partition.
+    reaches the shuffle as one row a task; the merged rows then meet, sorted by key, in the index of their key's partition. Neither index
+    outgrows FLUSH_KEYS keys and a batch.
     """
     rows = keys.select("key", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("n"))
-    local = rows.mapInArrow(lambda it: _merge(it, FLUSH_KEYS), _GROUP)
-    return local.repartition("key").mapInArrow(lambda it: _merge(it, None), _GROUP)
+    local = rows.mapInArrow(lambda it: _merge(it, False), _GROUP)
+    return local.repartition("key").sortWithinPartitions("key").mapInArrow(lambda it: _merge(it, True), _GROUP)
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays (null ids rank lowest). Of rows that repeat both
-    id and text exactly one is kept. Null texts equal empty ones. Other columns are ignored. An empty table gives none.
+    id and text exactly one is kept. Null texts equal empty ones. Other columns are ignored. An empty table gives none. The rows of a
+    frequent text are joined with their group in parts.
     """
     keys = stash(content_keys(docs, id_col, text_col), "keys")
-    found = groups(keys)
+    found = stash(groups(keys), "groups")
     rows = keys.groupBy("doc_id", "key").agg(F.count("*").cast("int").alias("times"))
-    return rows.join(found, "key").select(
+    return join_hot(rows, found, "key", "doc_id").select(
         "doc_id", "keep_id", F.col("n").alias("group_size"), F.lower(F.hex(F.substring("key", 1, 32))).alias("text_sha256"),
         F.explode(F.sequence(F.lit(1), "times")).alias("copy"),
     ).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
+def _orderable(kind: T.DataType) -> bool:
+    """Whether values of a type can be sorted: not if there is a map or a variant anywhere in it."""
+    inner = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else []
+    return not isinstance(kind, (T.MapType, T.VariantType)) and all(map(_orderable, inner))
+
+
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_duplicates() keeps, with all their columns.
+    """The rows of docs that exact_duplicates() keeps, with all their columns, whatever their names.
 
-    Content and id make up one key, by which the rows are joined with what stays and repeated rows told apart: the texts are
-    shuffled once.
+    Null texts equal empty ones, and null ids rank lowest. Of rows that repeat id and text the first by the other columns stays (any one where
+    only columns that can't be sorted differ). An empty table gives none. Content and id make up one key, by which the rows are joined with
+    what stays and repeated rows told apart: the texts are shuffled once.
     """
 
     def place(key, doc):
-        return F.concat(key, F.coalesce(doc.cast("string"), F.lit("-")).cast("binary")).alias("_at")
+        return F.concat(key, F.coalesce(doc.cast("string"), F.lit("-")).cast("binary")).alias("at")
 
     stay = stash(groups(content_keys(docs, id_col, text_col)).select(place(F.col("key"), F.col("keep_id"))), "stay")
     text = F.coalesce(F.col(text_col), F.lit(""))
     key = F.unhex(F.concat(F.sha2(text, 256), F.lpad(F.hex(F.octet_length(text)), 16, "0")))
-    kept = docs.withColumn("_at", place(key, F.col(id_col).cast("long"))).join(stay, "_at")
-    others = [c for c, t in docs.dtypes if c != text_col and not t.startswith("map")]
-    first = F.row_number().over(Window.partitionBy("_at").orderBy(*others))
-    return kept.withColumn("_first", first).where("_first = 1").select(*docs.columns)
+    kept = docs.select(F.struct("*").alias("row"), place(key, F.col(id_col).cast("long"))).join(stay, "at")
+    others = [F.col("row")[f.name] for f in docs.schema.fields if f.name != text_col and _orderable(f.dataType)]
+    first = F.row_number().over(Window.partitionBy("at").orderBy(*(others or [F.lit(0)])))
+    return kept.withColumn("first", first).where("first = 1").select("row.*")
 
 
 # -- a kept index: build once, then apply insertions and deletions ------------------------------------

@@ -10,16 +10,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stash
 
 #: The model is fitted on about so many labelled documents of a language (chosen by a hash of their id), or on all if there are fewer.
 SAMPLE_DOCS = 1000
-#: It knows the most frequent words of a language and, of each length from LONGEST down to 1, its most frequent n-grams.
-MAX_WORDS = 20_000
-MAX_GRAMS = 4_000
+#: It knows all their words and all n-grams of these of each length from LONGEST down to 1, so the sample bounds the model.
 LONGEST = 5
 #: Unseen words whose scores a worker remembers.
 WORD_CACHE = 200_000
@@ -28,8 +26,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 def words_of(text: str | None) -> list[str]:
-    """Runs of letters in lower case."""
-    return _WORD.findall((text or "").lower())
+    """Runs of letters in lower case; other numerals, such as a raised two, end a run as digits do."""
+    found = _WORD.findall((text or "").lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [run for word in found for run in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 def held_out(id_col: Column) -> Column:
@@ -42,16 +43,28 @@ def _word_counts(docs: DataFrame) -> DataFrame:
         for batch in batches:
             counts: Counter = Counter()
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                counts.update((lang, w) for w in words_of(text.as_py()) if w.isalpha())
+                counts.update((lang, w) for w in words_of(text.as_py()))
             keys = list(counts)
             yield pa.record_batch([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "word", "n"])
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
-def _top(counts: DataFrame, by: list[str], key: str, most: int) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("n").desc(), key))
-    return counts.withColumn("place", place).where(F.col("place") <= most).drop("place")
+def _gram_counts(words: DataFrame) -> DataFrame:
+    """(lang, size, gram, n): every distinct n-gram of a word counts as often as the word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            counts: Counter = Counter()
+            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                padded = f"<{word}>"
+                for size in range(1, LONGEST + 1):
+                    for gram in {padded[i : i + size] for i in range(len(padded) - size + 1)}:
+                        counts[lang, size, gram] += n
+            langs, sizes, grams = zip(*counts, strict=True) if counts else ((), (), ())
+            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(grams, pa.string()), pa.array(counts.values(), pa.int64())], names=["lang", "size", "gram", "n"])
+
+    return words.select("lang", "word", "n").mapInArrow(run, "lang string, size int, gram string, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
 
 class Model:
@@ -60,26 +73,35 @@ class Model:
     def __init__(self, langs: list[str], tables: list[dict[str, dict[str, int]]], totals: list[dict[str, int]]):
         """tables: of words, then of n-grams of LONGEST to 1 characters: language -> key -> count; totals: the sums of all counts."""
         self.langs = langs
-        self.levels: list[dict[str, tuple[float, ...]]] = []
+        self.rows: list[dict[str, int]] = []  # of each level: key -> row of its scores
+        self.scores: list[np.ndarray] = []
         for table, total in zip(tables, totals, strict=True):
-            keys = {k for counts in table.values() for k in counts}
-            floor = 0.5
-            logs = {lang: math.log(total.get(lang, 0) + floor * (len(keys) + 1)) for lang in langs}
-            self.levels.append({k: tuple(math.log(table.get(lang, {}).get(k, 0) + floor) - logs[lang] for lang in langs) for k in keys})
-
-    def backoff(self, word: str) -> tuple[float, ...] | None:
+            rows: dict[str, int] = {}
+            for counts in table.values():
+                for key in counts:
+                    rows.setdefault(key, len(rows))
+            scores = np.full((len(rows), len(langs)), 0.5)
+            for at, lang in enumerate(langs):
+                counts = table.get(lang, {})
+                scores[[rows[k] for k in counts], at] += np.fromiter(counts.values(), dtype=float, count=len(counts))
+            sums = np.array([total.get(lang, 0) + 0.5 * (len(rows) + 1) for lang in langs])
+            self.rows.append(rows)
+            self.scores.append(np.log(scores) - np.log(sums))
+
+    def backoff(self, word: str) -> np.ndarray | None:
         """Log scores per language of a word that isn't known: the mean of its known n-grams of the greatest length that has any; None if not even one of its characters is known."""
         padded = f"<{word}>"
         for level, n in enumerate(range(LONGEST, 0, -1), 1):
-            get = self.levels[level].get
-            found = [g for i in range(len(padded) - n + 1) if (g := get(padded[i : i + n])) is not None]
-            if found and (n > 1 or any(c in self.levels[level] for c in word)):
-                return tuple(sum(s) / len(found) for s in zip(*found, strict=True))
+            get = self.rows[level].get
+            found = [row for i in range(len(padded) - n + 1) if (row := get(padded[i : i + n])) is not None]
+            if found and (n > 1 or any(c in self.rows[level] for c in word)):
+                return self.scores[level][found].mean(axis=0)
         return None
 
-    def word(self, word: str) -> tuple[float, ...] | None:
+    def word(self, word: str) -> np.ndarray | None:
         """Log scores of a word per language."""
-        return self.levels[0].get(word) or self.backoff(word)
+        row = self.rows[0].get(word)
+        return self.backoff(word) if row is None else self.scores[0][row]
 
     def predict(self, text: str | None) -> tuple[str, float]:
         """The language and its share (0 to 1) of the languages' likelihoods; und and 0 for texts without letters."""
@@ -96,37 +118,38 @@ class Model:
 class Scorer:
     """A worker's table of word scores: known words, and the unseen words that it has met lately."""
 
-    #: Rows of what isn't made of letters and of what no language knows.
-    NO_LETTERS, NOTHING = 0, 1
-
     def __init__(self, model: Model):
         self.model = model
-        known = model.levels[0]
-        self.known = {w: i for i, w in enumerate(known, 2)}
-        self.scores = np.zeros((len(known) + 2 + WORD_CACHE, max(1, len(model.langs))))
-        if known and model.langs:
-            self.scores[2 : len(known) + 2] = list(known.values())
-        self.rows = dict(self.known)
-        self.next = len(known) + 2
+        self.known = len(model.rows[0])
+        self.scores = np.zeros((self.known + 1 + WORD_CACHE, max(1, len(model.langs))))
+        if model.langs:
+            self.scores[: self.known] = model.scores[0]
+        self.nothing = self.known  # the row of what no language knows
+        self._forget()
+
+    def _forget(self) -> None:
+        self.unseen: dict[str, int] = {}
+        self.next = self.known + 1
 
     def row(self, word: str) -> int:
-        if not word.isalpha():
-            return self.NO_LETTERS
-        scores = self.model.backoff(word) if self.model.langs else None
-        if scores is None:
-            return self.NOTHING
-        row = self.next
-        self.scores[row], self.rows[word], self.next = scores, row, row + 1
+        """The row of a word that isn't known."""
+        row = self.unseen.get(word)
+        if row is None:
+            scores = self.model.backoff(word) if self.model.langs else None
+            row = self.nothing if scores is None else self.next
+            if scores is not None:
+                self.scores[row], self.next = scores, row + 1
+            self.unseen[word] = row
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        if self.next + len(text or "") >= len(self.scores):
+        if max(self.next, self.known + len(self.unseen)) + len(text or "") >= len(self.scores):
             if len(text or "") >= WORD_CACHE:  # a text that may hold more new words than there are places
                 self.scores = np.concatenate([self.scores, np.zeros((len(text), self.scores.shape[1]))])
-            self.rows, self.next = dict(self.known), len(self.known) + 2
-        get, row = self.rows.get, self.row
-        found = np.array([get(w) or row(w) for w in words_of(text)], dtype=np.int64)
-        if not self.model.langs or not found.any():
+            self._forget()
+        get, row = self.model.rows[0].get, self.row
+        found = np.array([row(w) if (at := get(w)) is None else at for w in words_of(text)], dtype=np.int64)
+        if not self.model.langs or not len(found):
             return UNKNOWN, 0.0
         totals = self.scores[found].sum(axis=0)
         best = int(totals.argmax())
@@ -136,8 +159,8 @@ class Scorer:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """Fit the model on the labelled documents that are not held out.
 
-    At most about SAMPLE_DOCS documents a language are read, by a hash of their id; counts are aggregated by Spark and only the bounded
-    tables of frequent words and n-grams reach the driver.
+    At most about SAMPLE_DOCS documents a language are read, by a hash of their id; counts are aggregated by Spark, and the tables of the
+    sample's words and n-grams reach the driver. Labels are taken as they are, one language for each distinct value.
     """
     rows = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out(F.col("id")))
@@ -147,35 +170,32 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     share = F.element_at(F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, SAMPLE_DOCS / n))]), F.col("lang"))
     place = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) / float(1 << 20)
     counts = stash(_word_counts(rows.where(place < share)), "words")
-    padded = F.concat(F.lit("<"), "word", F.lit(">"))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.lit(LONGEST)),
-        lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(padded) - n + 1, F.lit(1))), lambda i: F.substring(padded, i, n)),
-    )
-    pieces = counts.select("lang", "n", F.explode(F.array_distinct(F.flatten(grams))).alias("gram"))
-    by_gram = stash(pieces.groupBy("lang", F.length("gram").alias("size"), "gram").agg(F.sum("n").alias("n")), "grams")
+    by_gram = stash(_gram_counts(counts), "grams")
     tables: list[dict[str, dict[str, int]]] = [{} for _ in range(LONGEST + 1)]
     totals: list[dict[str, int]] = [{} for _ in range(LONGEST + 1)]
-    for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect():
-        totals[0][r["lang"]] = r["n"]
-    for r in by_gram.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect():
-        totals[LONGEST + 1 - r["size"]][r["lang"]] = r["n"]
-    for r in _top(counts, ["lang"], "word", MAX_WORDS).collect():
-        tables[0].setdefault(r["lang"], {})[r["word"]] = r["n"]
-    for r in _top(by_gram, ["lang", "size"], "gram", MAX_GRAMS).collect():
-        tables[LONGEST + 1 - r["size"]].setdefault(r["lang"], {})[r["gram"]] = r["n"]
+    for level, frame in [(F.lit(0), counts.withColumnRenamed("word", "key")), (LONGEST + 1 - F.col("size"), by_gram.withColumnRenamed("gram", "key"))]:
+        found = frame.select(level.cast("int").alias("level"), "lang", "key", "n").toArrow()
+        for at, lang, key, n in zip(*(c.to_pylist() for c in found.columns), strict=True):
+            tables[at].setdefault(lang, {})[key] = n
+            totals[at][lang] = totals[at].get(lang, 0) + n
     return Model(sorted(sizes), tables, totals)
 
 
-def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with the columns lang_pred and score; map-only. The text is all that a prediction sees."""
+def _predicted(docs: DataFrame, model: Model, text_col: str) -> DataFrame:
+    """(row: all columns of docs, p: lang_pred and score); map-only. The text is all that a prediction sees."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def predict(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([shared.value.predict(t) for t in texts], columns=["lang_pred", "score"])
 
-    return docs.withColumn("_p", predict(F.col(text_col).cast("string"))).select(*docs.columns, F.col("_p.lang_pred").alias("lang_pred"), F.col("_p.score").alias("score"))
+    return docs.select(F.struct("*").alias("row"), predict(F.col(text_col).cast("string")).alias("p"))
+
+
+def with_language(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with the columns lang_pred and score, which replace columns of these names."""
+    others = [F.col("row")[c].alias(c) for c in docs.columns if c not in ("lang_pred", "score")]
+    return _predicted(docs, model, text_col).select(*others, "p.lang_pred", "p.score")
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -191,7 +211,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs whose language is identified with a score of at least least."""
+    """The rows of docs whose language is identified with a score of at least least, with all their columns, whatever their names.
+
+    Null, empty and letterless texts go, and so does everything if no row is labelled; the rest as identify() says. Rows that repeat stay or go
+    together. An empty table gives none.
+    """
     model = train(docs, id_col, text_col, lang_col)
-    named = with_language(docs.withColumn("_text", F.col(text_col)), model, "_text")
-    return named.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*docs.columns)
+    named = _predicted(docs, model, text_col)
+    return named.where((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")

@@ -71,7 +71,8 @@ class WordTokenizer:
     For tokenizers that drop white space, never merge across it and split letters from other characters: there the ids of a text are
     those of its white-space separated words in turn, and the ids of letters followed by plain punctuation are those of
     the letters and of the punctuation. Words of letters go straight to the library's merge model, after its
-    normalizer (for Latin letters the same form and case from Python's own tables); every other word takes the library's whole path.
+    normalizer (for Latin letters the same form and case from Python's own tables); every other word, those that hold a special token's
+    string among them, takes the library's whole path.
     """
 
     def __init__(self, path: str):
@@ -79,7 +80,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
         self.merge = self.full.model
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = (b for b in range(256) if b not in set(plain))

@@ -1,4 +1,4 @@
-"""Near copies by the similarity of their sets of word shingles: MinHash buckets propose, the sets themselves decide."""
+"""Near copies by the similarity of their sets of word shingles: covering SimHash proposes, the sets themselves decide."""
 
 from __future__ import annotations
 
@@ -7,45 +7,42 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from . import simhash
+from .common import components, discard, join_hot, least_of, stash
 
-SEED = 42
-#: Buckets per set, and minima that a bucket joins: sets of similarity s share one with probability 1 - (1 - s**ROWS)**BANDS.
-#: At 0.8 that leaves out 8 pairs in a million, at 0.85 less than one in a thousand million.
-BANDS, ROWS = 64, 8
+#: Share of the pairs at the least similarity that may have no common bucket.
+MISS = 0.01
+#: Fingerprints that candidates are compared by besides, and how many standard deviations beyond the expected difference still pass.
+COMPARED, SIGMAS = 2, 4
 #: Members of a candidate group that are compared in one block; larger groups are split into pairs of blocks.
-BLOCK = 2048
+BLOCK = 512
 
-_rng = np.random.default_rng(SEED)
-_TIMES = _rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-_PLUS = _rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint32)
-_JOIN = _rng.integers(0, 2**63, (BANDS, ROWS), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+# Fixed values of the SplitMix64 generator, whose finalizer turns one hash of a shingle into several.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
 def shingle_set(text: str | bytes | None, shingle: int = 5) -> np.ndarray:
-    """The sorted distinct XXH64 values of the text's word shingles.
+    """The sorted distinct XXH64 values of the text's word shingles (see simhash.shingle_hashes); none for null or wordless texts."""
+    return np.unique(simhash.shingle_hashes(text, shingle))
 
-    Words are runs of bytes other than ASCII white space, A-Z in lower case. A text of fewer words than a shingle is one
-    shingle; one without words (or null) has none.
-    """
-    words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(b" ".join(run), SEED) for run in runs], dtype=np.uint64))
+
+def set_id(hashes: np.ndarray) -> int:
+    """A 64-bit name of the set, signed."""
+    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes())).view(np.int64))
 
 
-def buckets(hashes: np.ndarray) -> np.ndarray:
-    """The numbers of the buckets of a set: each joins the least of its values under ROWS orders."""
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 2**32 - 1, dtype=np.uint32)
-    for i in range(0, len(short), 128):
-        np.minimum(least, (short[i : i + 128, None] * _TIMES + _PLUS).min(axis=0), out=least)
-    return (least.reshape(BANDS, ROWS) * _JOIN).sum(axis=1, dtype=np.uint64).view(np.int64)
+def set_fingerprint(hashes: np.ndarray, words: int) -> np.ndarray:
+    """So many independent SimHashes of a set of shingles."""
+    ones = np.zeros(words * simhash.BITS, dtype=np.int64)
+    for i in range(0, len(hashes), 4080):  # a bounded block of a long text
+        z = hashes[i : i + 4080, None] + np.arange(1, words + 1, dtype=np.uint64) * _STEP
+        z = (z ^ z >> np.uint64(30)) * _MIX[0]
+        z = (z ^ z >> np.uint64(27)) * _MIX[1]
+        ones += simhash.counts(z ^ z >> np.uint64(31))
+    return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.Array:
@@ -53,20 +50,50 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, dtype=np.int64), *arrays])))
 
 
-def sketches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """(doc_id, node, shingles, buckets) per row: node numbers the set; a set without shingles has no buckets."""
+def sketches(docs: DataFrame, words: int, shingle: int = 5) -> DataFrame:
+    """(doc_id, node, fingerprint) per row of docs(doc_id, text): node names the set; a set without shingles has no fingerprint."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for start in range(0, whole.num_rows, 1000):
-                batch = whole.slice(start, 1000)
-                sets = [shingle_set(x.as_py(), shingle) for x in batch.column(1)]
-                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], dtype=np.uint64).view(np.int64)
-                found = [buckets(s) if len(s) else np.empty(0, dtype=np.int64) for s in sets]
-                yield pa.record_batch([batch.column(0), pa.array(nodes), _lists([s.view(np.int64) for s in sets]), _lists(found)], names=["doc_id", "node", "shingles", "buckets"])
+        for batch in batches:
+            nodes, prints = [], []
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), shingle)
+                nodes.append(set_id(own))
+                prints.append(set_fingerprint(own, words).view(np.int64) if len(own) else None)
+            yield pa.record_batch([batch.column(0), pa.array(nodes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))], names=["doc_id", "node", "fingerprint"])
+
+    return docs.mapInArrow(run, "doc_id long, node long, fingerprint array<long>")
+
+
+def candidates(values: DataFrame, plan: tuple[int, int, int], least: float) -> DataFrame:
+    """Edges (u, v) that connect the nodes of values(node, fingerprint) which share a covering bucket and whose compared words are near enough for that similarity."""
+    words, bits, radius = plan
+    tables = [(word, mask) for word in range(words) for mask in simhash.covering_masks(radius, bits)]
+    share, size = simhash.differing_share(least), COMPARED * simhash.BITS
+    most = round(share * size + SIGMAS * (share * (1 - share) * size) ** 0.5)
+    return simhash.links(values, tables, list(range(words, words + COMPARED)), most)
 
-    schema = "doc_id long, node long, shingles array<long>, buckets array<long>"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, schema)
+
+def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """(component, blocks, block, node, shingles) of members(_id, node, component, blocks, block), read from docs(doc_id, text) again."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # members of this task: rows that repeat id and text count once
+        for batch in batches:
+            at, sets = [], []
+            for i, (text, node) in enumerate(zip(batch.column(0), batch.column(4).to_pylist(), strict=True)):
+                if node in seen:
+                    continue
+                own = shingle_set(text.as_py(), shingle)
+                if set_id(own) == node:  # another text of the same id otherwise
+                    seen.add(node)
+                    at.append(i)
+                    sets.append(own.view(np.int64))
+            kept = batch.take(pa.array(at, pa.int32()))
+            yield pa.record_batch([*kept.columns[1:], _lists(sets)], names=["component", "blocks", "block", "node", "shingles"])
+
+    rows = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "component", "blocks", "block", "node")
+    return rows.mapInArrow(run, "component long, blocks int, block int, node long, shingles array<long>")
 
 
 def _links(values: np.ndarray, offsets: np.ndarray, least: float, split: int | None = None) -> Iterator[tuple[int, int]]:
@@ -143,48 +170,54 @@ def _linker(least: float):
     return run
 
 
-def links(sets: DataFrame, values: DataFrame, least: float = 0.8, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between the nodes of sets(row, node, shingles, buckets) that connect what pairs of at least that similarity connect.
+def links(docs: DataFrame, values: DataFrame, edges: DataFrame, least: float = 0.8, shingle: int = 5, block: int = BLOCK) -> DataFrame:
+    """Edges (u, v) between nodes that connect what pairs of at least that similarity within a candidate group connect.
 
-    values(node, row) names one row of sets for each node. Sets that share a bucket, directly or through others, form a candidate group; every set then goes to its
-    group once, where all pairs are compared by their shingles. Groups over the block size are split into blocks whose pairs
-    are separate tasks. A group yields fewer edges than it has members in each task.
+    values(node, first_id) names a document of docs(doc_id, text) for each node; edges(u, v) are candidates, which group nodes directly or through others.
+    Every set of a group goes to it once, where all pairs are compared by their shingles; texts without candidates are not read again.
+    Groups over the block size are split into blocks whose pairs are separate tasks. A group yields fewer edges than it has
+    members in each task.
     """
-    within = Window.partitionBy("bucket")
-    shared = sets.select("node", F.explode("buckets").alias("bucket")).withColumn("first", F.min("node").over(within))
-    groups = stash(components(shared.where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))), "groups")
+    groups = stash(components(edges), "groups")
     large = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
-    members = groups.join(values.select("node", "row"), "node").join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = stash(members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), "blocks").cast("int")), "members")  # for its size: few members need no exchange of sets
-    dealt = sets.select("row", "shingles").join(members, "row").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = groups.join(values.select("node", F.col("first_id").alias("_id")), "node").join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    members = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int"))
+    members = stash(members, "members")  # for its size: few members need no exchange of texts
+    dealt = _sets(docs, members, shingle).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     tasks = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
     return tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block").mapInArrow(_linker(least), "u long, v long")
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, miss: float = MISS) -> DataFrame:
     """One row per input row: doc_id, component_id.
 
     Documents are linked if the Jaccard similarity of their shingle sets is at least least; component_id is the smallest non-null
     doc_id reachable, itself included. Equal sets are merged before any comparison, and so are null and wordless texts, which have
-    none. Every link is verified; what is missed are pairs that share no bucket (see BANDS). Other columns are ignored. An empty table gives none.
+    none. Candidates share a bucket of covering SimHash (simhash.covering_plan) and every link is verified on the whole sets. What is missed are pairs
+    without a common bucket: by calculation the share miss at the least similarity, at any number of documents, and fewer above. Repeated rows
+    have one component. Other columns are ignored. An empty table gives none.
     """
-    rows = stash(sketches(docs, id_col, text_col, shingle).withColumn("row", F.monotonically_increasing_id()), "sketches")
-    values = stash(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), F.min("row").alias("row")), "values")
-    label = components(links(rows, values, least))
-    joined = values.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    smallest = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = stash(joined.join(smallest, "component").select("node", "component_id"), "components")
-    return rows.select("doc_id", "node").join(found, "node").select("doc_id", "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
+    plan = simhash.covering_plan(docs.count(), least, miss)
+    rows = stash(sketches(docs, plan[0] + COMPARED, shingle), "sketches")
+    values = stash(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "values")
+    edges = links(docs, values, candidates(values.where("fingerprint is not null"), plan, least), least, shingle)
+    label = stash(components(edges), "components")
+    linked = least_of(values.select("node", "first_id").join(label, "node"), "component", "first_id", "node", "component_id").select("node", F.col("component_id").alias("_least"))
+    found = stash(values.join(linked, "node", "left").select("node", F.coalesce("_least", "first_id").alias("component_id"), "n"), "found")
+    return join_hot(rows.select("doc_id", "node"), found, "node", "doc_id").select("doc_id", "component_id")
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, miss: float = MISS) -> DataFrame:
     """The rows of docs with one document of each near_copies() component: that of the smallest doc_id.
 
-    Rows of a doc_id that stays anywhere stay (drop exact copies first), and so do rows without an id. What goes is joined by id,
-    and is usually few enough for Spark to broadcast by its size.
+    Null, empty and wordless texts are copies of each other. Rows of a doc_id that stays anywhere stay (drop exact copies first), and so do rows
+    without an id. All columns are kept, whatever their names. An empty table gives none. What goes is joined by id, and is usually few
+    enough for Spark to broadcast by its size.
     """
-    found = stash(near_copies(docs, id_col, text_col, shingle, least), "components")
+    found = stash(near_copies(docs, id_col, text_col, shingle, least, miss), "components")
     stays = found.where("doc_id = component_id").select("doc_id")
     goes = found.where("doc_id <> component_id").select("doc_id").distinct().join(stays, "doc_id", "left_anti")
     goes = stash(goes.select(F.col("doc_id").alias("_goes")), "goes")
-    return docs.join(goes, docs[id_col] == goes["_goes"], "left_anti")
+    discard(found)
+    return docs.join(goes, docs[id_col].cast("long") == goes["_goes"], "left_anti")

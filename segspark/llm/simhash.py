@@ -2,67 +2,107 @@
 
 from __future__ import annotations
 
+import functools
+import math
 import random
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, stash
+from .common import components, join_hot, least_of, stash
 
 SEED = 42
 BITS = 64
 #: Members of a bucket that are compared in one block; larger buckets are split into pairs of blocks.
-BLOCK = 2048
+BLOCK = 1024
+#: In buckets of at most so many members all pairs are compared, many buckets in one step.
+SMALL = 64
+#: The sizes of buckets are estimated from one in so many members. They only decide how a bucket is split.
+SAMPLE = 16
 
 
-def fingerprint(text: str | bytes | None, shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> list[int]:
-    """SimHashes of the text's word shingles, one per seed: bit k is 1 if set in over half of their XXH64 values.
+def shingle_hashes(text: str | bytes | None, shingle: int) -> np.ndarray:
+    """The XXH64 values (seed 42) of the text's word shingles, repeats included.
 
     Words are runs of bytes other than ASCII white space, A-Z in lower case. A text of fewer words than a shingle is one
-    shingle; one without words (or null) has fingerprint 0.
+    shingle; one without words (or null) has none.
     """
     words = (text.encode() if isinstance(text, str) else text or b"").lower().split()
     if not words:
-        return [0] * len(seeds)
+        return np.empty(0, dtype=np.uint64)
     runs = zip(*(words[i:] for i in range(shingle)), strict=False) if len(words) >= shingle else [words]
-    shingles, digest, out = [b" ".join(run) for run in runs], xxhash.xxh64_intdigest, []
-    for seed in seeds:
-        hashes = np.array([digest(s, seed) for s in shingles], dtype="<u8")
-        ones = np.zeros(BITS, dtype=np.int64)
-        for i in range(0, len(hashes), 8192):
-            ones += np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0]))
-    return out
+    digest = xxhash.xxh64_intdigest
+    return np.array([digest(b" ".join(run), SEED) for run in runs], dtype=np.uint64)
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """(doc_id, fingerprint array<bigint> of 64 bits per seed) per row; other columns are ignored."""
+def counts(hashes: np.ndarray) -> np.ndarray:
+    """How often each bit is set in the rows of hashes (rows, words)."""
+    ones = np.zeros(hashes.shape[1] * BITS, dtype=np.int64)
+    flat = np.ascontiguousarray(hashes).astype("<u8", copy=False).view(np.uint8).reshape(len(hashes), -1)
+    for i in range(0, len(flat), 255):  # as many as a byte can count
+        ones += np.unpackbits(flat[i : i + 255], axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return ones
+
+
+def fingerprint(text: str | bytes | None, shingle: int = 3) -> int:
+    """SimHash of the text's word shingles: bit k is 1 if set in over half of their XXH64 values; 0 without words."""
+    hashes = shingle_hashes(text, shingle)
+    return int(np.packbits(2 * counts(hashes[:, None]) > len(hashes), bitorder="little").view("<u8")[0]) if len(hashes) else 0
+
+
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
+    """(doc_id, fingerprint: 64 bits as bigint) per row; other columns are ignored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.array([fingerprint(x.as_py(), shingle, seeds) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.record_batch([batch.column(0), pa.array(values.reshape(-1, len(seeds)).tolist(), pa.list_(pa.int64()))], names=["doc_id", "fingerprint"])
+            values = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
+            yield pa.record_batch([batch.column(0), pa.array(values)], names=["doc_id", "fingerprint"])
 
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fingerprint array<long>")
+    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("binary")).mapInArrow(run, "doc_id long, fingerprint long")
 
 
-def covering_masks(radius: int, seed: int = 7) -> list[int]:
-    """The 2**(radius+1) - 1 bit masks of a covering code.
+def covering_masks(radius: int, bits: int = BITS, seed: int = 7) -> list[int]:
+    """The 2**(radius+1) - 1 masks over so many bits of a covering code.
 
     Every bit gets a non-zero label of radius + 1 bits; mask v keeps the bits whose label has odd overlap with v. Any
     radius differing bits leave at least one v that is orthogonal to all their labels, so two fingerprints within the
     radius agree on all bits of some mask. Labels are dealt evenly, so that masks keep about half of the bits.
     """
-    labels = [1 + i % (2 ** (radius + 1) - 1) for i in range(BITS)]
-    if 2 ** (radius + 1) - 1 > BITS:
-        labels = random.Random(seed).sample(range(1, 2 ** (radius + 1)), BITS)
+    labels = [1 + i % (2 ** (radius + 1) - 1) for i in range(bits)]
+    if 2 ** (radius + 1) - 1 > bits:
+        labels = random.Random(seed).sample(range(1, 2 ** (radius + 1)), bits)
     return [sum(1 << i for i, label in enumerate(labels) if (label & v).bit_count() % 2) for v in range(1, 2 ** (radius + 1))]
 
 
+def differing_share(similarity: float) -> float:
+    """The expected share of differing bits of two shingle sets of that Jaccard similarity and equal size (at most that, if sizes differ)."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+@functools.cache
+def covering_plan(count: int, similarity: float, miss: float) -> tuple[int, int, int]:
+    """(words, bits, radius): how many fingerprints of how many bits, covered up to which radius, for so many documents.
+
+    Masks keep about log2(count) - 4 bits, so a bucket holds about sixteen unrelated documents whatever the count. Pairs within the radius in any
+    of the fingerprints always meet, and so do many beyond it. As many fingerprints are taken as leave at most the share miss of the pairs at that
+    similarity without a common bucket, at every count; of all radii the one with the fewest masks in all is chosen.
+    """
+    bits = 2 * min(max(math.ceil(math.log2(max(count, 2))) - 4, 10), BITS // 2)
+    drawn = np.random.default_rng(SEED).random((20_000, bits)) < differing_share(similarity)
+    differ = (drawn * (np.uint64(1) << np.arange(bits, dtype=np.uint64))).sum(axis=1, dtype=np.uint64)
+    best = (math.inf, 0, 0)
+    for radius in range(1, 8):
+        masks = np.array(covering_masks(radius, bits), dtype=np.uint64)
+        meet = (differ[:, None] & masks == 0).any(axis=1).mean()
+        words = math.ceil(math.log(miss) / math.log1p(-meet))
+        best = min(best, (words * len(masks), words, radius))
+    return best[1], bits, best[2]
+
+
 def _links(values: np.ndarray, most: int, split: int | None = None) -> Iterator[tuple[int, int]]:
     """Edges between positions that connect exactly what pairs of at most most differing bits connect (between values[:split] and values[split:] if given).
 
@@ -86,31 +126,39 @@ def _links(values: np.ndarray, most: int, split: int | None = None) -> Iterator[
 
 
 def _linker(most: int):
-    """For rows (bucket, i, j, block, node, fingerprint) sorted by bucket, i, j, block: the edges within each (bucket, i, j)."""
+    """For rows (bucket, i, j, block, node, words of the fingerprint...) sorted by bucket, i, j, block: the edges within each (bucket, i, j)."""
+
+    def edges(keys: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
+        new = np.r_[True, (keys[1:, :3] != keys[:-1, :3]).any(axis=1)]
+        group, starts = np.cumsum(new) - 1, np.flatnonzero(new)
+        ends = np.r_[starts[1:], len(keys)]
+        small = (ends - starts <= SMALL)[group]
+        pairs = [np.empty((2, 0), dtype=np.int64)]
+        for step in range(1, SMALL):
+            at = np.flatnonzero(small[step:] & (group[step:] == group[:-step]))
+            if not len(at):
+                break
+            at = at[(keys[at, 1] == keys[at, 2]) | (keys[at, 3] != keys[at + step, 3])]
+            at = at[np.bitwise_count(values[at] ^ values[at + step]).sum(axis=1) <= most]
+            pairs.append(np.stack([at, at + step]))
+        near = np.concatenate(pairs, axis=1)
+        dense = (ends - starts > SMALL) | (np.bincount(group[near[0]], minlength=len(starts)) > ends - starts)
+        near = near[:, ~dense[group[near[0]]]]
+        u, v = [nodes[near[0]]], [nodes[near[1]]]
+        for s, e in zip(starts[dense], ends[dense], strict=True):
+            split = None if keys[s, 1] == keys[s, 2] else int((keys[s:e, 3] == keys[s, 1]).sum())
+            found = np.array(list(_links(values[s:e], most, split)), dtype=np.int64).reshape(-1, 2)
+            u.append(nodes[s:e][found[:, 0]])
+            v.append(nodes[s:e][found[:, 1]])
+        return pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def edges(keys: np.ndarray, nodes: np.ndarray, values: np.ndarray) -> pa.RecordBatch:
-            u, v = [], []
-            cuts = np.flatnonzero((keys[1:, :3] != keys[:-1, :3]).any(axis=1)) + 1
-            starts, ends = np.r_[0, cuts], np.r_[cuts, len(keys)]
-            pairs = starts[ends - starts == 2]
-            near = np.bitwise_count(values[pairs] ^ values[pairs + 1]).sum(axis=1) <= most
-            near &= (keys[pairs, 1] == keys[pairs, 2]) | (keys[pairs, 3] != keys[pairs + 1, 3])
-            u.append(nodes[pairs[near]])
-            v.append(nodes[pairs[near] + 1])
-            for s, e in zip(starts[ends - starts > 2], ends[ends - starts > 2], strict=True):
-                split = None if keys[s, 1] == keys[s, 2] else int((keys[s:e, 3] == keys[s, 1]).sum())
-                found = np.array(list(_links(values[s:e], most, split)), dtype=np.int64).reshape(-1, 2)
-                u.append(nodes[s:e][found[:, 0]])
-                v.append(nodes[s:e][found[:, 1]])
-            return pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
-
         held = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             keys = np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4)], axis=1)
-            values = batch.column(5).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(len(keys), -1)
+            values = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(5, batch.num_columns)], axis=1).view(np.uint64)
             now = (keys, batch.column(4).to_numpy(zero_copy_only=False), values)
             now = now if held is None else tuple(np.concatenate(x) for x in zip(held, now, strict=True))
             last = np.flatnonzero((now[0][:, :3] != now[0][-1, :3]).any(axis=1))
@@ -124,46 +172,38 @@ def _linker(most: int):
     return run
 
 
-def links(values: DataFrame, radius: int = 2, most: int | None = None, block: int = BLOCK) -> DataFrame:
+def links(values: DataFrame, tables: list[tuple[int, int]], compared: list[int], most: int, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) between the nodes of distinct values(node, fingerprint array<bigint>) that connect near ones.
 
-    Every value goes to one bucket per covering mask of each of its 64-bit fingerprints. Two values in a bucket are near if they
-    differ in at most most bits in all (the radius, if not given): with one fingerprint and most = radius exactly the pairs within the radius. Pairs
-    within the radius in any fingerprint always meet; pairs beyond it meet if a mask happens to miss all their differing bits.
+    tables are (word, mask): every value goes to one bucket for each, that of the word's bits under the mask. Two values in a bucket are near if they
+    differ in at most most bits of the compared words, which travel with the node, so nothing is joined back.
 
-    Buckets of one member are dropped; buckets over the block size are split into blocks whose pairs are separate tasks. A
-    bucket yields fewer edges than it has members, however many pairs it holds; what is near within it gets connected.
+    Large buckets are split into blocks whose pairs are separate tasks. A bucket yields at most as many edges in each
+    task as it has members there, however many pairs are near; what is near within it gets connected.
     """
-    first = values.select(F.size("fingerprint")).first()
-    masks = covering_masks(radius)
-    keys = [
-        F.xxhash64(F.lit(word * len(masks) + t), F.col("fingerprint")[word].bitwiseAND(F.lit(m - 2**64 if m >= 2**63 else m)))
-        for word in range(first[0] if first else 0)
-        for t, m in enumerate(masks)
-    ]
-    rows = values.select("node", F.explode(F.array(*keys).cast("array<bigint>")).alias("bucket"))
-    shared = stash(rows.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1"), "buckets").join(values, "node")
-    blocks = F.ceil(F.col("n") / block).cast("int")
-    dealt = shared.select("bucket", "node", "fingerprint", blocks.alias("blocks"), F.pmod(F.xxhash64("node", F.lit(1)), blocks).cast("int").alias("block"))
-    pairs = dealt.select("bucket", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"), "block", "node", "fingerprint").select(
-        "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "fingerprint"
-    )
-    tasks = pairs.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block")
-    return tasks.mapInArrow(_linker(radius if most is None else most), "u long, v long")
-
-
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, most: int | None = None, seeds: tuple[int, ...] = (SEED,)) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (array of 64 bits as bigint per seed), component_id.
-
-    Fingerprints that links() finds near are linked, by default those that differ in at most radius bits; component_id is the smallest non-null
+    signed = lambda m: m - 2**64 if m >= 2**63 else m
+    keys = F.array(*[F.xxhash64(F.lit(t), F.col("fingerprint")[word].bitwiseAND(F.lit(signed(mask)).cast("long"))) for t, (word, mask) in enumerate(tables)])
+    sampled = values.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SAMPLE)) == 0).select(F.explode(keys).alias("bucket"))
+    large = sampled.groupBy("bucket").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > block)
+    large = stash(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
+    rows = values.select("node", *[F.col("fingerprint")[w].alias(f"word{w}") for w in compared], F.explode(keys).alias("bucket"))
+    rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    tasks = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *[f"word{w}" for w in compared])
+    return tasks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block").mapInArrow(_linker(most), "u long, v long")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (64 bits as bigint), component_id.
+
+    Fingerprints that differ in at most radius bits are linked: such pairs always meet under a covering mask. component_id is the smallest non-null
     doc_id reachable, itself included. Copies share a fingerprint and are merged before any comparison. Null or wordless texts have
     fingerprint 0 and are linked like any other. Other columns are ignored. An empty table gives none.
     """
-    node = F.col("fingerprint")[0] if len(seeds) == 1 else F.xxhash64("fingerprint")
-    rows = stash(fingerprints(docs, id_col, text_col, shingle, seeds).withColumn("node", node), "fingerprints")
-    values = stash(rows.groupBy("node").agg(F.first("fingerprint").alias("fingerprint"), F.min("doc_id").alias("first_id")), "values")
-    label = components(links(values.select("node", "fingerprint"), radius, most))
-    joined = values.select("node", "first_id").join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = joined.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    found = stash(joined.join(least, "component").select("node", "component_id"), "components")
-    return rows.join(found, "node").select("doc_id", "fingerprint", "component_id")
+    rows = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    values = stash(rows.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "values")
+    edges = links(values.select("node", F.array("node").alias("fingerprint")), [(0, m) for m in covering_masks(radius)], [0], radius)
+    label = stash(components(edges), "components")
+    linked = least_of(values.drop("n").join(label, "node"), "component", "first_id", "node", "component_id").select("node", F.col("component_id").alias("_least"))
+    found = stash(values.join(linked, "node", "left").select(F.col("node").alias("fingerprint"), F.coalesce("_least", "first_id").alias("component_id"), "n"), "found")
+    return join_hot(rows, found, "fingerprint", "doc_id").select("doc_id", "fingerprint", "component_id")

@@ -8,12 +8,15 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from segspark.llm import bpe, caps, common, exact_dedup, language, line_dedup, mixing, records, secrets, simhash, warc
 
+from . import plain_language
+
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fingerprint string, size long, key string"
 
@@ -154,7 +157,8 @@ def test_links_connect_what_brute_force_connects(spark, block):
     edges = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 2]
     signed = [v - 2**64 if v >> 63 else v for v in values]
     frame = spark.createDataFrame([(v, [v]) for v in signed], "node long, fingerprint array<long>")
-    found = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(frame, 2, block=block).collect()]
+    tables = [(0, m) for m in simhash.covering_masks(2)]
+    found = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(frame, tables, [0], 2, block).collect()]
     assert all((a ^ b).bit_count() <= 2 for a, b in found)
     assert _reach(values, found) == _reach(values, edges)
 
@@ -168,7 +172,7 @@ def test_near_duplicates(docs, rows, none):
         if r[0] is not None:
             least[root[p]] = min(least.get(root[p], r[0]), r[0])
     got = simhash.near_duplicates(docs).collect()
-    assert _sorted((r[0], r[1][0] % 2**64, r[2]) for r in got) == _sorted((r[0], p, least.get(root[p])) for r, p in zip(rows, prints, strict=True))
+    assert _sorted((r[0], r[1] % 2**64, r[2]) for r in got) == _sorted((r[0], p, least.get(root[p])) for r, p in zip(rows, prints, strict=True))
     assert simhash.near_duplicates(none).count() == 0
 
 
@@ -178,7 +182,7 @@ def test_near_duplicates_on_documents(spark):
     prints = {r.doc_id: _fingerprint(r.text) for r in rows}
     ids = sorted(prints)
     root = _reach(ids, [(a, b) for i, a in enumerate(ids) for b in ids[i + 1 :] if (prints[a] ^ prints[b]).bit_count() <= 2])
-    assert {r[0]: (r[1][0] % 2**64, r[2]) for r in simhash.near_duplicates(table).collect()} == {i: (prints[i], root[i]) for i in ids}
+    assert {r[0]: (r[1] % 2**64, r[2]) for r in simhash.near_duplicates(table).collect()} == {i: (prints[i], root[i]) for i in ids}
 
 
 # -- 3 ------------------------------------------------------------------------------------------------
@@ -228,6 +232,24 @@ def test_pieces_encode_like_the_whole():
         assert [i for p in pieces for i in whole.encode_ordinary(p)] == whole.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("fill", [" ", "\n", " \n\u3000", "x", ".", "日"])
+def test_very_long_runs_decode(spark, fill):
+    n = 10_000_000 // len(fill) // len(fill.encode())
+    texts = [(1, fill * n), (2, "start " + fill * n + "end" + fill * 5000), (3, None)]
+    want = [(i, hashlib.sha256((t or "").encode()).hexdigest()) for i, t in texts]
+    got = bpe.round_trip(spark.createDataFrame(texts, "doc_id long, text string"), RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id, r.decoded_sha256) for r in got) == want
+
+
+def test_runs_of_white_space_encode_like_the_whole(monkeypatch):
+    monkeypatch.setattr(bpe, "_BLANKS", re.compile(f"[{bpe.WHITE_SPACE}]{{3,}}"))
+    own, whole, rng = bpe.Encoder(RANKS, public_tokenizers.PATTERN), bpe.encoding(RANKS, public_tokenizers.PATTERN), random.Random(6)
+    for _ in range(2000):
+        text = "".join(rng.choice(" \n\t\x1c\x85\u3000") * rng.choice((0, 1, 2, 5)) + rng.choice(["a", "Ab", "'s", "1", ".", "日", ""]) for _ in range(12))
+        assert own.encode(text) == whole.encode_ordinary(text)
+    assert own.encode("x" + " " * 9000 + "y") == whole.encode_ordinary("x" + " " * 9000 + "y")
+
+
 # -- 5 ------------------------------------------------------------------------------------------------
 
 
@@ -263,6 +285,36 @@ def test_cuckoo_index_grows_and_deletes():
     assert all(index.add(k)[1] for k in keys[::2]) and all(index.find(k) >= 0 for k in keys) and index.remove(b"x" * 32) == -1
 
 
+def test_cuckoo_index_places_every_key_once_after_repeated_growth():
+    rng = random.Random(2)
+    for _ in range(20):  # two buckets for all: only growth separates the keys
+        index = exact_dedup.CuckooIndex(1)
+        keys = [rng.randbytes(4) + bytes(4) + bytes([rng.randrange(3), 0]) + rng.randbytes(6) for _ in range(60)]
+        for k in keys:
+            index.add(k)
+        assert sum(map(bool, index.tags)) == len(index) == len(set(keys))
+        for k in set(keys):
+            index.remove(k)
+        assert not any(index.tags) and len(index) == 0
+
+
+def test_merging_flushes_in_order(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "FLUSH_KEYS", 3)
+    keys = sorted([b"%016d" % (i // 4) for i in range(60)])
+    batches = [pa.record_batch([keys[i : i + 7], list(range(i, min(i + 7, 60))), [1] * len(keys[i : i + 7])], schema=exact_dedup._GROUP_ARROW) for i in range(0, 60, 7)]
+    out = [tuple(r.values()) for b in exact_dedup._merge(iter(batches), True) for r in b.to_pylist()]
+    assert out == [(b"%016d" % k, 4 * k + 3, 4) for k in range(15)]
+
+
+def test_exact_stage_keeps_columns_of_any_name_and_type(spark):
+    docs = spark.sql("""SELECT doc_id, text, 'at' AS _at, 'first' AS _first, 1 AS at, 2 AS first, 3 AS row, map('a', 1) AS m, named_struct('m', map(1, 2)) AS s
+        FROM VALUES (1, 'x'), (2, 'x'), (2, 'x'), (3, NULL), (4, ''), (CAST(NULL AS INT), 'y') AS t(doc_id, text)""")
+    kept = exact_dedup.drop_exact_duplicates(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text, r._at, r._first, r.at, r.first_, r.row, r.s.m[1]) for r in kept.withColumnRenamed("first", "first_").collect()) == [
+        (0, "y", "at", "first", 1, 2, 3, 2), (2, "x", "at", "first", 1, 2, 3, 2), (4, "", "at", "first", 1, 2, 3, 2)]
+
+
 def test_kept_index(spark):
     keys = [(hashlib.sha256(b"%d" % i).digest(),) for i in range(300)]
     index = exact_dedup.build_index(spark.createDataFrame(keys[:200], "key binary"), 4)
@@ -285,6 +337,23 @@ def test_language_on_documents(spark):
     assert all(0 <= r.score <= 1 for r in got)
 
 
+@pytest.mark.parametrize("sample", [1000, 60])
+def test_language_equals_a_plain_model(spark, sample, monkeypatch):
+    monkeypatch.setattr(language, "SAMPLE_DOCS", sample)
+    monkeypatch.setattr(plain_language, "SAMPLE", sample)
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = plain_language.PlainModel([(r.doc_id, r.text, r.lang) for r in table.select("doc_id", "text", "lang").collect()])
+    want = {r.doc_id: (zlib.crc32(str(r.doc_id).encode()) % 4 == 2, *model.predict(r.text)) for r in table.collect()}
+    got = {r.doc_id: (r.held_out, r.lang_pred, r.score) for r in language.identify(table).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][:2] == want[i][:2] and got[i][2] == pytest.approx(want[i][2], abs=1e-9) for i in want)
+
+
+def test_words_are_runs_of_letters():
+    assert language.words_of("m² ½cup x₂ y² don't İ1 _a_ \u0663 日本²語") == ["m", "cup", "x", "y", "don", "t", "i", "a", "日本", "語"]
+    assert all(language.words_of(t) == plain_language.words(t) for t in ("m² ½cup x₂ İ1 ª Ⅷ a\u0301b", "", None))
+
+
 def test_language_edges(spark, docs, none):
     got = {r.doc_id: r for r in language.identify(docs).collect()}
     for i in (300, 301, 302, 303):
@@ -368,14 +437,14 @@ WORDS = public_tokenizers.path("word_bpe_49k.json")
 def _tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(WORDS)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(WORDS)
 
 
 def test_word_tokenizer_equals_the_library(spark):
     plain, own, rng = _tokenizer(), records.WordTokenizer(WORDS), random.Random(9)
     texts = ["".join(rng.choice("abZ'sÉéßİΣςﬁ1½²_-.,!?:;| \n\t́ 日ㅎ😀") for _ in range(60)) for _ in range(400)]
+    pieces = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", "a", "B", " ", "\n", "|>", "'s", "1", "."]
+    texts += ["".join(rng.choice(pieces) for _ in range(20)) for _ in range(300)]
     texts += [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     for text in texts:
         assert own.ids(text.encode()).tolist() == plain.encode(text, add_special_tokens=False).ids

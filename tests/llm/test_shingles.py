@@ -3,10 +3,12 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from segspark.llm import common, shingles
+from segspark.llm import common, shingles, simhash
 
 from .test_operators import _reach, _text
 
@@ -46,15 +48,54 @@ def rows():
     return list(enumerate(out))
 
 
-@pytest.mark.parametrize("block", [7, 2048])
-def test_near_copies_equal_brute_force(spark, rows, block, monkeypatch):
-    monkeypatch.setattr(shingles.links, "__defaults__", (0.8, block))
+@pytest.mark.parametrize("block", [7, 512])
+def test_verified_links_equal_brute_force(spark, rows, block):
+    """All rows as one candidate group: the links among them are exactly those of their sets."""
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("text", F.col("text").cast("binary"))
+    values = shingles.sketches(docs, 1).where("fingerprint is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    nodes = sorted(values.collect())
+    edges = spark.createDataFrame([(a.node, b.node) for a, b in zip(nodes, nodes[1:])], "u long, v long")
+    first = {r.node: r.first_id for r in nodes}
+    found = [(first[r.u], first[r.v]) for r in shingles.links(docs, values, edges, block=block).collect()]
+    want = _brute_force([r for r in rows if r[0] in set(first.values())])
+    assert 20 < sum(want.get(2 * i) == want.get(2 * i + 1, -1) for i in range(200)) < 180
+    assert _reach(want, found) == want
+
+
+def test_near_copies_equal_brute_force(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     want = _brute_force(rows)
-    assert 20 < sum(want[2 * i] == want[2 * i + 1] for i in range(200)) < 180
-    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs).collect()} == want
-    assert sorted(r.doc_id for r in shingles.drop_near_copies(docs).collect()) == sorted({*want.values()})
-    assert shingles.near_copies(docs.where("false")).count() == 0
+    assert {r.doc_id: r.component_id for r in shingles.near_copies(docs, miss=1e-6).collect()} == want
+    assert sorted(r.doc_id for r in shingles.drop_near_copies(docs, miss=1e-6).collect()) == sorted({*want.values()})
+    assert shingles.near_copies(docs.where("false")).count() == 0 and shingles.drop_near_copies(docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("count", [200, 50_000, 10**7, 10**10])
+def test_candidates_meet_at_the_least_similarity_at_every_count(count):
+    """Pairs of sets at 0.8 (sizes equal or not), by their real fingerprints, without Spark."""
+    words, bits, radius = simhash.covering_plan(count, 0.8, shingles.MISS)
+    masks = np.array(simhash.covering_masks(radius, bits), dtype=np.uint64)
+    rng, met, passed, n = np.random.default_rng(5), 0, 0, 400
+    for k in range(n):
+        common = rng.integers(0, 2**63, 160, dtype=np.uint64)
+        extra = rng.integers(0, 2**63, 40, dtype=np.uint64)
+        cut = (0, 10, 20)[k % 3]
+        a, b = (shingles.set_fingerprint(np.concatenate([common, x]), words + shingles.COMPARED) for x in (extra[:cut], extra[cut:]))
+        met += (((a ^ b)[:words, None] & masks) == 0).any()
+        passed += np.bitwise_count((a ^ b)[words:]).sum() <= 36
+    assert met >= 0.975 * n and passed >= 0.995 * n
+
+
+def test_repeated_rows_ids_and_clashing_names(spark):
+    one, other = "a b c d e f g", "A b c d  e f g"
+    rows = [(1, one), (1, one), (1, "something else entirely"), (2, other), (None, one), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for name in ("node", "component", "component_id", "_goes", "_id", "n", "fingerprint", "block"):
+        docs = docs.withColumn(name, F.lit(name))
+    got = shingles.near_copies(docs).collect()
+    assert sorted(map(tuple, got), key=repr) == sorted([(1, 1), (1, 1), (1, 1), (2, 1), (None, 1), (None, 3), (3, 3)], key=repr)
+    kept = shingles.drop_near_copies(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.n, r._goes) for r in kept.collect()) == sorted([(i, "n", "_goes") for i in (0, 0, 1, 1, 1, 3)])
 
 
 def test_rows_without_an_id_stay(spark):
