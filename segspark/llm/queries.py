@@ -77,11 +77,13 @@ def _secret_sql() -> str:
             unnest(range(len(string_split_regex(text, {quote(keeps[kind][0])})))) AS i FROM d) WINDOW w AS (PARTITION BY doc_id ORDER BY i)) WHERE hit IS NOT NULL AND {keeps[kind][1]}"""
         for rank, kind in enumerate(secrets.KINDS)
     )
-    near = lambda kinds: f"""EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND o.kind IN {kinds} AND abs(o."start" - p."start") <= {secrets.SCOPE})"""
+    apart = """(o."end" <= p."start" OR o."start" >= p."end")"""
+    near = lambda kinds: f"""EXISTS (SELECT 1 FROM w o WHERE o.doc_id = p.doc_id AND o.kind IN {kinds} AND {apart} AND abs(o."start" - p."start") <= {secrets.SCOPE})"""
     ids, values = near("('access', 'weak_id')"), near("('assign', 'hex', 'weak_secret')")
     text = """string_agg(kind || ':' || "start"::BIGINT || ':' || "end"::BIGINT, ',' ORDER BY "start", rank)"""
     return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents), p AS ({parts}),
-        r AS (SELECT * FROM p WHERE rank < 3 OR (kind = 'weak_secret' OR {values}) AND (kind = 'weak_id' OR {ids}))
+        w AS (SELECT * FROM p WHERE rank < 3 OR NOT EXISTS (SELECT 1 FROM p o WHERE o.doc_id = p.doc_id AND (o.rank < 3 OR o.rank = 3 AND p.rank = 4) AND NOT {apart})),
+        r AS (SELECT * FROM w p WHERE rank < 3 OR (kind = 'weak_secret' OR {values}) AND (kind = 'weak_id' OR {ids}))
         SELECT d.doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
         sha256(coalesce({text} FILTER (rank < 3), '')) AS base_sha256, coalesce({text}, '') AS spans FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY 1"""
 
