@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,22 +33,28 @@ def _clean(text: str) -> str:
     return "".join(c if c.isprintable() and c != " " else "".join(f"%{b:02X}" for b in c.encode()) for c in text)
 
 
-def _record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def _target(page_id: int | None, url: str | None) -> str:
+    return _clean(url) if url else f"urn:page:{page_id}"
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool) -> bytes:
-    """A response record with the payload, or a revisit record that names the response's page instead."""
+def record_id(page_id: int | None, digest: str, archive: int, place: int) -> str:
+    """An id of its own for every record, repeated rows and rows without page_id included: its place in its archive is part of it."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}:{archive}:{place}')}>"
+
+
+def encode_record(name: str, page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
+    """A response record with the payload, or (with refers_to) a revisit record that names the response's page, URI and date instead."""
+    revisit = refers_to is not None
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + (b"" if revisit else payload)
     head = {
-        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": _record_id(page_id), "WARC-Date": UNKNOWN_DATE,
-        "WARC-Target-URI": _clean(url) if url else f"urn:page:{page_id}", "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(len(payload)),
+        "WARC-Type": "revisit" if revisit else "response", "WARC-Record-ID": name, "WARC-Date": UNKNOWN_DATE,
+        "WARC-Target-URI": _target(page_id, url), "WARC-Payload-Digest": f"sha256:{digest}", "X-Payload-Length": str(len(payload)),
     }
     if page_id is not None:
         head["X-Page-ID"] = str(page_id)
     if revisit:
         head["WARC-Profile"] = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-        head["WARC-Refers-To"], head["X-Refers-To-Page-ID"] = _record_id(refers_to), str(refers_to)
+        head["WARC-Refers-To-Target-URI"], head["WARC-Refers-To-Date"], head["X-Refers-To-Page-ID"] = _target(refers_to, refers_url), UNKNOWN_DATE, str(refers_to)
     head |= {"Content-Type": "application/http; msgtype=response", "Content-Length": str(len(block))}
     return b"WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in head.items()).encode() + b"\r\n" + block + b"\r\n\r\n"
 
@@ -123,38 +130,40 @@ def commit_file(folder: str, name: str, write: Callable) -> tuple[str, object]:
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, html, digest, refers_to): refers_to is the smallest page_id of equal payloads of at least REVISIT_BYTES bytes, where that isn't the page itself.
+    """(page_id, url, html, digest, refers_to, refers_url): refers_to is the smallest page_id of equal payloads of at least REVISIT_BYTES bytes, where that isn't the page itself.
 
     Only payloads that occur more than once are joined back; where those are few Spark broadcasts them by their size on
     disk and the pages themselves are not shuffled.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
-    same = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    same = stash(same.where("n > 1").select("digest", "first"), "revisits")
+    same = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
+    same = stash(same.where("n > 1").select("digest", "first", "first_url"), "revisits")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(same, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"))
+    return rows.join(same, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), F.col("first_url").alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write rows of mark_revisits() to one archive per partition in folder; the manifest (path, records, bytes)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        archive, place = TaskContext.get().partitionId(), itertools.count()
+
         def records():
             for batch in batches:
                 for row in zip(*batch.columns, strict=True):
-                    page, url, html, digest, refers = (x.as_py() for x in row)
-                    yield encode_record(page, url, html, digest, refers, refers is not None)
+                    page, url, html, digest, refers, refers_url = (x.as_py() for x in row)
+                    yield encode_record(record_id(page, digest, archive, next(place)), page, url, html, digest, refers, refers_url)
 
         stream = records()
         head = next(stream, None)
         if head is None:
             return
         whole = (x for part in ([head], stream) for x in part)
-        path, (n, size) = commit_file(folder, f"part-{TaskContext.get().partitionId():06d}.warc.zst", lambda out: write_archive(out, whole))
+        path, (n, size) = commit_file(folder, f"part-{archive:06d}.warc.zst", lambda out: write_archive(out, whole))
         yield pa.record_batch([pa.array([path]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], names=["path", "records", "bytes"])
 
-    rows = pages.select("page_id", "url", F.col("html").cast("binary"), "digest", "refers_to")
+    rows = pages.select("page_id", "url", F.col("html").cast("binary"), "digest", "refers_to", "refers_url")
     return stash(rows.mapInArrow(run, "path string, records long, bytes long"), "manifest")
 
 
