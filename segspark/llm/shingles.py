@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import components, discard, join_hot, least_of, stash
+from .common import components, discard, join_hot, least_of, stars, stash
 
 #: Share of the pairs at the least similarity that may have no common bucket.
 MISS = 0.01
@@ -139,13 +139,13 @@ def _linker(least: float):
         values = lists.values.to_numpy()[offsets[0] : offsets[-1]]
         offsets -= offsets[0]
         cuts = np.flatnonzero((keys[1:, :3] != keys[:-1, :3]).any(axis=1)) + 1
-        u, v = [], []
+        pairs: list[tuple[int, int]] = []
         for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(keys)], strict=True):
             split = None if keys[s, 1] == keys[s, 2] else int((keys[s:e, 3] == keys[s, 1]).sum())
             for a, b in _links(values[offsets[s] : offsets[e]], offsets[s : e + 1] - offsets[s], least, split):
-                u.append(nodes[s + a])
-                v.append(nodes[s + b])
-        return pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                pairs.append((s + a, s + b))
+        u, v = stars(nodes, *np.array(pairs, dtype=np.int64).reshape(-1, 2).T)
+        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.Table] = []

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, least_of, stash
+from .common import components, join_hot, least_of, stars, stash
 
 SEED = 42
 BITS = 64
@@ -143,14 +143,12 @@ def _linker(most: int):
             pairs.append(np.stack([at, at + step]))
         near = np.concatenate(pairs, axis=1)
         dense = (ends - starts > SMALL) | (np.bincount(group[near[0]], minlength=len(starts)) > ends - starts)
-        near = near[:, ~dense[group[near[0]]]]
-        u, v = [nodes[near[0]]], [nodes[near[1]]]
+        pairs = [near[:, ~dense[group[near[0]]]]]
         for s, e in zip(starts[dense], ends[dense], strict=True):
             split = None if keys[s, 1] == keys[s, 2] else int((keys[s:e, 3] == keys[s, 1]).sum())
-            found = np.array(list(_links(values[s:e], most, split)), dtype=np.int64).reshape(-1, 2)
-            u.append(nodes[s:e][found[:, 0]])
-            v.append(nodes[s:e][found[:, 1]])
-        return pa.record_batch([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
+            pairs.append(s + np.array(list(_links(values[s:e], most, split)), dtype=np.int64).reshape(-1, 2).T)
+        u, v = stars(nodes, *np.concatenate(pairs, axis=1))
+        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -178,8 +176,8 @@ def links(values: DataFrame, tables: list[tuple[int, int]], compared: list[int],
     tables are (word, mask): every value goes to one bucket for each, that of the word's bits under the mask. Two values in a bucket are near if they
     differ in at most most bits of the compared words, which travel with the node, so nothing is joined back.
 
-    Large buckets are split into blocks whose pairs are separate tasks. A bucket yields at most as many edges in each
-    task as it has members there, however many pairs are near; what is near within it gets connected.
+    Large buckets are split into blocks whose pairs are separate tasks. A bucket yields fewer edges in each
+    task than it has members there, however many pairs are near: each member is joined to the smallest it is connected with.
     """
     signed = lambda m: m - 2**64 if m >= 2**63 else m
     keys = F.array(*[F.xxhash64(F.lit(t), F.col("fingerprint")[word].bitwiseAND(F.lit(signed(mask)).cast("long"))) for t, (word, mask) in enumerate(tables)])
