@@ -22,16 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with its scheme: that of Spark's default file system if it names none."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(jpath).toString().rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, with its scheme.
 
-    A path without scheme belongs to Spark's default file system; named in full, readers and writers outside of Spark find the same
-    one. Only a purely local session may leave the setting unset; it then gets /tmp/checkpoints.
+    Named in full, readers and writers outside of Spark find the same folder as Spark. Only a purely local session may leave the setting unset; it then gets /tmp/checkpoints.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        path = spark._jvm.org.apache.hadoop.fs.Path(configured)
-        return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
+        return qualified(spark, configured)
     if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return "file:///tmp/checkpoints"
