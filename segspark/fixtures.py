@@ -13,10 +13,9 @@ def node_count(spark: SparkSession, d: str) -> int:
     return table(spark, d, "embeddings").count()
 
 
-def nodes(spark: SparkSession, d: str, dim: int | None = None) -> DataFrame:
-    """(id, x): embeddings in thousandths, whole-valued so that sums are exact in any order; the first dim components."""
-    x = F.col("embedding") if dim is None else F.slice("embedding", 1, dim)
-    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform(x, lambda e: F.round(e.cast("double") * 1000)).alias("x"))
+def nodes(spark: SparkSession, d: str) -> DataFrame:
+    """(id, x): embeddings in thousandths, whole-valued so that sums are exact in any order."""
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda e: F.round(e.cast("double") * 1000)).alias("x"))
 
 
 def edges(spark: SparkSession, d: str, dst: str = "l_suppkey") -> DataFrame:
@@ -37,9 +36,9 @@ def numbered_edges(spark: SparkSession, d: str, dst: str = "l_suppkey") -> DataF
     return rows.select("eid", (F.col("l_partkey") % n).alias("src"), F.expr(dst.format(n=n)).cast("long").alias("dst"), F.col("l_quantity").cast("double").alias("w"))
 
 
-def small_edges(spark: SparkSession, d: str) -> DataFrame:
-    """Distinct (src, dst) of the square graph with src < 50."""
-    return edges(spark, d, SQUARE).where("src < 50").select("src", "dst").distinct()
+def links(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct (src, dst) of the square graph."""
+    return edges(spark, d, SQUARE).select("src", "dst").distinct()
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -47,16 +46,20 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return nodes(spark, d).withColumnRenamed("id", "pos").join(table(spark, d, "embeddings").select(F.col("vec_id").alias("pos"), F.col("label").cast("long").alias("idx")), "pos")
 
 
+#: Heads that a node's vector is cut into.
+HEADS = 8
+
+
 def head_nodes(spark: SparkSession, d: str) -> DataFrame:
-    """(id, x) with two heads of four components."""
-    cells = F.array(*[F.array(*[F.col("x")[h * 4 + k] for k in range(4)]) for h in range(2)])
-    return nodes(spark, d, 8).select("id", cells.alias("x"))
+    """(id, x) with the vector cut into HEADS heads of equal length."""
+    wide = F.floor(F.size("x") / HEADS).cast("int")
+    return nodes(spark, d).select("id", F.transform(F.sequence(F.lit(0), F.lit(HEADS - 1)), lambda h: F.slice("x", h * wide + 1, wide)).alias("x"))
 
 
 def head_edges(spark: SparkSession, d: str, numbered: bool = False) -> DataFrame:
-    """(src, dst, w) with weights quantity and twice the quantity."""
+    """(src, dst, w) with the quantity times 1 to HEADS as weights."""
     rows = numbered_edges(spark, d) if numbered else edges(spark, d)
-    return rows.withColumn("w", F.array(F.col("w"), 2 * F.col("w")))
+    return rows.withColumn("w", F.transform(F.sequence(F.lit(1), F.lit(HEADS)), lambda h: h * F.col("w")))
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:

@@ -15,7 +15,7 @@ def reduction(name: str) -> Callable[..., Column]:
     """The aggregate of a reduce name: sum, mean, max (amax), min (amin) or prod."""
     found = _REDUCES.get(_ALIASES.get(name, name))
     if found is None:
-        raise ValueError(f"reduce argument must be sum, mean, max, amax, min, amin or prod, got {name!r}")
+        raise ValueError(f"unknown reduction {name!r}; known are {', '.join([*_REDUCES, *_ALIASES])}")
     return found
 
 

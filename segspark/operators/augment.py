@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce as fold
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,17 +46,17 @@ def noise_augment(items: DataFrame, variant: int = 0, seed: int = 0) -> DataFram
     return renumber(noisy)
 
 
-def down_sample(items: DataFrame, scale: int) -> DataFrame:
-    """(pos, idx): round(n / scale) evenly spaced rows, their values floor(idx / scale)."""
-    n = items.count()
+def down_sample(items: DataFrame, scale: int, n: int | None = None) -> DataFrame:
+    """(pos, idx): round(n / scale) evenly spaced rows, their values floor(idx / scale); n is the number of rows, counted if not given."""
+    n = items.count() if n is None else n
     new = round(n / scale)
     wanted = items.sparkSession.range(new).select(F.col("id").alias("new_pos"), F.floor(F.col("id") * n / F.lit(max(new, 1))).cast("long").alias("pos"))
     return wanted.join(items, "pos").select(F.col("new_pos").alias("pos"), F.floor(F.col("idx") / scale).cast("long").alias("idx"))
 
 
-def up_sample(items: DataFrame, scale: int) -> DataFrame:
-    """(pos, idx): scale rows for each, interpolated at half-pixel centres and clamped at the ends, values floor(value * scale)."""
-    n = items.count()
+def up_sample(items: DataFrame, scale: int, n: int | None = None) -> DataFrame:
+    """(pos, idx): scale rows for each, interpolated at half-pixel centres and clamped at the ends, values floor(value * scale); n as above."""
+    n = items.count() if n is None else n
     at = items.select(F.col("pos"), F.col("idx").alias("_low"))
     after = items.select((F.col("pos") - 1).alias("pos"), F.col("idx").alias("_high"))
     spot = (F.col("id") + 0.5) / scale - 0.5
@@ -73,12 +75,9 @@ def scale_exponents(rows: int) -> list[int]:
 
 def scale_ladder(items: DataFrame) -> DataFrame:
     """(step, pos, idx): items at LADDER sizes, down-sampled while the exponent is positive, then up-sampled."""
-    out = None
-    for step, e in enumerate(scale_exponents(items.count())):
-        scaled = down_sample(items, 2**e) if e > 0 else up_sample(items, 2**-e) if e < 0 else items.select("pos", "idx")
-        scaled = scaled.select(F.lit(step).alias("step"), "pos", "idx")
-        out = scaled if out is None else out.union(scaled)
-    return out
+    n = items.count()
+    steps = [down_sample(items, 2**e, n) if e > 0 else up_sample(items, 2**-e, n) if e < 0 else items.select("pos", "idx") for e in scale_exponents(n)]
+    return fold(DataFrame.union, [scaled.select(F.lit(step).alias("step"), "pos", "idx") for step, scaled in enumerate(steps)])
 
 
 def arg_sort(items: DataFrame) -> DataFrame:

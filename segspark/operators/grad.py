@@ -21,9 +21,9 @@ def gather_weight_scatter_grad(edges: DataFrame, grad: DataFrame, nodes: DataFra
     return gather_weight_scatter(transpose(edges), grad, dim=dim, num_nodes=nodes.select("id"))
 
 
-def weight_grad(edges: DataFrame, grad: DataFrame, nodes: DataFrame, dim: int | None = None) -> DataFrame:
+def weight_grad(edges: DataFrame, grad: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges with value = dw = <dY[dst], X[src]>."""
-    return sddmm(edges, grad, nodes, dim)
+    return sddmm(edges, grad, nodes)
 
 
 def segment_sum_grad(items: DataFrame, grad: DataFrame) -> DataFrame:
@@ -34,4 +34,4 @@ def segment_sum_grad(items: DataFrame, grad: DataFrame) -> DataFrame:
 def csr_product_grad(rows: DataFrame, entries: DataFrame, grad: DataFrame, nodes: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The gradients of csr_product(): (id, x) of the nodes, and (pos, value) of the entries."""
     edges = csr_to_coo(rows, entries).select("pos", F.col("col").alias("src"), F.col("row").alias("dst"), "w")
-    return gather_weight_scatter_grad(edges, grad, nodes, dim), weight_grad(edges, grad, nodes, dim).select("pos", "value")
+    return gather_weight_scatter_grad(edges, grad, nodes, dim), weight_grad(edges, grad, nodes).select("pos", "value")

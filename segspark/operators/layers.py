@@ -10,11 +10,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import add, axpy, l2_normalize, relu, scale
+from ..functions.vectors import add, axpy, l2_normalize, let, relu, scale
+from ..session import stash
 from .graph import add_remaining_self_loops, gcn_norm
 from .spmm import gather_scatter, gather_weight_scatter
 
 _VECTORS = "array<double>"
+#: Steps of a repeated propagation between two tables that cut its lineage.
+CUT = 2
 ACTIVATIONS: dict[str | None, Callable[[Column], Column]] = {
     None: lambda x: x,
     "relu": relu,
@@ -132,9 +135,9 @@ def feature_norm(nodes: DataFrame, kind: str | None, dim: int, eps: float = 1e-5
         return nodes
     if kind == "layer":
         mean = F.aggregate("x", F.lit(0.0), lambda a, v: a + v) / F.size("x")
-        centred = nodes.withColumn("_m", mean).withColumn("x", F.transform("x", lambda v: v - F.col("_m"))).drop("_m")
-        var = F.aggregate("x", F.lit(0.0), lambda a, v: a + v * v) / F.size("x")
-        return centred.withColumn("_d", F.sqrt(var + eps)).withColumn("x", F.transform("x", lambda v: v / F.col("_d"))).drop("_d")
+        centred = let(mean, lambda m: F.transform("x", lambda v: v - m))
+        deviation = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, v: a + v * v) / F.size(c) + eps)
+        return nodes.withColumn("x", let(centred, lambda c: let(deviation(c), lambda d: F.transform(c, lambda v: v / d))))
     if kind != "batch":
         raise ValueError(f"unknown normalisation {kind!r}")
     stats = nodes.agg(F.array(*[F.avg(F.col("x")[k]) for k in range(dim)]).alias("_mean"), F.array(*[F.var_pop(F.col("x")[k]) for k in range(dim)]).alias("_var"))
@@ -178,21 +181,25 @@ class Stack:
         return apply(result, self.out) if self.out else result
 
 
+def _propagate(nodes: DataFrame, edges: DataFrame, steps: int, dim: int, after: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """after(A x) steps times over the normalised edges A, which are written once; every CUT steps the vectors are written as well, so that no plan and no recomputation grows with the steps."""
+    normal, ids, x = stash(gcn_norm(edges, nodes), "normal"), nodes.select("id"), nodes.select("id", "x")
+    for step in range(1, steps + 1):
+        x = after(gather_weight_scatter(normal, x, dim=dim, num_nodes=ids))
+        if step % CUT == 0 and step < steps:
+            x = stash(x, "step")
+    return x
+
+
 def appnp(nodes: DataFrame, edges: DataFrame, steps: int, alpha: float, dim: int) -> DataFrame:
     """x <- (1 - alpha) A x + alpha x0 over the normalised edges, steps times."""
-    normal, ids, x = gcn_norm(edges, nodes), nodes.select("id"), nodes.select("id", "x")
-    start = x
-    for _ in range(steps):
-        x = combine(gather_weight_scatter(normal, x, dim=dim, num_nodes=ids), start, lambda a, b: axpy(1 - alpha, a, scale(b, alpha)))
-    return x
+    start = nodes.select("id", "x")
+    return _propagate(nodes, edges, steps, dim, lambda spread: combine(spread, start, lambda a, b: axpy(1 - alpha, a, scale(b, alpha))))
 
 
 def sgc(nodes: DataFrame, edges: DataFrame, steps: int, weight: np.ndarray, dim: int) -> DataFrame:
     """A^steps X W."""
-    normal, ids, x = gcn_norm(edges, nodes), nodes.select("id"), nodes.select("id", "x")
-    for _ in range(steps):
-        x = gather_weight_scatter(normal, x, dim=dim, num_nodes=ids)
-    return apply(x, linear(weight))
+    return apply(_propagate(nodes, edges, steps, dim, lambda spread: spread), linear(weight))
 
 
 def gat(nodes: DataFrame, edges: DataFrame, attend_src: np.ndarray, attend_dst: np.ndarray, slope: float = 0.2) -> DataFrame:

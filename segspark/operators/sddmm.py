@@ -6,23 +6,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot
-from ..plans.layout import dim_of
 from .sparse import csr_to_coo
 
 
-def sddmm(edges: DataFrame, left: DataFrame, right: DataFrame, dim: int | None = None) -> DataFrame:
-    """edges with value = <left[dst], right[src]>."""
-    dim = dim or dim_of(left)
+def sddmm(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """edges with value = <left[dst], right[src]>; vectors of any length."""
     joined = edges.join(left.select(F.col("id").alias("dst"), F.col("x").alias("_a")), "dst").join(right.select(F.col("id").alias("src"), F.col("x").alias("_b")), "src")
-    return joined.select(*edges.columns, dot(F.col("_a"), F.col("_b"), dim).alias("value"))
+    return joined.select(*edges.columns, dot(F.col("_a"), F.col("_b")).alias("value"))
 
 
-def weighted_sddmm(edges: DataFrame, left: DataFrame, right: DataFrame, dim: int | None = None) -> DataFrame:
+def weighted_sddmm(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """sddmm() times the edge's weight; a null weight is 1."""
-    return sddmm(edges, left, right, dim).withColumn("value", F.col("value") * F.coalesce("w", F.lit(1.0)))
+    return sddmm(edges, left, right).withColumn("value", F.col("value") * F.coalesce("w", F.lit(1.0)))
 
 
-def sddmm_csr(rows: DataFrame, entries: DataFrame, left: DataFrame, right: DataFrame, dim: int | None = None) -> DataFrame:
+def sddmm_csr(rows: DataFrame, entries: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """(pos, row, col, value) of a matrix in compressed rows."""
     edges = csr_to_coo(rows, entries).select("pos", F.col("row").alias("dst"), F.col("col").alias("src"))
-    return sddmm(edges, left, right, dim).select("pos", F.col("dst").alias("row"), F.col("src").alias("col"), "value")
+    return sddmm(edges, left, right).select("pos", F.col("dst").alias("row"), F.col("src").alias("col"), "value")

@@ -37,14 +37,6 @@ def index_scatter(items: DataFrame, reduce: str = "sum", dim: int | None = None,
     return fill_segments(out, ids_below(items, key, num_segments), dim) if fill else out
 
 
-def parallel_segment_sum(items: DataFrame, **options) -> DataFrame:
-    """Segment sum; the name of a schedule that Spark chooses itself."""
-    return index_scatter(items, "sum", **options)
-
-
-serial_segment_sum = parallel_segment_sum
-
-
 def index_scatter_axis(values: DataFrame, index: DataFrame, axis: str, reduce: str = "sum") -> DataFrame:
     """Reduce long rows values(axes..., v) along one axis: index(<axis>, idx) maps the axis's positions to segments.
 

@@ -33,14 +33,6 @@ def gather_weight_scatter(edges: DataFrame, nodes: DataFrame, reduce: str = "sum
     return _product(edges, nodes, reduce, dim, num_nodes, fill, True)
 
 
-def parallel_spmm(edges: DataFrame, nodes: DataFrame, **options) -> DataFrame:
-    """Unweighted product; the name of a schedule that Spark chooses itself."""
-    return gather_scatter(edges, nodes, "sum", **options)
-
-
-serial_spmm = atomic_spmm = parallel_spmm
-
-
 def csr_product(rows: DataFrame, entries: DataFrame, nodes: DataFrame, dim: int | None = None) -> DataFrame:
     """(id, x) of compressed rows(row, ptr_begin, ptr_end) and entries(pos, col, w): one row per matrix row."""
     edges = csr_to_coo(rows, entries).select(F.col("col").alias("src"), F.col("row").alias("dst"), "w")

@@ -16,19 +16,19 @@ from ..functions.scalars import reduction
 WIDTH = 64
 
 
-def dim_of(vectors: DataFrame, column: str = "x") -> int:
-    """The length of the first vector; 0 if there is none. Reads one row."""
-    row = vectors.select(F.size(column)).where(F.col(column).isNotNull()).first()
-    return row[0] if row else 0
+def dim_of(vectors: DataFrame, column: str | Column = "x") -> int:
+    """The length of the longest vector; 0 if there is none. One pass over the column; callers that know the length pass it on instead."""
+    column = F.col(column) if isinstance(column, str) else column
+    return vectors.agg(F.max(F.when(column.isNotNull(), F.size(column)))).first()[0] or 0
 
 
 def reduce_vectors(rows: DataFrame, keys: list[str], column: str, how: str, dim: int, weight: Column | None = None) -> DataFrame:
-    """(keys, column) with the vectors of column, times weight if given, reduced by component."""
+    """(keys, column) with the vectors of column, times weight if given, reduced by component; components that a shorter vector lacks count for nothing."""
     aggregate = reduction(how)
     scaled = (lambda v: v) if weight is None else (lambda v: F.col("_weight") * v)
     rows = rows.select(*keys, column) if weight is None else rows.select(*keys, column, weight.alias("_weight"))
     if dim <= WIDTH:
-        return rows.groupBy(*keys).agg(F.array(*[aggregate(scaled(F.col(column)[k])) for k in range(dim)]).cast("array<double>").alias(column))
+        return rows.groupBy(*keys).agg(F.array(*[aggregate(scaled(F.get(column, F.lit(k)))) for k in range(dim)]).cast("array<double>").alias(column))
     chunks = F.array(*[F.slice(column, k + 1, WIDTH) for k in range(0, dim, WIDTH)])
     pieces = rows.select(*[c for c in rows.columns if c != column], F.posexplode(chunks).alias("_chunk", "_part"))
     reduced = pieces.groupBy(*keys, "_chunk").agg(F.array(*[aggregate(scaled(F.get("_part", F.lit(k)))) for k in range(WIDTH)]).alias("_part"))

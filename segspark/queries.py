@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import scalars, vectors
 from .operators import analytics, augment, compare, grad, graph, layers, sddmm, segment, sparse, spmm
+from .plans.layout import dim_of
 from .session import scratch, stash, table
 from .sources import matrix_market, tables
 
@@ -37,12 +38,7 @@ def _long(found: DataFrame, keys: tuple[str, ...] = ("id",), kind: str = "long",
 # -- the fixtures in SQL ------------------------------------------------------------------------------
 
 _N = "(SELECT count(*) FROM embeddings)"
-_MOST = 1 << 30
-
-
-def _x(dim: int = _MOST, name: str = "X") -> str:
-    """X(id, k, v): node vectors in long form."""
-    return f"{name} AS (SELECT vec_id AS id, unnest(range(len(embedding[1:{dim}]))) AS k, round(unnest(embedding[1:{dim}])::DOUBLE * 1000) AS v FROM embeddings)"
+_X = "X AS (SELECT vec_id AS id, unnest(range(len(embedding))) AS k, round(unnest(embedding)::DOUBLE * 1000) AS v FROM embeddings)"
 
 
 def _e(dst: str = "l_suppkey", name: str = "E") -> str:
@@ -56,7 +52,7 @@ def _en(dst: str = "l_suppkey", name: str = "E") -> str:
     return f"{name} AS (SELECT row_number() OVER (ORDER BY {_ORDER}) - 1 AS eid, l_partkey % {_N} AS src, ({dst.format(n=_N)})::BIGINT AS dst, l_quantity::DOUBLE AS w FROM lineitem)"
 
 
-_SMALL = f"{_e(fx.SQUARE, 'E2')}, S AS (SELECT DISTINCT src, dst FROM E2 WHERE src < 50)"
+_LINKS = f"{_e(fx.SQUARE, 'E2')}, S AS (SELECT DISTINCT src, dst FROM E2)"
 _NODES = "V AS (SELECT vec_id AS id FROM embeddings)"
 _ITEMS = "I AS (SELECT vec_id AS pos, label::BIGINT AS idx FROM embeddings)"
 _RANKED = "R AS (SELECT row_number() OVER (ORDER BY label, vec_id) - 1 AS pos, label::BIGINT AS idx FROM embeddings)"
@@ -72,8 +68,8 @@ def _filled(reduced: str, dim: str, key: str = "id", ids: str = "(SELECT max(dst
 _DIM = "(SELECT max(len(embedding)) FROM embeddings)"
 
 
-def _product(edges: str, weighted: bool, dim: int = _MOST, agg: str = "sum") -> str:
-    return f"WITH {_x(dim)}, {edges}, P AS (SELECT E.dst AS id, X.k, {agg}({'E.w * ' if weighted else ''}X.v) AS v FROM E JOIN X ON X.id = E.src GROUP BY 1, 2) "
+def _product(edges: str, weighted: bool, agg: str = "sum") -> str:
+    return f"WITH {_X}, {edges}, P AS (SELECT E.dst AS id, X.k, {agg}({'E.w * ' if weighted else ''}X.v) AS v FROM E JOIN X ON X.id = E.src GROUP BY 1, 2) "
 
 
 # -- segment reduction --------------------------------------------------------------------------------
@@ -81,7 +77,7 @@ def _product(edges: str, weighted: bool, dim: int = _MOST, agg: str = "sum") ->
 
 def _segments(agg: str, kind: str = "BIGINT", value: str = "v") -> str:
     reduced = f"P AS (SELECT I.idx AS id, X.k, {agg} AS v FROM I JOIN X ON X.id = I.pos GROUP BY 1, 2)"
-    return f"WITH {_x()}, {_ITEMS}, {reduced} " + _filled("P", _DIM, ids="(SELECT max(idx) + 1 FROM I)", kind=kind)
+    return f"WITH {_X}, {_ITEMS}, {reduced} " + _filled("P", _DIM, ids="(SELECT max(idx) + 1 FROM I)", kind=kind)
 
 
 @query(_segments("sum(v)"))
@@ -117,16 +113,16 @@ def segment_sum_gap(spark: SparkSession, d: str) -> DataFrame:
     return _long(segment.index_scatter(gathered))
 
 
-@query(f"WITH {_x()} SELECT id, k // 8 AS k, sum(v)::BIGINT AS value FROM X GROUP BY 1, 2")
+@query(f"WITH {_X} SELECT id, k // 8 AS k, sum(v)::BIGINT AS value FROM X GROUP BY 1, 2")
 def segment_dim1(spark: SparkSession, d: str) -> DataFrame:
     nodes = fx.nodes(spark, d)
     index = nodes.select(F.explode(F.sequence(F.lit(0), F.size("x") - 1)).alias("k")).distinct().withColumn("idx", F.floor(F.col("k") / 8))
     return _long(segment.scatter_columns(nodes, index))
 
 
-@query(f"WITH {_x(4)}, {_en()} SELECT E.eid, E.dst, k, (E.w * v)::BIGINT AS value FROM E JOIN X ON X.id = E.src")
+@query(f"WITH {_X}, {_en()} SELECT E.eid, E.dst, k, (E.w * v)::BIGINT AS value FROM E JOIN X ON X.id = E.src")
 def gather(spark: SparkSession, d: str) -> DataFrame:
-    found = segment.gather(fx.numbered_edges(spark, d), fx.nodes(spark, d, 4), "src")
+    found = segment.gather(fx.numbered_edges(spark, d), fx.nodes(spark, d), "src")
     return _long(found.withColumn("x", vectors.scale(F.col("x"), F.col("w"))), ("eid", "dst"))
 
 
@@ -172,7 +168,8 @@ def csr_gws(spark: SparkSession, d: str) -> DataFrame:
     return _long(spmm.csr_product(sparse.coo_to_csr(edges), sparse.csr_entries(edges), fx.nodes(spark, d)))
 
 
-_HEADS = f"WITH {_x(8)}, {_e()}, P AS (SELECT E.dst AS id, X.k, sum((X.k // 4 + 1) * E.w * X.v) AS v FROM E JOIN X ON X.id = E.src GROUP BY 1, 2) SELECT id, k // 4 AS h, k % 4 AS k, value FROM ({_filled('P', '8')})"
+_PER = f"({_DIM} // {fx.HEADS})"
+_HEADS = f"WITH {_X}, {_e()}, P AS (SELECT E.dst AS id, X.k, sum((X.k // {_PER} + 1) * E.w * X.v) AS v FROM E JOIN X ON X.id = E.src GROUP BY 1, 2) SELECT id, k // {_PER} AS h, k % {_PER} AS k, value FROM ({_filled('P', _DIM)})"
 
 
 def _heads(found: DataFrame, kind: str = "long", digits: int | None = None) -> DataFrame:
@@ -181,50 +178,59 @@ def _heads(found: DataFrame, kind: str = "long", digits: int | None = None) -> D
 
 @query(_HEADS)
 def mh_spmm(spark: SparkSession, d: str) -> DataFrame:
-    return _heads(spmm.mh_spmm(fx.head_edges(spark, d), fx.head_nodes(spark, d), 2, 4))
+    nodes = fx.head_nodes(spark, d)
+    return _heads(spmm.mh_spmm(fx.head_edges(spark, d), nodes, fx.HEADS, dim_of(nodes, F.col("x")[0])))
 
 
 @query(_HEADS)
 def mh_spmm_transposed(spark: SparkSession, d: str) -> DataFrame:
-    edges = stash(fx.head_edges(spark, d, numbered=True), "edges")
+    edges, nodes = stash(fx.head_edges(spark, d, numbered=True), "edges"), fx.head_nodes(spark, d)
     weights = edges.select("eid", F.posexplode("w").alias("h", "w"))
-    return _heads(spmm.mh_spmm_transposed(edges, weights, fx.head_nodes(spark, d), 2, 4))
+    return _heads(spmm.mh_spmm_transposed(edges, weights, nodes, fx.HEADS, dim_of(nodes, F.col("x")[0])))
 
 
-_SDDMM = f"WITH {_x()}, {_SMALL} SELECT S.{{}}, S.{{}}, sum(a.v * b.v)::BIGINT AS value FROM S JOIN X a ON a.id = S.dst JOIN X b ON b.id = S.src AND b.k = a.k GROUP BY 1, 2"
+_SDDMM = f"WITH {_X}, {_LINKS} SELECT S.{{}}, S.{{}}, sum(a.v * b.v)::BIGINT AS value FROM S JOIN X a ON a.id = S.dst JOIN X b ON b.id = S.src AND b.k = a.k GROUP BY 1, 2"
 
 
 @query(_SDDMM.format("src", "dst"))
 def sddmm_coo(spark: SparkSession, d: str) -> DataFrame:
     nodes = fx.nodes(spark, d)
-    return sddmm.sddmm(fx.small_edges(spark, d), nodes, nodes).withColumn("value", F.col("value").cast("long"))
+    return sddmm.sddmm(fx.links(spark, d), nodes, nodes).withColumn("value", F.col("value").cast("long"))
 
 
 @query(_SDDMM.format("dst AS row", "src AS col"))
 def sddmm_csr(spark: SparkSession, d: str) -> DataFrame:
-    edges, nodes = fx.small_edges(spark, d), fx.nodes(spark, d)
+    edges, nodes = fx.links(spark, d), fx.nodes(spark, d)
     found = sddmm.sddmm_csr(sparse.coo_to_csr(edges), sparse.csr_entries(edges), nodes, nodes)
     return found.select("row", "col", F.col("value").cast("long").alias("value"))
 
 
-@query(f"WITH {_x()}, {_en(fx.SQUARE)} SELECT E.eid, sum(a.v * b.v * E.w)::BIGINT AS value FROM E JOIN X a ON a.id = E.dst JOIN X b ON b.id = E.src AND b.k = a.k GROUP BY 1")
+@query(f"WITH {_X}, {_en(fx.SQUARE)} SELECT E.eid, sum(a.v * b.v * E.w)::BIGINT AS value FROM E JOIN X a ON a.id = E.dst JOIN X b ON b.id = E.src AND b.k = a.k GROUP BY 1")
 def weighted_sddmm(spark: SparkSession, d: str) -> DataFrame:
     nodes = fx.nodes(spark, d)
     return sddmm.weighted_sddmm(fx.numbered_edges(spark, d, fx.SQUARE), nodes, nodes).select("eid", F.col("value").cast("long").alias("value"))
 
 
+@query(f"WITH {_X}, {_LINKS}, L AS (SELECT id, k, v FROM X UNION ALL SELECT id, k + {_DIM}, v FROM X), R AS (SELECT id, k, v FROM X UNION ALL SELECT id, 2 * {_DIM} - 1 - k, v FROM X) SELECT S.src, S.dst, sum(a.v * b.v)::BIGINT AS value FROM S JOIN L a ON a.id = S.dst JOIN R b ON b.id = S.src AND b.k = a.k GROUP BY 1, 2")
+def sddmm_double(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors of twice the length, joined end to end: with themselves on the left, with themselves backwards on the right."""
+    nodes = fx.nodes(spark, d)
+    left, right = nodes.withColumn("x", F.concat("x", "x")), nodes.withColumn("x", F.concat("x", F.reverse("x")))
+    return sddmm.sddmm(fx.links(spark, d), left, right).withColumn("value", F.col("value").cast("long"))
+
+
 # -- gradients ----------------------------------------------------------------------------------------
 
-_GRAD = f"Y AS (SELECT id, k, v + 1 AS v FROM X WHERE k < 8), {_NODES}"
+_GRAD = f"Y AS (SELECT id, k, v + 1 AS v FROM X), {_NODES}"
 
 
 def _grad_sql(weighted: bool) -> str:
     reduced = f"P AS (SELECT E.src AS id, Y.k, sum({'E.w * ' if weighted else ''}Y.v) AS v FROM E JOIN Y ON Y.id = E.dst GROUP BY 1, 2)"
-    return f"WITH {_x()}, {_e(fx.SQUARE)}, {_GRAD}, {reduced} " + _filled("P", "8", ids=_N)
+    return f"WITH {_X}, {_e(fx.SQUARE)}, {_GRAD}, {reduced} " + _filled("P", _DIM, ids=_N)
 
 
 def _grad_tables(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    nodes = fx.nodes(spark, d, 8)
+    nodes = fx.nodes(spark, d)
     return nodes, nodes.withColumn("x", F.transform("x", lambda v: v + 1))
 
 
@@ -240,22 +246,24 @@ def gws_grad_src(spark: SparkSession, d: str) -> DataFrame:
     return _long(grad.gather_weight_scatter_grad(fx.edges(spark, d, fx.SQUARE), upstream, nodes))
 
 
-@query(f"WITH {_x(8)}, {_en(fx.SQUARE)} SELECT E.eid, sum((a.v + 1) * b.v)::BIGINT AS value FROM E JOIN X a ON a.id = E.dst JOIN X b ON b.id = E.src AND b.k = a.k GROUP BY 1")
+@query(f"WITH {_X}, {_en(fx.SQUARE)} SELECT E.eid, sum((a.v + 1) * b.v)::BIGINT AS value FROM E JOIN X a ON a.id = E.dst JOIN X b ON b.id = E.src AND b.k = a.k GROUP BY 1")
 def gws_grad_weight(spark: SparkSession, d: str) -> DataFrame:
     nodes, upstream = _grad_tables(spark, d)
     return grad.weight_grad(fx.numbered_edges(spark, d, fx.SQUARE), upstream, nodes).select("eid", F.col("value").cast("long").alias("value"))
 
 
-@query(f"WITH {_x(8)}, {_ITEMS} SELECT I.pos, I.idx, X.k, v::BIGINT AS value FROM I JOIN X ON X.id = I.idx")
+@query(f"WITH {_X}, {_ITEMS} SELECT I.pos, I.idx, X.k, v::BIGINT AS value FROM I JOIN X ON X.id = I.idx")
 def segment_grad(spark: SparkSession, d: str) -> DataFrame:
-    return _long(grad.segment_sum_grad(fx.items(spark, d), fx.nodes(spark, d, 8)), ("pos", "idx"))
+    return _long(grad.segment_sum_grad(fx.items(spark, d), fx.nodes(spark, d)), ("pos", "idx"))
 
 
-@query(_grad_sql(True))
+@query(f"{_grad_sql(True).replace(' SELECT g.id', ', M AS (SELECT row_number() OVER (ORDER BY dst, src, w) - 1 AS pos, src, dst FROM E) SELECT g.id', 1)} UNION ALL SELECT -1 - M.pos, 0, sum(a.v * b.v)::BIGINT FROM M JOIN Y a ON a.id = M.dst JOIN X b ON b.id = M.src AND b.k = a.k GROUP BY M.pos")
 def csr_gws_grad(spark: SparkSession, d: str) -> DataFrame:
+    """Both gradients: nodes as (id, k, value), entries as (-1 - position, 0, value)."""
     nodes, upstream = _grad_tables(spark, d)
-    edges = fx.edges(spark, d, fx.SQUARE)
-    return _long(grad.csr_product_grad(sparse.coo_to_csr(edges), sparse.csr_entries(edges), upstream, nodes)[0])
+    edges = stash(fx.edges(spark, d, fx.SQUARE), "edges")
+    of_nodes, of_entries = grad.csr_product_grad(sparse.coo_to_csr(edges), sparse.csr_entries(edges), upstream, nodes)
+    return _long(of_nodes).union(of_entries.select(-1 - F.col("pos"), F.lit(0).cast("long"), F.col("value").cast("long")))
 
 
 # -- structure ----------------------------------------------------------------------------------------
@@ -301,9 +309,15 @@ def transpose_csr(spark: SparkSession, d: str) -> DataFrame:
     return sparse.csr_to_coo(rows, entries).select("pos", "row", "col", "w")
 
 
-@query(f"WITH {_SMALL} SELECT src, dst FROM S UNION SELECT dst, src FROM S")
+@query(f'WITH {_e(fx.SQUARE)}, D AS (SELECT g.id, count(E.src) AS n FROM (SELECT unnest(range({_N} + 16)) AS id) g LEFT JOIN E ON E.src = g.id GROUP BY 1) SELECT id AS "row", (sum(n) OVER (ORDER BY id) - n)::BIGINT AS ptr_begin, (sum(n) OVER (ORDER BY id))::BIGINT AS ptr_end FROM D')
+def compressed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Pointers of unsorted edges by source, with rows beyond the last that has entries."""
+    return sparse.coo_to_csr(fx.edges(spark, d, fx.SQUARE), "src", fx.node_count(spark, d) + 16)
+
+
+@query(f"WITH {_LINKS} SELECT src, dst FROM S UNION SELECT dst, src FROM S")
 def symmetrize(spark: SparkSession, d: str) -> DataFrame:
-    return sparse.symmetrize(fx.small_edges(spark, d))
+    return sparse.symmetrize(fx.links(spark, d))
 
 
 @query(f"WITH {_e()} SELECT row_number() OVER (ORDER BY dst, src, w) - 1 AS pos, src, dst, w FROM E")
@@ -332,7 +346,11 @@ def fill_diagonal(spark: SparkSession, d: str) -> DataFrame:
     return graph.fill_diagonal(sparse.coalesce_edges(fx.edges(spark, d, fx.SQUARE)), fx.nodes(spark, d), 0.5)
 
 
-_NORM = f"{_LOOPED}, {_REMAINING.format(fill='1.0')}, G AS (SELECT dst AS id, 1 / sqrt(sum(w)) AS d FROM L GROUP BY 1), A AS (SELECT L.src, L.dst, a.d * L.w * b.d AS w FROM L JOIN G a ON a.id = L.src JOIN G b ON b.id = L.dst)"
+def _norm(fill: float) -> str:
+    return f"{_LOOPED}, {_REMAINING.format(fill=fill)}, G AS (SELECT dst AS id, 1 / sqrt(sum(w)) AS d FROM L GROUP BY 1), A AS (SELECT L.src, L.dst, a.d * L.w * b.d AS w FROM L JOIN G a ON a.id = L.src JOIN G b ON b.id = L.dst)"
+
+
+_NORM = _norm(1.0)
 
 
 @query(f"WITH {_NORM} SELECT src, dst, round(w, 9) + 0 AS w FROM A")
@@ -341,7 +359,7 @@ def gcn_norm(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumn("w", F.round("w", 9) + F.lit(0.0))
 
 
-_BLOCKS = f"""WITH {_SMALL}, B AS (SELECT src AS "row", dst AS col, src // 8 AS win, dense_rank() OVER (PARTITION BY src // 8 ORDER BY dst) - 1 AS place FROM S),
+_BLOCKS = f"""WITH {_LINKS}, B AS (SELECT src AS "row", dst AS col, src // 8 AS win, dense_rank() OVER (PARTITION BY src // 8 ORDER BY dst) - 1 AS place FROM S),
     W AS (SELECT win, place // 8 AS blk, max(place % 8) + 1 AS width FROM B GROUP BY 1, 2)"""
 
 
@@ -349,20 +367,20 @@ _BLOCKS = f"""WITH {_SMALL}, B AS (SELECT src AS "row", dst AS col, src // 8 AS
     SELECT W.win, W.blk, W.width, i.i AS k, (CASE WHEN C.r IS NULL THEN 0 ELSE 1 END)::BIGINT AS value
     FROM W JOIN (SELECT unnest(range(64)) AS i) i ON i.i < 8 * W.width LEFT JOIN C ON C.win = W.win AND C.blk = W.blk AND C.r = i.i // W.width AND C.slot = i.i % W.width""")
 def block_format(spark: SparkSession, d: str) -> DataFrame:
-    edges = fx.small_edges(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
+    edges = fx.links(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
     return _long(sparse.block_format(edges, 8, 8).withColumnRenamed("vals", "x"), ("win", "blk", "width"))
 
 
-@query(_BLOCKS + ", N AS (SELECT win, count(DISTINCT col) AS n FROM B GROUP BY 1) SELECT g.win, (sum(coalesce(n, 0)) OVER (ORDER BY g.win) - coalesce(n, 0))::BIGINT AS ptr_begin, (sum(coalesce(n, 0)) OVER (ORDER BY g.win))::BIGINT AS ptr_end FROM (SELECT unnest(range(8)) AS win) g LEFT JOIN N ON N.win = g.win")
+@query(_BLOCKS + f", N AS (SELECT win, count(DISTINCT col) AS n FROM B GROUP BY 1) SELECT g.win, (sum(coalesce(n, 0)) OVER (ORDER BY g.win) - coalesce(n, 0))::BIGINT AS ptr_begin, (sum(coalesce(n, 0)) OVER (ORDER BY g.win))::BIGINT AS ptr_end FROM (SELECT unnest(range(({_N} + 16 - {_N} % 16 + 7) // 8)) AS win) g LEFT JOIN N ON N.win = g.win")
 def block_pointers(spark: SparkSession, d: str) -> DataFrame:
-    edges = fx.small_edges(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"))
-    return sparse.block_pointers(edges, 8, 8, num_rows=50, pad_rows_to=16)
+    edges = fx.links(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"))
+    return sparse.block_pointers(edges, 8, 8, num_rows=fx.node_count(spark, d), pad_rows_to=16)
 
 
-@query(f"WITH {_x()}, {_SMALL}, P AS (SELECT S.src AS id, X.k, sum(X.v) AS v FROM S JOIN X ON X.id = S.dst GROUP BY 1, 2) " + _filled("P", _DIM, ids="50"))
+@query(f"WITH {_X}, {_LINKS}, P AS (SELECT S.src AS id, X.k, sum(X.v) AS v FROM S JOIN X ON X.id = S.dst GROUP BY 1, 2) " + _filled("P", _DIM, ids=_N))
 def blocked_spmm(spark: SparkSession, d: str) -> DataFrame:
-    edges = fx.small_edges(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
-    return _long(spmm.blocked_product(sparse.block_format(edges, 8, 8), fx.nodes(spark, d), 8, num_rows=50))
+    edges = fx.links(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
+    return _long(spmm.blocked_product(sparse.block_format(edges, 8, 8), fx.nodes(spark, d), 8, num_rows=fx.node_count(spark, d)))
 
 
 @query(f"SELECT {_N} AS num_nodes, (SELECT count(*) FROM lineitem) AS num_edges, max(len(embedding))::BIGINT AS in_channels, (max(label) + 1)::BIGINT AS num_classes FROM embeddings")
@@ -377,23 +395,27 @@ def validate_index(spark: SparkSession, d: str) -> DataFrame:
     return graph.validate_index(fx.edges(spark, d), half, ("src",)).groupBy("valid").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_x(8)}, Y AS (SELECT id, k, round(v / 10) * 10 AS v FROM X) SELECT count(*) AS cells, 0::BIGINT AS missing, max(abs(X.v - Y.v)) AS max_abs_diff, bool_and(abs(X.v - Y.v) <= 0.0001) AS all_close, count(*) FILTER (abs(X.v - Y.v) > 0.01 * abs(Y.v)) AS bad_relative FROM X JOIN Y ON X.id = Y.id AND X.k = Y.k")
+@query(f"WITH {_X}, Y AS (SELECT id, k, round(v / 10) * 10 AS v FROM X) SELECT count(*) AS cells, 0::BIGINT AS missing, max(abs(X.v - Y.v)) AS max_abs_diff, bool_and(abs(X.v - Y.v) <= 0.0001) AS all_close, count(*) FILTER (abs(X.v - Y.v) > 0.01 * abs(Y.v)) AS bad_relative FROM X JOIN Y ON X.id = Y.id AND X.k = Y.k")
 def compare_results(spark: SparkSession, d: str) -> DataFrame:
-    cells = vectors.to_long(fx.nodes(spark, d, 8), ["id"])
+    cells = vectors.to_long(fx.nodes(spark, d), ["id"])
     return compare.compare(cells, cells.withColumn("value", F.round(F.col("value") / 10) * 10), ["id", "k"])
 
 
 # -- layers -------------------------------------------------------------------------------------------
 
 
+#: Channels behind the first layer and the second.
+_HIDDEN, _OUT = 16, 8
+
+
 def _weight(out: int, dim: int, shift: int = 0) -> np.ndarray:
     o, k = np.indices((out, dim))
     return (3 * o + 5 * k + shift) % 7 - 3.0
 
 
-def _linear(source: str, out: int, dim: int, shift: int = 0) -> str:
+def _linear(source: str, out: int, shift: int = 0) -> str:
     """(id, k, v) of the CTE source(id, k, v) times the weights of _weight()."""
-    return f"(SELECT s.id, o.o AS k, sum(s.v * ((3 * o.o + 5 * s.k + {shift}) % 7 - 3)) AS v FROM {source} s CROSS JOIN (SELECT unnest(range({out})) AS o) o WHERE s.k < {dim} GROUP BY 1, 2)"
+    return f"(SELECT s.id, o.o AS k, sum(s.v * ((3 * o.o + 5 * s.k + {shift}) % 7 - 3)) AS v FROM {source} s CROSS JOIN (SELECT unnest(range({out})) AS o) o GROUP BY 1, 2)"
 
 
 def _spread(edges: str, source: str, agg: str = "sum(A.w * s.v)") -> str:
@@ -405,60 +427,133 @@ def _rounded(source: str, digits: int) -> str:
     return f" SELECT id, k, round(v, {digits}) + 0 AS value FROM {source}"
 
 
-def _square(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    return fx.nodes(spark, d, 8), stash(sparse.coalesce_edges(fx.edges(spark, d, fx.SQUARE)), "edges")
+def _square(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, int]:
+    """Nodes, merged edges of the square graph, and the length of the nodes' vectors."""
+    nodes = fx.nodes(spark, d)
+    return nodes, stash(sparse.coalesce_edges(fx.edges(spark, d, fx.SQUARE)), "edges"), dim_of(nodes)
+
+
+def _beside(source: str, agg: str, name: str) -> str:
+    """CTE name(id, k, v): what the neighbours' CTE source comes to at every node, 0 without any."""
+    return f"{name}0 AS {_spread('C', source, agg)}, {name} AS (SELECT X.id, X.k, coalesce({name}0.v, 0) AS v FROM X LEFT JOIN {name}0 ON {name}0.id = X.id AND {name}0.k = X.k)"
 
 
-@query(f"WITH {_x(8)}, {_NORM}, H AS {_linear('X', 4, 8)}, O AS {_spread('A', 'H')}, B AS (SELECT id, k, v + k + 1 AS v FROM O)" + _rounded("B", 3))
+@query(f"WITH {_X}, {_NORM}, H AS {_linear('X', _OUT)}, O AS {_spread('A', 'H')}, B AS (SELECT id, k, v + k + 1 AS v FROM O)" + _rounded("B", 3))
 def gcn_layer(spark: SparkSession, d: str) -> DataFrame:
-    return _long(layers.GCN(_weight(4, 8), np.arange(1.0, 5.0))(*_square(spark, d)), kind="double", digits=3)
+    nodes, edges, dim = _square(spark, d)
+    return _long(layers.GCN(_weight(_OUT, dim), np.arange(1.0, _OUT + 1))(nodes, edges), kind="double", digits=3)
+
+
+@query(f"WITH {_X}, {_norm(2.0)}, H AS {_linear('X', _OUT)}, O AS {_spread('A', 'H')}" + _rounded("O", 3))
+def gcn_improved(spark: SparkSession, d: str) -> DataFrame:
+    """Self loops of weight 2; the normalised edges are kept for a second call."""
+    nodes, edges, dim = _square(spark, d)
+    return _long(layers.GCN(_weight(_OUT, dim), improved=True, cached=True)(nodes, edges), kind="double", digits=3)
 
 
-@query(f"WITH {_x(8)}, {_LOOPED}, S AS {_spread('C', 'X', 'sum(s.v)')}, Y AS (SELECT X.id, X.k, 1.5 * X.v + coalesce(S.v, 0) AS v FROM X LEFT JOIN S ON S.id = X.id AND S.k = X.k), H AS (SELECT id, k, greatest(v, 0) AS v FROM {_linear('Y', 6, 8)}), O AS {_linear('H', 4, 6, 1)}" + _rounded("O", 3))
+@query(f"WITH {_X}, {_LOOPED}, {_beside('X', 'sum(s.v)', 'S')}, Y AS (SELECT X.id, X.k, 1.5 * X.v + S.v AS v FROM X JOIN S ON S.id = X.id AND S.k = X.k), H AS (SELECT id, k, greatest(v, 0) AS v FROM {_linear('Y', _HIDDEN)}), O AS {_linear('H', _OUT, 1)}" + _rounded("O", 3))
 def gin_layer(spark: SparkSession, d: str) -> DataFrame:
-    nn = layers.mlp([(_weight(6, 8), None), (_weight(4, 6, 1), None)])
-    return _long(layers.GIN(nn, 0.5)(*_square(spark, d)), kind="double", digits=3)
+    nodes, edges, dim = _square(spark, d)
+    nn = layers.mlp([(_weight(_HIDDEN, dim), None), (_weight(_OUT, _HIDDEN, 1), None)])
+    return _long(layers.GIN(nn, 0.5, dim)(nodes, edges), kind="double", digits=3)
 
 
-@query(f"WITH {_x(8)}, {_LOOPED}, S AS {_spread('C', 'X', 'avg(s.v)')}, Z AS (SELECT X.id, X.k, coalesce(S.v, 0) AS v FROM X LEFT JOIN S ON S.id = X.id AND S.k = X.k), P AS {_linear('Z', 4, 8)}, Q AS {_linear('X', 4, 8, 1)}, O AS (SELECT P.id, P.k, P.v + Q.v AS v FROM P JOIN Q ON P.id = Q.id AND P.k = Q.k), M AS (SELECT id, sqrt(sum(v * v)) AS n FROM O GROUP BY 1), R AS (SELECT O.id, O.k, O.v / greatest(n, 1e-12) AS v FROM O JOIN M ON M.id = O.id)" + _rounded("R", 6))
+@query(f"WITH {_X}, {_LOOPED}, {_beside('X', 'avg(s.v)', 'Z')}, P AS {_linear('Z', _OUT)}, Q AS {_linear('X', _OUT, 1)}, O AS (SELECT P.id, P.k, P.v + Q.v AS v FROM P JOIN Q ON P.id = Q.id AND P.k = Q.k), M AS (SELECT id, sqrt(sum(v * v)) AS n FROM O GROUP BY 1), R AS (SELECT O.id, O.k, O.v / greatest(n, 1e-12) AS v FROM O JOIN M ON M.id = O.id)" + _rounded("R", 6))
 def sage_layer(spark: SparkSession, d: str) -> DataFrame:
-    return _long(layers.SAGE(_weight(4, 8), _weight(4, 8, 1), aggr="mean", normalize=True)(*_square(spark, d)), kind="double", digits=6)
+    nodes, edges, dim = _square(spark, d)
+    return _long(layers.SAGE(_weight(_OUT, dim), _weight(_OUT, dim, 1), aggr="mean", normalize=True, dim=dim)(nodes, edges), kind="double", digits=6)
 
 
-@query(f"WITH {_x(8)}, {_NORM}, H AS {_linear('X', 6, 8)}, O AS (SELECT id, k, greatest(v, 0) AS v FROM {_spread('A', 'H')}), H2 AS {_linear('O', 4, 6, 1)}, P AS {_spread('A', 'H2')}" + _rounded("P", 3))
+@query(f"WITH {_X}, {_LOOPED}, {_beside('X', 'max(s.v)', 'T')}, {_beside('X', 'sum(s.v)', 'S')}, Z AS (SELECT * FROM T UNION ALL SELECT id, k + {_DIM}, v FROM S), O AS {_linear('Z', _OUT)}" + _rounded("O", 3))
+def sage_several(spark: SparkSession, d: str) -> DataFrame:
+    """Two aggregations joined end to end, without the node itself."""
+    nodes, edges, dim = _square(spark, d)
+    return _long(layers.SAGE(_weight(_OUT, 2 * dim), aggr=["max", "sum"], dim=dim)(nodes, edges), kind="double", digits=3)
+
+
+@query(f"WITH {_X}, {_LOOPED}, {_beside('X', 'avg(A.w * s.v)', 'S')}" + _rounded("S", 6))
+def message_and_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    nodes, edges, dim = _square(spark, d)
+    return _long(spmm.message_and_aggregate(edges, nodes, "mean", weighted=True, dim=dim, num_nodes=nodes), kind="double", digits=6)
+
+
+@query(f"WITH {_X}, {_NORM}, H AS {_linear('X', _HIDDEN)}, O AS (SELECT id, k, greatest(v, 0) AS v FROM {_spread('A', 'H')}), H2 AS {_linear('O', _OUT, 1)}, P AS {_spread('A', 'H2')}" + _rounded("P", 3))
 def gnn_stack(spark: SparkSession, d: str) -> DataFrame:
-    stack = layers.Stack([layers.GCN(_weight(6, 8)), layers.GCN(_weight(4, 6, 1))], cut=lambda n: stash(n, "layer"))
-    return _long(stack(*_square(spark, d)), kind="double", digits=3)
+    nodes, edges, dim = _square(spark, d)
+    stack = layers.Stack([layers.GCN(_weight(_HIDDEN, dim)), layers.GCN(_weight(_OUT, _HIDDEN, 1))], cut=lambda n: stash(n, "layer"))
+    return _long(stack(nodes, edges), kind="double", digits=3)
+
+
+def _two_layers(spark: SparkSession, d: str) -> list[DataFrame]:
+    nodes, edges, dim = _square(spark, d)
+    return [nodes, spmm.gather_weight_scatter(edges, nodes, dim=dim, num_nodes=nodes)]
 
 
-@query(f"WITH {_x(8)}, {_LOOPED}, S AS {_spread('C', 'X')}, Y AS (SELECT X.id, X.k, greatest(X.v, coalesce(S.v, 0)) AS v FROM X LEFT JOIN S ON S.id = X.id AND S.k = X.k)" + _rounded("Y", 3))
+@query(f"WITH {_X}, {_LOOPED}, {_beside('X', 'sum(A.w * s.v)', 'S')}, Y AS (SELECT X.id, X.k, greatest(X.v, S.v) AS v FROM X JOIN S ON S.id = X.id AND S.k = X.k)" + _rounded("Y", 3))
 def jumping_knowledge(spark: SparkSession, d: str) -> DataFrame:
-    nodes, edges = _square(spark, d)
-    return _long(layers.jumping_knowledge([nodes, spmm.gather_weight_scatter(edges, nodes, num_nodes=nodes)], "max"), kind="double", digits=3)
+    return _long(layers.jumping_knowledge(_two_layers(spark, d), "max"), kind="double", digits=3)
 
 
-@query(f"WITH {_x(8)}, M AS (SELECT k, avg(v) AS m, var_pop(v) AS s FROM X GROUP BY 1), R AS (SELECT id, X.k, (v - m) / sqrt(s + 1e-5) AS v FROM X JOIN M ON M.k = X.k)" + _rounded("R", 6))
+@query(f"WITH {_X}, {_LOOPED}, {_beside('X', 'sum(A.w * s.v)', 'S')}, Y AS (SELECT * FROM X UNION ALL SELECT id, k + {_DIM}, v FROM S)" + _rounded("Y", 3))
+def jumping_concat(spark: SparkSession, d: str) -> DataFrame:
+    return _long(layers.jumping_knowledge(_two_layers(spark, d), "cat"), kind="double", digits=3)
+
+
+@query(f"WITH {_X}, {_LOOPED}, {_beside('X', 'sum(A.w * s.v)', 'S')}" + _rounded("S", 3))
+def jumping_last(spark: SparkSession, d: str) -> DataFrame:
+    return _long(layers.jumping_knowledge(_two_layers(spark, d), "last"), kind="double", digits=3)
+
+
+@query(f"WITH {_X}, M AS (SELECT k, avg(v) AS m, var_pop(v) AS s FROM X GROUP BY 1), R AS (SELECT id, X.k, (v - m) / sqrt(s + 1e-5) AS v FROM X JOIN M ON M.k = X.k)" + _rounded("R", 6))
 def feature_norm(spark: SparkSession, d: str) -> DataFrame:
-    return _long(layers.feature_norm(fx.nodes(spark, d, 8), "batch", 8), kind="double", digits=6)
+    nodes = fx.nodes(spark, d)
+    return _long(layers.feature_norm(nodes, "batch", dim_of(nodes)), kind="double", digits=6)
+
+
+@query(f"WITH {_X}, M AS (SELECT id, avg(v) AS m, var_pop(v) AS s FROM X GROUP BY 1), R AS (SELECT X.id, X.k, (v - m) / sqrt(s + 1e-5) AS v FROM X JOIN M ON M.id = X.id)" + _rounded("R", 6))
+def layer_norm(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fx.nodes(spark, d)
+    return _long(layers.feature_norm(nodes, "layer", dim_of(nodes)), kind="double", digits=6)
+
+
+_ACTS = {
+    "relu": "greatest(v, 0)", "leaky_relu": "CASE WHEN v > 0 THEN v ELSE v * 0.01 END", "sigmoid": "1 / (1 + exp(-v))",
+    "tanh": "1 - 2 / (exp(2 * v) + 1)", "elu": "CASE WHEN v > 0 THEN v ELSE exp(v) - 1 END",
+}
+
+
+@query(f"WITH {_X} " + " UNION ALL ".join(f"SELECT '{name}' AS name, id, k, round({sql}, 9) + 0 AS value FROM (SELECT id, k, v / 1000 AS v FROM X)" for name, sql in _ACTS.items()))
+def activations(spark: SparkSession, d: str) -> DataFrame:
+    nodes = fx.nodes(spark, d).withColumn("x", F.transform("x", lambda v: v / 1000))
+    each = [layers.apply(nodes, layers.activation(name)).withColumn("name", F.lit(name)) for name in _ACTS]
+    return _long(analytics.stack_rows(each), ("name", "id"), "double", 9)
 
 
-@query(f"WITH {_x(8)}, {_NORM}, S AS {_spread('A', 'X')}, Y AS (SELECT X.id, X.k, 0.5 * coalesce(S.v, 0) + 0.5 * X.v AS v FROM X LEFT JOIN S ON S.id = X.id AND S.k = X.k), S2 AS {_spread('A', 'Y')}, Z AS (SELECT X.id, X.k, 0.5 * coalesce(S2.v, 0) + 0.5 * X.v AS v FROM X LEFT JOIN S2 ON S2.id = X.id AND S2.k = X.k)" + _rounded("Z", 3))
+@query(f"WITH {_X}, {_NORM}, S AS {_spread('A', 'X')}, Y AS (SELECT X.id, X.k, 0.5 * coalesce(S.v, 0) + 0.5 * X.v AS v FROM X LEFT JOIN S ON S.id = X.id AND S.k = X.k), S2 AS {_spread('A', 'Y')}, Z AS (SELECT X.id, X.k, 0.5 * coalesce(S2.v, 0) + 0.5 * X.v AS v FROM X LEFT JOIN S2 ON S2.id = X.id AND S2.k = X.k)" + _rounded("Z", 3))
 def appnp(spark: SparkSession, d: str) -> DataFrame:
-    return _long(layers.appnp(*_square(spark, d), steps=2, alpha=0.5, dim=8), kind="double", digits=3)
+    nodes, edges, dim = _square(spark, d)
+    return _long(layers.appnp(nodes, edges, steps=2, alpha=0.5, dim=dim), kind="double", digits=3)
 
 
-@query(f"WITH {_x(8)}, {_NORM}, S AS {_spread('A', 'X')}, S2 AS {_spread('A', 'S')}, O AS {_linear('S2', 4, 8)}" + _rounded("O", 3))
+@query(f"WITH {_X}, {_NORM}, S AS {_spread('A', 'X')}, S2 AS {_spread('A', 'S')}, S3 AS {_spread('A', 'S2')}, O AS {_linear('S3', _OUT)}" + _rounded("O", 3))
 def sgc(spark: SparkSession, d: str) -> DataFrame:
-    return _long(layers.sgc(*_square(spark, d), steps=2, weight=_weight(4, 8), dim=8), kind="double", digits=3)
+    nodes, edges, dim = _square(spark, d)
+    return _long(layers.sgc(nodes, edges, steps=3, weight=_weight(_OUT, dim), dim=dim), kind="double", digits=3)
 
 
-@query(f"""WITH {_x(8)}, {_e(fx.SQUARE)}, {_NODES}, L AS (SELECT DISTINCT src, dst FROM E WHERE src <> dst UNION ALL SELECT id, id FROM V),
-    P AS (SELECT id, k // 4 AS h, sum(v * ((3 * (k // 4) + 5 * (k % 4)) % 7 - 3) / 1000) AS a, sum(v * ((3 * (k // 4) + 5 * (k % 4) + 1) % 7 - 3) / 1000) AS b FROM X GROUP BY 1, 2),
+def _attention(shift: int) -> str:
+    return f"sum(v * ((3 * (k // {_PER}) + 5 * (k % {_PER}) + {shift}) % 7 - 3) / 1000)"
+
+
+@query(f"""WITH {_X}, {_e(fx.SQUARE)}, {_NODES}, L AS (SELECT DISTINCT src, dst FROM E WHERE src <> dst UNION ALL SELECT id, id FROM V),
+    P AS (SELECT id, k // {_PER} AS h, {_attention(0)} AS a, {_attention(1)} AS b FROM X GROUP BY 1, 2),
     Q AS (SELECT L.src, L.dst, s.h, CASE WHEN s.a + t.b > 0 THEN s.a + t.b ELSE 0.2 * (s.a + t.b) END AS s FROM L JOIN P s ON s.id = L.src JOIN P t ON t.id = L.dst AND t.h = s.h),
     M AS (SELECT dst, h, max(s) AS m FROM Q GROUP BY 1, 2), R AS (SELECT Q.*, exp(s - m) AS e FROM Q JOIN M ON M.dst = Q.dst AND M.h = Q.h)
-    SELECT R.dst AS id, R.h, X.k % 4 AS k, round(sum(e * v) / sum(e), 3) + 0 AS value FROM R JOIN X ON X.id = R.src AND X.k // 4 = R.h GROUP BY 1, 2, 3""")
+    SELECT R.dst AS id, R.h, X.k % {_PER} AS k, round(sum(e * v) / sum(e), 3) + 0 AS value FROM R JOIN X ON X.id = R.src AND X.k // {_PER} = R.h GROUP BY 1, 2, 3""")
 def gat(spark: SparkSession, d: str) -> DataFrame:
-    found = layers.gat(fx.head_nodes(spark, d), fx.edges(spark, d, fx.SQUARE), _weight(2, 4) / 1000, _weight(2, 4, 1) / 1000)
+    nodes = fx.head_nodes(spark, d)
+    dim = dim_of(nodes, F.col("x")[0])
+    found = layers.gat(nodes, fx.edges(spark, d, fx.SQUARE), _weight(fx.HEADS, dim) / 1000, _weight(fx.HEADS, dim, 1) / 1000)
     return _heads(found, "double", 3)
 
 
@@ -554,9 +649,9 @@ def topk(spark: SparkSession, d: str) -> DataFrame:
     return analytics.top(fx.results(spark, d).select("event_id", "time"), "time", 10, "event_id")
 
 
-@query(f"WITH {_x(8)} SELECT id, k, abs(v - round(v / 10) * 10) AS diff FROM X ORDER BY diff DESC, id, k LIMIT 10")
+@query(f"WITH {_X} SELECT id, k, abs(v - round(v / 10) * 10) AS diff FROM X ORDER BY diff DESC, id, k LIMIT 10")
 def worst_cells(spark: SparkSession, d: str) -> DataFrame:
-    cells = vectors.to_long(fx.nodes(spark, d, 8), ["id"]).withColumn("k", F.col("k").cast("long"))
+    cells = vectors.to_long(fx.nodes(spark, d), ["id"]).withColumn("k", F.col("k").cast("long"))
     return compare.worst_cells(cells, cells.withColumn("value", F.round(F.col("value") / 10) * 10), ["id", "k"])
 
 
@@ -565,6 +660,12 @@ def sorted_distinct(spark: SparkSession, d: str) -> DataFrame:
     return analytics.distinct_sorted(fx.results(spark, d), "dataname")
 
 
+@query(f"WITH {_RESULTS}, G AS (SELECT method, dataname, min(time) AS least FROM T GROUP BY 1, 2) SELECT method, dataname, least FROM G ORDER BY list_position(['ours', 'base'], method), dataname")
+def custom_order(spark: SparkSession, d: str) -> DataFrame:
+    rows = fx.results(spark, d).groupBy("method", "dataname").agg(F.min("time").alias("least"))
+    return analytics.sort_by_labels(rows, "method", ["ours", "base"], "dataname")
+
+
 @query(f"WITH {_RESULTS} SELECT dataname, time, CASE WHEN method = 'base' THEN -1 ELSE feature_size END AS feature_size FROM T WHERE method IN ('base', 'ours')")
 def union_results(spark: SparkSession, d: str) -> DataFrame:
     rows = fx.results(spark, d)
@@ -690,3 +791,42 @@ def index_files(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "events").select(F.col("event_type").alias("dataname"), (F.col("event_id") % 2).alias("noise"), F.lit(0).alias("scale"), F.col("event_id").alias("pos"), F.col("user_id").alias("idx"))
     tables.store_index(rows, path)
     return spark.read.parquet(path).groupBy("dataname", F.col("noise").cast("long").alias("noise")).agg(F.count("*").alias("size"), F.max("idx").alias("largest"))
+
+
+@query(f"WITH {_RESULTS} SELECT dataname, feature_size::INT AS feature_size, method, time FROM T")
+def result_csv_header(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "csv")
+    tables.write_csv(fx.results(spark, d).select("dataname", "feature_size", "method", "time"), path, header=True)
+    return tables.read_csv(spark, path, "dataname string, feature_size int, method string, time double", header=True)
+
+
+@query(f'WITH {_LOOPED} SELECT dst AS "row", src AS col, w, row_number() OVER (ORDER BY dst, src) - 1 AS pos FROM C')
+def matrix_market_csr(spark: SparkSession, d: str) -> DataFrame:
+    """A file read as compressed rows, and these as entries again."""
+    n, path = fx.node_count(spark, d), scratch(spark, "mtx")
+    coo = sparse.coalesce_edges(fx.edges(spark, d, fx.SQUARE)).select(F.col("dst").alias("row"), F.col("src").alias("col"), "w")
+    matrix_market.write_matrix_market(stash(coo, "coo"), path, n, n)
+    return sparse.csr_to_coo(*matrix_market.read_matrix_market_csr(spark, path))
+
+
+@query(f"""WITH {_LOOPED} SELECT 'pattern' AS field, dst AS "row", src AS col, 1.0::DOUBLE AS re, 0.0::DOUBLE AS im FROM C UNION ALL SELECT 'complex', dst, src, w, -w FROM C""")
+def matrix_market_fields(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern file, whose entries count 1, and a complex one."""
+    n, out = fx.node_count(spark, d), []
+    coo = stash(sparse.coalesce_edges(fx.edges(spark, d, fx.SQUARE)).select(F.col("dst").alias("row"), F.col("src").alias("col"), "w"), "coo")
+    for field, w in (("pattern", F.col("w")), ("complex", F.struct(F.col("w").alias("re"), (-F.col("w")).alias("im")))):
+        path = scratch(spark, "mtx")
+        matrix_market.write_matrix_market(coo.withColumn("w", w), path, n, n, field)
+        found = matrix_market.read_matrix_market(spark, path)
+        parts = (F.col("w.re"), F.col("w.im")) if field == "complex" else (F.col("w"), F.lit(0.0))
+        out.append(found.select(F.lit(field).alias("field"), "row", "col", parts[0].alias("re"), parts[1].alias("im")))
+    return out[0].union(out[1])
+
+
+@query("SELECT (p // 1024)::VARCHAR AS dataname, p % 1024 AS pos, idx FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS p, user_id AS idx FROM events)")
+def npy_files(spark: SparkSession, d: str) -> DataFrame:
+    """Index vectors as .npy files of 1,024 entries, read back in bulk."""
+    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("idx"))
+    path = scratch(spark, "npy")
+    stash(tables.write_index_files(sparse.number_rows(events, "pos", ["event_id"]).select("pos", "idx"), path, 1024), "files")
+    return tables.read_index_files(spark, path)

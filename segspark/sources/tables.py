@@ -3,22 +3,17 @@
 from __future__ import annotations
 
 import io
+import uuid
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dataset_name
 
-# Schemas of header-less result files.
-SR_RESULTS = "dataname string, feature_size int, config1 int, config2 int, config3 int, config4 int, time double, gflops double"
-PR_RESULTS = "dataname string, feature_size int, config1 int, config2 int, config3 int, config4 int, config5 int, time double, gflops double"
-INDEX_FEATURES = "dataname string, size long, max long, std double, mean double"
-SPMM_TIMINGS = "dataset string, feature_size int, geos double, cusparse double, pyg_sparse double"
-MODEL_TIMINGS = "model string, dataset string, hidden_size int, use_sparse boolean, use_geo boolean, time double"
-RULE_TIMINGS = "dataname string, rule string, feature_size int, size long, time double, gflops double"
-
 
 def read_csv(spark: SparkSession, path: str, schema: str, header: bool = False) -> DataFrame:
     """Columns as declared; nothing is inferred."""
@@ -48,3 +43,25 @@ def read_index_files(spark: SparkSession, path: str) -> DataFrame:
 def store_index(rows: DataFrame, path: str) -> None:
     """Store (dataname, noise, scale, pos, idx), one folder per variant."""
     rows.write.mode("overwrite").partitionBy("dataname", "noise", "scale").parquet(path)
+
+
+def write_index_files(rows: DataFrame, folder: str, block: int = 1 << 16) -> DataFrame:
+    """Write rows(pos, idx), positions from 0 without gaps, as one .npy file of int64 for each block positions; (path, rows) of the files.
+
+    folder has a scheme and is shared by the executors. A block is one task, and its file is moved into place when whole.
+    """
+
+    def save(part: pa.Table) -> pa.Table:
+        number = part["block"][0].as_py()
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        fs.create_dir(base, recursive=True)
+        draft, path = f"{base}/.{number}.{uuid.uuid4().hex}", f"{base}/{number}_idx.npy"
+        data = io.BytesIO()
+        np.save(data, part.sort_by("pos")["idx"].to_numpy().astype("<i8"))
+        with fs.open_output_stream(draft) as out:
+            out.write(data.getbuffer())
+        fs.move(draft, path)
+        return pa.table({"path": [path], "rows": pa.array([part.num_rows], pa.int64())})
+
+    blocks = rows.select(F.floor(F.col("pos") / block).alias("block"), "pos", F.col("idx").cast("long"))
+    return blocks.groupBy("block").applyInArrow(save, "path string, rows long")

@@ -5,6 +5,7 @@ import itertools
 import pytest
 from pyspark.sql import functions as F
 
+from segspark import fixtures as fx
 from segspark.operators import segment, sparse
 
 
@@ -19,6 +20,15 @@ def test_a_hot_key_is_dealt_over_blocks(hot):
     assert sum(sizes) == 2000 and max(sizes) <= 600
 
 
+def test_no_task_numbers_more_than_twice_its_share(spark):
+    """All edges of the largest tables: few distinct destinations, and then one that holds a third of all rows."""
+    edges = fx.edges(spark, "/root/testdata/sf0.1")
+    hot = edges.withColumn("dst", F.when(F.pmod(F.xxhash64("src", "dst", "w"), F.lit(3)) == 0, 7).otherwise(F.col("dst")))
+    for rows in (edges, hot):
+        sizes = [r["count"] for r in segment.deal(rows, ["dst", "src", "w"], sparse.BLOCK).groupBy("_block").count().collect()]
+        assert len(sizes) >= 9 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
 def test_running_sums_use_these_blocks(hot, monkeypatch):
     seen, deal = [], sparse.deal
     monkeypatch.setattr(sparse, "deal", lambda *a: seen.append(deal(*a)) or seen[-1])

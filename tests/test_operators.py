@@ -67,7 +67,7 @@ def test_segment_reductions(spark, how, f):
 
 
 def test_unknown_reduction_is_refused():
-    with pytest.raises(ValueError, match="reduce argument"):
+    with pytest.raises(ValueError, match="unknown reduction"):
         scalars.reduction("median")
 
 
@@ -270,12 +270,28 @@ def test_graph_tables(spark, edges, nodes):
 def test_vectors_and_scalars(spark):
     row = spark.createDataFrame([([3.0, -4.0], [1.0, 2.0], "./a/b_idx.npy")], "a array<double>, b array<double>, p string")
     a, b = F.col("a"), F.col("b")
-    got = row.select(vectors.dot(a, b), vectors.dot(a, b, 2), vectors.axpy(2, a, b), vectors.relu(a), vectors.l2_normalize(a), scalars.dataset_name(F.col("p")), scalars.capitalized(F.lit("abc")), scalars.nearest_power_of_two(F.lit(6.0)), scalars.inverse_sqrt(F.lit(0.0))).first()
-    assert tuple(got) == (-5.0, -5.0, [7.0, -6.0], [3.0, 0.0], [0.6, -0.8], "b", "Abc", 8.0, 0.0)
+    got = row.select(vectors.dot(a, b), vectors.dot(b, b), vectors.axpy(2, a, b), vectors.relu(a), vectors.l2_normalize(a), scalars.dataset_name(F.col("p")), scalars.capitalized(F.lit("abc")), scalars.nearest_power_of_two(F.lit(6.0)), scalars.inverse_sqrt(F.lit(0.0))).first()
+    assert tuple(got) == (-5.0, 5.0, [7.0, -6.0], [3.0, 0.0], [0.6, -0.8], "b", "Abc", 8.0, 0.0)
     long = vectors.to_long(row.select(F.lit(1).alias("id"), "a"), ["id"], "a")
     assert vectors.to_vectors(long, ["id"]).first()["x"] == [3.0, -4.0]
 
 
+def test_inner_products_of_any_lengths(spark):
+    pairs = [([1.0, 2.0], [3.0, 4.0]), ([], []), (None, [1.0]), ([2.0], [5.0]), ([1.0, 2.0], [1.0]), ([1.0, None], [1.0, 1.0]), ([1.0] * 128, [2.0] * 128)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a array<double>, b array<double>").coalesce(1)
+    want = [11.0, 0.0, None, 10.0, None, None, 256.0]
+    assert [r[0] for r in rows.orderBy("i").select(vectors.dot(F.col("a"), F.col("b"))).collect()] == want
+    assert rows.where("i in (0, 6)").select(vectors.dot(F.col("a"), F.col("b"))).count() == 2
+    assert [r[0] for r in rows.where("size(a) = 2 and i = 0").select(vectors.dot(F.col("a"), F.col("b"))).collect()] == [11.0]
+    assert rows.where("false").select(vectors.dot(F.col("a"), F.col("b"))).count() == 0
+
+
+def test_vectors_of_different_lengths_are_reduced_whole(spark):
+    items = spark.createDataFrame([(0, [1.0]), (0, [2.0, 3.0, 4.0]), (1, [5.0, 6.0])], "idx long, x array<double>").coalesce(1)
+    got = {r.id: r.x for r in segment.index_scatter(items).collect()}
+    assert got[0] == [3.0, 3.0, 4.0] and got[1][:2] == [5.0, 6.0]
+
+
 def test_comparison(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0), (3, 3.0)], "id long, value double")
     b = spark.createDataFrame([(1, 1.00001), (2, 2.5)], "id long, value double")
@@ -298,6 +314,84 @@ def test_index_vectors(spark):
     assert len(augment.scale_exponents(64_000)) == 12 and augment.scale_exponents(64_000)[0] == 6
 
 
+@pytest.mark.parametrize("exponents", [[2, 1, 0, -1, -2], [0]])
+def test_scale_ladder(spark, exponents, monkeypatch):
+    """Every step against NumPy: evenly spaced rows while the exponent is positive, half-pixel interpolation beyond."""
+    monkeypatch.setattr(augment, "scale_exponents", lambda rows: exponents)
+    idx = np.sort(np.random.default_rng(4).integers(0, 90, 50))
+    want = []
+    for step, e in enumerate(exponents):
+        if e > 0:
+            new = round(50 / 2**e)
+            values = [idx[int(i * 50 // new)] // 2**e for i in range(new)]
+        else:
+            scale = 2**-e
+            spots = np.maximum((np.arange(50 * scale) + 0.5) / scale - 0.5, 0)
+            values = np.floor(np.interp(spots, range(50), idx) * scale).astype(int)
+        want += [(step, pos, int(v)) for pos, v in enumerate(values)]
+    items = spark.createDataFrame(list(enumerate(idx.tolist())), "pos long, idx long")
+    assert sorted(tuple(r) for r in augment.scale_ladder(items).collect()) == want
+
+
+def test_noise_stays_in_its_span(spark):
+    """Noise is whole, at least 0 and below (rows - largest) / largest, a variant's own, and the same again in a rerun."""
+    idx = np.repeat(np.arange(1, 11), 30)
+    items = spark.createDataFrame(list(enumerate(idx.tolist())), "pos long, idx long").coalesce(1).cache()
+    span = (300 - 10) // 10
+    found = [[r.idx for r in augment.noise_augment(items, v).orderBy("pos").collect()] for v in (0, 1, 1)]
+    for noisy in found:
+        extra = np.array(noisy) - idx  # both sorted, so order statistics bound each other
+        assert noisy == sorted(noisy) and extra.min() >= 0 and extra.max() < span and abs(np.sum(noisy) - idx.sum() - 300 * (span - 1) / 2) < 5 * span * (300 / 12) ** 0.5
+    assert found[0] != found[1] and found[1] == found[2]
+
+
+def test_synthetic_index_has_the_asked_spread(spark):
+    made = augment.synthetic_index(spark, 2000, 2, 60, 40_000, 0.25, seed=5)
+    lengths = np.array([r.length for r in segment.run_lengths(made).orderBy("idx").collect()])[:-1]  # the last takes what remains
+    assert lengths.min() >= 2 and lengths.max() <= 60
+    assert lengths.mean() == pytest.approx(20, rel=0.05) and lengths.std() / lengths.mean() == pytest.approx(0.25, rel=0.1)
+    assert made.count() == 40_000
+
+
+def _tree(x, y, depth):
+    """A regression tree by exhaustive search over all thresholds, in plain NumPy: a function of one row."""
+    best = None
+    for k in range(x.shape[1]):
+        for t in np.unique(x[:, k])[:-1]:
+            left = x[:, k] <= t
+            loss = sum(((part - part.mean()) ** 2).sum() for part in (y[left], y[~left]))
+            if best is None or loss < best[0] - 1e-9:
+                best = (loss, k, t, left)
+    if depth == 0 or best is None or ((y - y.mean()) ** 2).sum() - best[0] <= 1e-9:
+        return lambda row: y.mean()
+    _, k, t, left = best
+    low, high = _tree(x[left], y[left], depth - 1), _tree(x[~left], y[~left], depth - 1)
+    return lambda row: (low if row[k] <= t else high)(row)
+
+
+def test_configurations_by_tree(spark):
+    """Predictions equal those of a tree by exhaustive search, snapped to powers of two; then the measured time and its error."""
+    rng = np.random.default_rng(6)
+    rows = [(i, float(2 ** rng.integers(0, 4)), float(rng.choice([100, 2000, 30_000])), float(rng.choice([3, 9, 27]))) for i in range(300)]
+    target = lambda f, n, a: (2.0 ** (1 + (n > 500) + 2 * (a > 5)), 4.0 if f > 2 else 1.0)
+    frame = spark.createDataFrame([(*r, *target(*r[1:])) for r in rows], "i long, feature_size double, size double, avg double, c1 double, c2 double").cache()
+    model = analytics.ConfigModel(["c1", "c2"], depth=3)
+    train, test = model.split(frame)
+    known = np.array([list(r) for r in train.collect()])
+    assert 0.7 < len(known) / 300 < 0.9 and train.count() + test.count() == 300 and train.join(test, "i").count() == 0
+    trees = [_tree(known[:, 1:4], known[:, 4 + k], 3) for k in range(2)]
+    got = model.fit(train).predict(test).collect()
+    for r in got:
+        want = [2.0 ** np.round(np.log2(max(np.rint(t([r.feature_size, r.size, r.avg])), 1))) for t in trees]
+        assert [r.pred_c1, r.pred_c2] == want
+    measured = spark.createDataFrame([(2.0, 1.5), (4.0, 2.5), (8.0, 0.5)], "c1 double, t double")
+    found = analytics.lookup(frame.select("i", "c1"), measured, ["c1"], "t")
+    times = {2.0: 1.5, 4.0: 2.5, 8.0: 0.5}
+    assert {r.i: r.t for r in found.collect()} == {r[0]: times.get(target(*r[1:])[0], 0.0) for r in rows}
+    error = np.sqrt(np.mean([(times.get(target(*r[1:])[0], 0.0) - 1) ** 2 for r in rows]))
+    assert found.agg(analytics.root_mean_squared_error(F.col("t"), F.lit(1.0))).first()[0] == pytest.approx(error)
+
+
 def test_tables_of_measurements(spark):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 4.0), ("b", "x", 9.0), ("b", "y", 3.0)], "ds string, m string, t double")
     assert {(r.ds, r.m) for r in analytics.best_rows(rows, ["ds"], "t", ["m"]).collect()} == {("a", "y"), ("b", "x")}

@@ -45,5 +45,5 @@ def test_running_sums_have_no_window_over_the_table(spark):
 
 
 def test_linear_layers_are_one_arrow_pass(spark):
-    text = plan(layers.apply(fx.nodes(spark, SF, 8), layers.mlp([([[1.0] * 8] * 4, None), ([[1.0] * 4] * 2, None)])))
+    text = plan(layers.apply(fx.nodes(spark, SF), layers.mlp([([[1.0] * 64] * 4, None), ([[1.0] * 4] * 2, None)])))
     assert len(re.findall("ArrowEvalPython", text)) == 1
