@@ -88,8 +88,12 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mixed corpus: every row of docs as many times as copies() says, all columns kept."""
-    names = [c for c in docs.columns]
+    """The mixed corpus: every row of docs as many times as copies() says, with all its columns, whatever their names.
+
+    Null texts have size 0, a null source is one of its own, last, and a source without words is not taken. Documents of equal size stand in order of a hash of their id,
+    then id, then text; rows that repeat count separately. An empty table gives none.
+    """
+    names = docs.columns
     packed = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size"), F.struct(*names).alias("_row"))
     taken = copies(packed, F.xxhash64(f"_row.{text_col}")).where("copies > 0")
     return taken.select("_row", F.explode(F.sequence(F.lit(1), "copies"))).select("_row.*")
