@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -66,12 +67,20 @@ def sketches(docs: DataFrame, words: int, shingle: int = 5) -> DataFrame:
 
 
 def candidates(values: DataFrame, plan: tuple[int, int, int], least: float) -> DataFrame:
-    """Edges (u, v) that connect the nodes of values(node, fingerprint) which share a covering bucket and whose compared words are near enough for that similarity."""
+    """Edges (u, v) that connect the nodes of values(node, fingerprint) which share a covering bucket and whose compared words are near enough for that similarity.
+
+    The tables of the first words go first. What they connect has one name in all others, so large groups of near copies, which meet in every table, are joined in
+    the first ones and yield no more edges.
+    """
     words, bits, radius = plan
     tables = [(word, mask) for word in range(words) for mask in simhash.covering_masks(radius, bits)]
     share, size = simhash.differing_share(least), COMPARED * simhash.BITS
     most = round(share * size + SIGMAS * (share * (1 - share) * size) ** 0.5)
-    return simhash.links(values, tables, list(range(words, words + COMPARED)), most)
+    compared, first = list(range(words, words + COMPARED)), math.ceil(words / 16) * len(tables) // words
+    early = stash(simhash.links(values, tables[:first], compared, most).distinct(), "early")
+    named = stash(components(early), "names")
+    values = values.join(named, "node", "left").withColumn("name", F.coalesce("component", "node"))
+    return early.union(simhash.links(values, tables[first:], compared, most))
 
 
 def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:

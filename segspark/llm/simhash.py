@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, join_hot, least_of, stars, stash
+from .common import components, join_hot, least_of, roots, stars, stash
 
 SEED = 42
 BITS = 64
@@ -125,6 +125,20 @@ def _links(values: np.ndarray, most: int, split: int | None = None) -> Iterator[
                     yield at, other
 
 
+def _linked(values: np.ndarray, most: int, split: int | None = None) -> np.ndarray:
+    return np.array(list(_links(values, most, split)), dtype=np.int64).reshape(-1, 2).T
+
+
+def _across(nodes: np.ndarray, values: np.ndarray, split: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """What near pairs across two blocks connect, as edges between the smallest nodes of what is connected in either block alone: there each
+    block's own task joins the others to these. Two blocks of copies of one text come to one edge."""
+    within = np.concatenate([_linked(values[:split], most), split + _linked(values[split:], most)], axis=1)
+    order = np.argsort(nodes, kind="stable")
+    rank = np.argsort(order)
+    least = nodes[order[roots(len(nodes), rank[within[0]], rank[within[1]])]][rank]
+    return tuple(np.unique(least[_linked(values, most, split)], axis=1))
+
+
 def _linker(most: int):
     """For rows (bucket, i, j, block, node, words of the fingerprint...) sorted by bucket, i, j, block: the edges within each (bucket, i, j)."""
 
@@ -143,12 +157,14 @@ def _linker(most: int):
             pairs.append(np.stack([at, at + step]))
         near = np.concatenate(pairs, axis=1)
         dense = (ends - starts > SMALL) | (np.bincount(group[near[0]], minlength=len(starts)) > ends - starts)
-        pairs = [near[:, ~dense[group[near[0]]]]]
+        pairs, found = [near[:, ~dense[group[near[0]]]]], []
         for s, e in zip(starts[dense], ends[dense], strict=True):
-            split = None if keys[s, 1] == keys[s, 2] else int((keys[s:e, 3] == keys[s, 1]).sum())
-            pairs.append(s + np.array(list(_links(values[s:e], most, split)), dtype=np.int64).reshape(-1, 2).T)
-        u, v = stars(nodes, *np.concatenate(pairs, axis=1))
-        return pa.record_batch([pa.array(u), pa.array(v)], names=["u", "v"])
+            if keys[s, 1] == keys[s, 2]:
+                pairs.append(s + _linked(values[s:e], most))
+            else:
+                found.append(_across(nodes[s:e], values[s:e], int((keys[s:e, 3] == keys[s, 1]).sum()), most))
+        u, v = np.concatenate([stars(nodes, *np.concatenate(pairs, axis=1)), *found], axis=1)
+        return pa.record_batch([pa.array(u[u != v]), pa.array(v[u != v])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -171,7 +187,7 @@ def _linker(most: int):
 
 
 def links(values: DataFrame, tables: list[tuple[int, int]], compared: list[int], most: int, block: int = BLOCK) -> DataFrame:
-    """Edges (u, v) between the nodes of distinct values(node, fingerprint array<bigint>) that connect near ones.
+    """Edges (u, v) between the names of values(node, name, fingerprint array<bigint>), one row a node, that connect near ones; without a column name a node is its own name.
 
     tables are (word, mask): every value goes to one bucket for each, that of the word's bits under the mask. Two values in a bucket are near if they
     differ in at most most bits of the compared words, which travel with the node, so nothing is joined back.
@@ -184,10 +200,11 @@ def links(values: DataFrame, tables: list[tuple[int, int]], compared: list[int],
     sampled = values.where(F.pmod(F.xxhash64("node", F.lit(2)), F.lit(SAMPLE)) == 0).select(F.explode(keys).alias("bucket"))
     large = sampled.groupBy("bucket").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > block)
     large = stash(large.select("bucket", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
-    rows = values.select("node", *[F.col("fingerprint")[w].alias(f"word{w}") for w in compared], F.explode(keys).alias("bucket"))
+    values = values if "name" in values.columns else values.withColumn("name", F.col("node"))
+    rows = values.select("node", "name", *[F.col("fingerprint")[w].alias(f"word{w}") for w in compared], F.explode(keys).alias("bucket"))
     rows = rows.join(large, "bucket", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", *[f"word{w}" for w in compared])
+    tasks = rows.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "name", *[f"word{w}" for w in compared])
     return tasks.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "block").mapInArrow(_linker(most), "u long, v long")
 
 

@@ -196,6 +196,18 @@ def test_links_connect_what_brute_force_connects(spark, block):
     assert _reach(values, found) == _reach(values, edges)
 
 
+def test_blocks_of_one_large_group_yield_few_edges(spark):
+    rng, base = random.Random(3), random.Random(4).getrandbits(64)
+    values = sorted({base ^ (1 << rng.randrange(64)) for _ in range(500)})
+    values = [v ^ (a << 20) ^ (b << 40) for v in values for a in range(2) for b in range(2)]
+    values = sorted(set(values))
+    signed = [v - 2**64 if v >> 63 else v for v in values]
+    frame = spark.createDataFrame([(v, [v]) for v in signed], "node long, fingerprint array<long>")
+    edges = [(a, b) for i, a in enumerate(values) for b in values[i + 1 :] if (a ^ b).bit_count() <= 4]
+    found = [(r.u % 2**64, r.v % 2**64) for r in simhash.links(frame, [(0, 0)], [0], 4, 20).collect()]
+    assert _reach(values, found) == _reach(values, edges) and len(edges) > 10_000 and len(found) < 1000
+
+
 def test_near_duplicates(docs, rows, none):
     prints = [_fingerprint(r[1]) for r in rows]
     edges = [(a, b) for i, a in enumerate(set(prints)) for b in set(prints) if (a ^ b).bit_count() <= 2]
