@@ -119,7 +119,7 @@ class Decoder:
         return np.split(filters[order], np.cumsum(np.bincount(rows, minlength=len(x)))[:-1])
 
 
-def _decoder(count: int, least: float, miss: float, wide: bool):
+def _decoder(plans: dict[int, tuple[int, int, float]], wide: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoders: dict[int, Decoder] = {}
         for batch in batches:
@@ -129,7 +129,7 @@ def _decoder(count: int, least: float, miss: float, wide: bool):
             for dim in np.unique(dims).tolist():
                 at = np.flatnonzero(dims == dim)
                 if dim not in decoders:
-                    decoders[dim] = Decoder(dim, cap_plan(dim, count, least, miss))
+                    decoders[dim] = Decoder(dim, plans[dim])
                 x = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
                 for start in range(0, len(at), 256):
                     for i, found in zip(at[start : start + 256], decoders[dim].decode(unit(x[start : start + 256])), strict=True):
@@ -221,10 +221,11 @@ def near_counts(vectors: DataFrame, least: float = 0.9, block: int = BLOCK, miss
     which are separate tasks. No filter and no list is cut short.
     """
     count = vectors.count()
-    dims = [r[0] for r in vectors.select(F.size("vector")).distinct().collect()]  # the table's vector lengths, few by nature
-    wide = any(codes * words**2 >= 2**31 for codes, words, _ in (cap_plan(dim, count, least, miss) for dim in dims))
+    lengths = vectors.select(F.size("vector")).distinct().collect()  # few by nature
+    plans = {dim: cap_plan(dim, count, least, miss) for (dim,) in lengths}
+    wide = any(codes * words**2 >= 2**31 for codes, words, _ in plans.values())
     schema = f"id long, size long, vector {dict(vectors.dtypes)['vector']}, filters array<{'long' if wide else 'int'}>, dim int"
-    decoded = stash(vectors.select("id", "size", "vector").mapInArrow(_decoder(count, least, miss, wide), schema), "filters")
+    decoded = stash(vectors.select("id", "size", "vector").mapInArrow(_decoder(plans, wide), schema), "filters")
     sampled = decoded.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(SAMPLE)) == 0).select("dim", F.explode("filters").alias("filter"))
     large = sampled.groupBy("dim", "filter").agg((F.count("*") * SAMPLE).alias("n")).where(F.col("n") > block)
     large = stash(large.select("dim", "filter", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "large")
