@@ -120,10 +120,13 @@ def segment_dim1(spark: SparkSession, d: str) -> DataFrame:
     return _long(segment.scatter_columns(nodes, index))
 
 
-@query(f"WITH {_X}, {_en()} SELECT E.eid, E.dst, k, (E.w * v)::BIGINT AS value FROM E JOIN X ON X.id = E.src")
+@query(f"WITH {_X}, {_en()} SELECT E.eid, E.dst, count(*) AS components, sum(E.w * v)::BIGINT AS total, sum(E.w * v * (k + 1))::BIGINT AS moment FROM E JOIN X ON X.id = E.src GROUP BY 1, 2")
 def gather(spark: SparkSession, d: str) -> DataFrame:
-    found = segment.gather(fx.numbered_edges(spark, d), fx.nodes(spark, d), "src")
-    return _long(found.withColumn("x", vectors.scale(F.col("x"), F.col("w"))), ("eid", "dst"))
+    """Every edge's whole weighted message, told by its length, sum and the sum of its components times their places."""
+    found = segment.gather(fx.numbered_edges(spark, d), fx.nodes(spark, d), "src").withColumn("x", vectors.scale(F.col("x"), F.col("w")))
+    total = F.aggregate("x", F.lit(0.0), lambda acc, v: acc + v)
+    moment = F.aggregate(F.transform("x", lambda v, k: v * (k + 1)), F.lit(0.0), lambda acc, v: acc + v)
+    return found.select("eid", "dst", F.size("x").cast("long").alias("components"), total.cast("long").alias("total"), moment.cast("long").alias("moment"))
 
 
 @query(f"WITH {_RANKED} SELECT idx, min(pos) AS \"begin\", count(*) AS length FROM R GROUP BY 1")
