@@ -468,7 +468,7 @@ def _at_cosine(rng, n, dim, cosine):
 def test_caps_recall_at_the_threshold_at_every_count(dim, count):
     """Decoding alone: pairs at a cosine of exactly 0.9 share a filter, and an unrelated vector meets few."""
     plan = caps.cap_plan(dim, count, 0.9)
-    n = 600 if count <= 10**8 else 200
+    n = 600 if count <= 10**8 else 150
     a, b = _at_cosine(np.random.default_rng(8), n, dim, 0.9)
     met = np.zeros(n, dtype=bool)
     total = 0

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from segspark.llm import line_dedup, mixing, queries, secrets
+from segspark.llm import common, line_dedup, mixing, queries, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -21,5 +21,6 @@ def test_native_plans(spark, name):
 
 def test_native_stages(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    for found in (secrets.parts(docs), secrets.link(secrets.parts(docs)), mixing.mix(docs), line_dedup.remove_boilerplate(docs)):
+    parts = secrets.parts(docs)
+    for found in (parts, secrets.link(common.stash(parts)), mixing.mix(docs), line_dedup.remove_boilerplate(docs)):
         assert not re.search("Python|Pandas|Arrow", plan(found))
