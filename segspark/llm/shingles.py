@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
@@ -101,6 +101,7 @@ def _sets(docs: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
             kept = batch.take(pa.array(at, pa.int32()))
             yield pa.record_batch([*kept.columns[1:], _lists(sets)], names=["component", "blocks", "block", "node", "shingles"])
 
+    members = members.select("_id", "component", "blocks", "block", "node")
     rows = docs.join(members, F.col("doc_id").eqNullSafe(F.col("_id"))).select("text", "component", "blocks", "block", "node")
     return rows.mapInArrow(run, "component long, blocks int, block int, node long, shingles array<long>")
 
@@ -179,22 +180,58 @@ def _linker(least: float):
     return run
 
 
+def _compare(dealt: DataFrame, least: float) -> DataFrame:
+    """Edges (u, v) of rows (component, i, j, block, node, shingles): within each (component, i, j), between its blocks i and j where these differ."""
+    tasks = dealt.select("component", "i", "j", "block", "node", "shingles").repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block")
+    return tasks.mapInArrow(_linker(least), "u long, v long")
+
+
+def _up_to(n) -> Column:
+    return F.sequence(F.lit(0), n - 1)
+
+
+def _part(parts, salt: int) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(salt)), parts.cast("long")).cast("int")
+
+
 def links(docs: DataFrame, values: DataFrame, edges: DataFrame, least: float = 0.8, shingle: int = 5, block: int = BLOCK) -> DataFrame:
     """Edges (u, v) between nodes that connect what pairs of at least that similarity within a candidate group connect.
 
     values(node, first_id) names a document of docs(doc_id, text) for each node; edges(u, v) are candidates, which group nodes directly or through others.
-    Every set of a group goes to it once, where all pairs are compared by their shingles; texts without candidates are not read again.
-    Groups over the block size are split into blocks whose pairs are separate tasks. A group yields fewer edges than it has
-    members in each task.
+    Sets of a group are compared by their shingles; texts without candidates are not read again.
+    A group over the block size is compared block by block first. Then one set of each part that has come together goes in pairs of blocks; where parts remain, all sets
+    outside of the largest part are compared with the whole group, block by block. So no pair that could connect is left out, and a group of
+    near copies that come together costs what its size does. Each task yields fewer edges than it has members.
     """
     groups = stash(components(edges), "groups")
     large = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
     members = groups.join(values.select("node", F.col("first_id").alias("_id")), "node").join(large, "component", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    members = members.withColumn("block", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks").cast("long")).cast("int"))
-    members = stash(members, "members")  # for its size: few members need no exchange of texts
-    dealt = _sets(docs, members, shingle).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tasks = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "shingles")
-    return tasks.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "block").mapInArrow(_linker(least), "u long, v long")
+    members = stash(members.withColumn("block", _part(F.col("blocks"), 1)), "members")  # for its size: few members need no exchange of texts
+    found = stash(_compare(_sets(docs, members, shingle).select("*", F.col("block").alias("i"), F.col("block").alias("j")), least), "alone")
+    several = members.where("blocks > 1")
+    if several.isEmpty():
+        return found
+
+    def parts() -> tuple[DataFrame, DataFrame]:
+        """Members of groups still apart with the name of their part; and (component, name, node, n): the parts, a set of each, and its size."""
+        names = components(found).withColumnsRenamed({"component": "name"})
+        named = stash(several.join(names, "node", "left").withColumn("name", F.coalesce("name", "node")), "named")
+        each = stash(named.groupBy("component", "name").agg(F.min("node").alias("node"), F.count("*").alias("n")), "parts")
+        apart = each.groupBy("component").agg(F.count("*").alias("parts"), F.max_by("name", F.struct("n", "name")).alias("largest"), (F.sum("n") - F.max("n")).alias("others")).where("parts > 1")
+        return named.join(apart, "component"), each.join(apart, "component")
+
+    _, each = parts()
+    one = several.select("node", "_id").join(each.select("component", "node", F.ceil(F.col("parts") / block).cast("int").alias("blocks")), "node")
+    one = stash(one.withColumn("block", _part(F.col("blocks"), 2)), "members")
+    dealt = _sets(docs, one, shingle).withColumn("other", F.explode(_up_to(F.col("blocks"))))
+    found = stash(found.union(_compare(dealt.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}), least)), "ones")
+    named, _ = parts()
+    others = F.ceil(F.col("others") / block).cast("int")
+    rest = stash(named.select("node", "_id", "component", "blocks", "block", others.alias("rounds"), (F.col("name") != F.col("largest")).alias("aside")), "rest")
+    sets = _sets(docs, rest, shingle).join(rest.select("node", "rounds", "aside"), "node")
+    whole = sets.withColumn("i", F.explode(F.transform(_up_to(F.col("rounds")), lambda r: -1 - r))).withColumn("j", F.col("block"))
+    aside = sets.where("aside").withColumn("i", -1 - _part(F.col("rounds"), 3)).withColumn("j", F.explode(_up_to(F.col("blocks")))).withColumn("block", F.col("i"))
+    return found.union(_compare(whole.unionByName(aside), least))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8, miss: float = MISS) -> DataFrame:
