@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, caps, exact_dedup, language, line_dedup, mixing, records, secrets, simhash, warc
+from . import alignment, bpe, caps, exact_dedup, language, line_dedup, mixing, records, secrets, simhash, topk, vector_codes, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,13 +55,25 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.token_alignment(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.exact_top(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_warc, op4_byte_bpe, op5_exact_dedup, op6_language_id, op7_near_vectors, op8_line_dedup, op9_token_records, op10_mixing, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_simhash, op3_warc, op4_byte_bpe, op5_exact_dedup, op6_language_id, op7_near_vectors, op8_line_dedup, op9_token_records, op10_mixing, op11_vector_codes, op12_token_alignment, op13_exact_topk, pipeline)}
 
 
 def _secret_sql() -> str:
@@ -88,6 +100,31 @@ def _secret_sql() -> str:
         sha256(coalesce({text} FILTER (rank < 3), '')) AS base_sha256, coalesce({text}, '') AS spans FROM d LEFT JOIN r ON r.doc_id = d.doc_id GROUP BY 1"""
 
 
+def _whole_vectors_sql(scale: int) -> str:
+    sound = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+    return f"k AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)) AS e FROM embeddings WHERE {sound})"
+
+
+def _codes_sql() -> str:
+    parts, entries = vector_codes.PARTS, vector_codes.ENTRIES
+    steps = [
+        _whole_vectors_sql(vector_codes.SCALE),
+        f"p AS MATERIALIZED (SELECT vec_id, part, e[part * (len(e) // {parts}) + 1 : (part + 1) * (len(e) // {parts})] AS x FROM k CROSS JOIN (SELECT unnest(range({parts})) AS part))",
+        f"c0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS i, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM k ORDER BY vec_id LIMIT {entries}))",
+    ]
+    distance = "list_inner_product(x, x) - 2 * list_inner_product(x, c) + list_inner_product(c, c)"
+    for r in range(vector_codes.ROUNDS + 1):
+        steps.append(f"a{r} AS MATERIALIZED (SELECT vec_id, part, any_value(x) AS x, min({{'d': {distance}, 'i': i}}) AS near FROM p JOIN c{r} USING (part) GROUP BY 1, 2)")
+        if r < vector_codes.ROUNDS:
+            means = f"SELECT part, i, list(floor(s / n) ORDER BY pos) AS c FROM (SELECT part, near.i AS i, pos, sum(v) AS s, count(*) AS n FROM (SELECT part, near, unnest(x) AS v, unnest(range(len(x))) AS pos FROM a{r}) GROUP BY 1, 2, 3) GROUP BY 1, 2"
+            steps.append(f"c{r + 1} AS MATERIALIZED (SELECT c{r}.part, c{r}.i, coalesce(m.c, c{r}.c) AS c FROM c{r} LEFT JOIN ({means}) m ON m.part = c{r}.part AND m.i = c{r}.i)")
+    last = vector_codes.ROUNDS
+    steps.append(f"f AS (SELECT vec_id, string_agg(printf('%02x', near.i), '' ORDER BY part) AS code, sum(near.d)::BIGINT AS error FROM a{last} GROUP BY 1)")
+    steps.append("l AS (SELECT label, sum(error)::BIGINT AS label_error FROM f JOIN k USING (vec_id) GROUP BY 1)")
+    steps.append(f"h AS (SELECT sha256(string_agg(v::BIGINT::VARCHAR, ',' ORDER BY part, i, pos)) AS codebooks_sha256 FROM (SELECT part, i, unnest(c) AS v, unnest(range(len(c))) AS pos FROM c{last}))")
+    return f"WITH {', '.join(steps)} SELECT f.vec_id, code, error, label_error, codebooks_sha256 FROM f JOIN k USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM k.label CROSS JOIN h"
+
+
 _BARE = "regexp_replace(line, '^[ \\t-\\r]+|[ \\t-\\r]+$', '', 'g')"
 
 ORACLES: dict[str, str] = {
@@ -116,4 +153,7 @@ ORACLES: dict[str, str] = {
         r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY size, substr(md5(doc_id::VARCHAR), 1, {mixing.SLICE_DIGITS}), doc_id)::DOUBLE AS rank FROM d)
         SELECT doc_id, size, source_size, target, (size * (floor(rank * (target / source_size) + "offset") - floor((rank - 1) * (target / source_size) + "offset")))::BIGINT AS taken
         FROM r JOIN t ON t.source IS NOT DISTINCT FROM r.source""",
+    "op11_vector_codes": _codes_sql(),
+    "op13_exact_topk": f"""WITH {_whole_vectors_sql(topk.SCALE)}, s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM k q JOIN k c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id)
+        SELECT query_id, rank::INT AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5""",
 }
