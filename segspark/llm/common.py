@@ -14,18 +14,19 @@ __all__ = ["components", "discard", "join_hot", "least_of", "roots", "scratch",
 HOT = 4096
 
 
-def join_hot(rows: DataFrame, found: DataFrame, key: str, by: str, limit: int | None = None) -> DataFrame:
-    """rows joined with found(key, n, ...), which has one row for each key and the number n of its rows.
+def join_hot(rows: DataFrame, found: DataFrame, key: str, by: str | list[str], limit: int | None = None, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with found(key, n, ...), which has one row for each key and the number n of its rows.
 
     Keys of more than limit rows are split: their rows by the hash of by, their one row of found repeated for each part. The list of these
     keys has at most one entry for limit rows and is joined as its size on disk suggests.
     """
+    by = [by] if isinstance(by, str) else by
     limit = HOT if limit is None else limit
     parts = F.ceil(F.col("n") / limit).cast("int")
     hot = stash(found.where(F.col("n") > limit).select(key, parts.alias("_parts")), "hot")
-    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
+    left = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(*by), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")).drop("_parts")
     right = found.withColumn("_part", F.explode(F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)))
-    return left.join(right, [key, "_part"]).drop("_part")
+    return left.join(right, [key, "_part"], how).drop("_part")
 
 
 def least_of(rows: DataFrame, key: str, value: str, by: str, out: str, limit: int | None = None) -> DataFrame:
@@ -68,7 +69,8 @@ def components(edges: DataFrame) -> DataFrame:
     component is the smallest node reachable. Alternates large-star and small-star
     steps; each round is two aggregations and two joins over the edges and is written to the
     shared folder, and the number of rounds grows with the logarithm of the
-    longest chain. Nothing but a row count and a checksum reaches the driver. The edges of a hub are split. Self-loops and null ends are ignored; an empty input gives an empty result.
+    longest chain. Nothing but a row count and a checksum reaches the driver. A hub's edges to larger nodes are split; those to smaller ones, of which
+    a node keeps one for each edge that it came with, are not. Self-loops and null ends are ignored; an empty input gives an empty result.
     """
     current = stash(
         edges.where(F.col("u") != F.col("v"))

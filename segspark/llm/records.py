@@ -27,6 +27,8 @@ _HEAD, _TAIL = "<QI", "<I"
 _AROUND = struct.calcsize(_HEAD) + struct.calcsize(_TAIL)
 #: Payload: flags (1: doc_id known, 2: ids of 4 bytes instead of 2), doc_id, ids.
 _PAYLOAD = "<Bq"
+#: Text, in bytes, that one file may hold, unless spark.sql.shuffle.partitions asks for more files.
+PART_BYTES = 1 << 28
 #: Words whose ids a worker remembers.
 WORD_CACHE = 300_000
 
@@ -139,10 +141,13 @@ def word_tokenizer(path: str) -> WordTokenizer:
 def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenize every whole text and write its ids, end_id appended, to record files in ascending doc_id order (nulls first).
 
-    Returns the offset index, one row per record: path, part, position, doc_id, offset, bytes, n_tokens. Texts are dealt by ranges of doc_id
-    and sorted in each; a range is tokenized and written by one task, so the ids themselves are never shuffled.
+    Returns the offset index, one row per record: path, part, position, doc_id, offset, bytes, n_tokens. Texts are dealt by ranges of doc_id and a hash of the text
+    and sorted in each; a range is tokenized and written by one task, so the ids themselves are never shuffled. The number of ranges grows with the texts, and
+    rows that share an id (or have none) are dealt over several where they are many; only rows that repeat id and text stay together.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // PART_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = word_tokenizer(tokenizer_file)
@@ -170,8 +175,8 @@ def write_records(docs: DataFrame, folder: str, tokenizer_file: str, end_id: int
             columns = [pa.array(c, pa.int64()) for c in zip(*some, strict=True)]
             yield pa.record_batch([pa.array([path] * len(some)), pa.array([part] * len(some), pa.int64()), *columns], names=["path", "part", "position", "doc_id", "offset", "bytes", "n_tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    dealt = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("_hash", F.xxhash64("text"))
+    dealt = rows.repartitionByRange(parts, "doc_id", "_hash").sortWithinPartitions("doc_id", "_hash", "text").select("doc_id", "text")
     schema = "path string, part long, position long, doc_id long, offset long, bytes long, n_tokens long"
     return stash(dealt.mapInArrow(run, schema), "offsets")
 
@@ -208,13 +213,19 @@ def fetch_records(index: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             docs, out = [], []
+            opened = source = None
             for path, offset in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                fs, at = pyarrow.fs.FileSystem.from_uri(path)
-                with fs.open_input_file(at) as source:
-                    source.seek(offset)
-                    doc, ids = unpack_ids(unframe(source))
+                if path != opened:
+                    if source is not None:
+                        source.close()
+                    fs, at = pyarrow.fs.FileSystem.from_uri(path)
+                    opened, source = path, fs.open_input_file(at)
+                source.seek(offset)
+                doc, ids = unpack_ids(unframe(source))
                 docs.append(doc)
                 out.append(ids.tolist())
+            if source is not None:
+                source.close()
             yield pa.record_batch([pa.array(docs, pa.int64()), pa.array(out, pa.list_(pa.int64()))], names=["doc_id", "ids"])
 
     return index.select("path", "offset").mapInArrow(run, "doc_id long, ids array<long>")
@@ -224,8 +235,8 @@ def token_records(docs: DataFrame, tokenizer_file: str, end_id: int, folder: str
     """Write the corpus as record files and read them back: doc_id, start, n_tokens, ids_crc32 per document.
 
     start counts the ids of all documents before it: a running sum within its file plus the sum of the files before. Null and
-    empty texts hold the end id only. Null doc_ids come first; rows of equal doc_id stand in order of their text. Other columns
-    are ignored. An empty table writes no file and gives none.
+    empty texts hold the end id only. Null doc_ids come first; rows of equal doc_id stand in order of the text's (signed) XXH64
+    of seed 42, then of the text. Texts of any length are encoded whole. Rows that repeat count separately. Other columns are ignored. An empty table writes no file and gives none.
     """
     index = write_records(docs, folder or scratch(docs.sparkSession, "ids"), tokenizer_file, end_id, id_col, text_col)
     files = index.groupBy("path", "part").agg(F.sum("n_tokens").alias("n"))

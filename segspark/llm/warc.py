@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, stash
+from .common import join_hot, scratch, stash
 
 # Fixed values of the format: the skippable frame's magic number and the record's date if none is known.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -133,14 +133,14 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     """(page_id, url, html, digest, refers_to, refers_url): refers_to is the smallest page_id of equal payloads of at least REVISIT_BYTES bytes, where that isn't the page itself.
 
     Only payloads that occur more than once are joined back; where those are few Spark broadcasts them by their size on
-    disk and the pages themselves are not shuffled.
+    disk and the pages themselves are not shuffled. Beyond that the pages of a frequent payload are split over tasks.
     """
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     same = rows.where(F.octet_length("html") >= REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.min_by("url", "page_id").alias("first_url"), F.count("*").alias("n"))
-    same = stash(same.where("n > 1").select("digest", "first", "first_url"), "revisits")
+    same = stash(same.where("n > 1"), "revisits")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
-    return rows.join(same, "digest", "left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), F.col("first_url").alias("refers_url"))
+    return join_hot(rows, same, "digest", ["page_id", "url"], how="left").select("page_id", "url", "html", "digest", refers.alias("refers_to"), F.col("first_url").alias("refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:

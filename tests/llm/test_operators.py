@@ -257,6 +257,17 @@ def test_warc(spark, tmp_path):
     assert int.from_bytes(archive[:4], "little") == warc.DICTIONARY_MAGIC
 
 
+def test_a_hot_payload_is_joined_in_parts(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "HOT", 20)
+    big = "<p>" + "the page that a third share " * 10
+    data = [(i if i % 5 else None, f"http://x/{i}", big if i % 3 == 0 else f"<html>page {i} {'x' * 200}</html>") for i in range(300)]
+    first = min(p for p, _, h in data if h == big and p is not None)
+    want = [(p, "revisit" if h == big and p != first else "response", first if h == big and p != first else None) for p, _, h in data]
+    pages = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    got = warc.archive_pages(pages, f"file://{tmp_path}/warc").select("page_id", "record_type", "refers_to").collect()
+    assert _sorted(got) == _sorted(want)
+
+
 def test_archives_and_records_in_a_folder_without_scheme(spark, tmp_path, monkeypatch):
     """Spark and the writers outside of it must mean the same folder."""
     monkeypatch.setattr(session, "shared_dir", lambda spark: session.qualified(spark, f"{tmp_path}/shared/"))
@@ -526,6 +537,41 @@ def test_line_dedup(docs, rows, none):
     assert line_dedup.remove_boilerplate(none).count() == 0
 
 
+def _cleaned(rows, least=10):
+    """Brute force, linear in lines."""
+    bare, sites = {}, defaultdict(set)
+    for _, text, site in rows:
+        for line in text.split("\n"):
+            bare[line] = line.strip(" \t\n\v\f\r")
+            sites[bare[line]].add(site)
+    out = []
+    for i, text, _ in rows:
+        kept = [x for x in text.split("\n") if not bare[x] or len(sites[bare[x]]) < least]
+        out.append((i, text.count("\n") + 1, text.count("\n") + 1 - len(kept), "\n".join(kept)))
+    return out
+
+
+def test_line_dedup_of_texts_with_many_lines(spark):
+    """12 texts of 20,000 lines, nearly all boilerplate: near linear in lines."""
+    lines = [f"boilerplate line {i}" for i in range(20_000)]
+    rows = [(i, "\n".join([f"own {i}", "", *lines[: 20_000 - i], "  ", f"end {i}"]), f"site{i}") for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    start = time.perf_counter()
+    got = line_dedup.remove_boilerplate(docs).collect()
+    assert time.perf_counter() - start < 30
+    assert _sorted(got) == _sorted(_cleaned(rows))
+
+
+def test_hot_lines_are_joined_in_parts(spark, monkeypatch):
+    """Lines that many documents hold, at and around the threshold of sites."""
+    monkeypatch.setattr(common, "HOT", 7)
+    rng = random.Random(12)
+    rows = [(i if i % 3 else None, "\n".join([f"line of {j % 14} sites" for j in range(14) if i % 14 <= j] + [f"own {i}", "everywhere", "everywhere"]), f"site{i % 14}") for i in range(150)]
+    rng.shuffle(rows)
+    got = line_dedup.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5))
+    assert _sorted(got.collect()) == _sorted(_cleaned(rows))
+
+
 # -- 9 ------------------------------------------------------------------------------------------------
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -549,7 +595,8 @@ def test_word_tokenizer_equals_the_library(spark):
 
 def test_token_records(spark, docs, rows, none, tmp_path):
     plain = _tokenizer()
-    tagged = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
+    place = lambda text: int(np.uint64(xxhash.xxh64_intdigest(text, seed=42)).view(np.int64))
+    tagged = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, place((r[1] or "").encode()), (r[1] or "").encode()))
     want, start = [], 0
     for r in tagged:
         ids = plain.encode(r[1] or "", add_special_tokens=False).ids + [2]
@@ -560,6 +607,23 @@ def test_token_records(spark, docs, rows, none, tmp_path):
     assert records.token_records(none, WORDS, 2).count() == 0
 
 
+@pytest.mark.parametrize("hot", [None, 5])
+def test_rows_of_one_id_are_dealt_over_files(spark, hot, monkeypatch, tmp_path):
+    """A third of all rows share an id or have none, and files are bounded by bytes: no file holds much more than its share."""
+    monkeypatch.setattr(records, "PART_BYTES", 1500)
+    rng = random.Random(8)
+    rows = [(hot if i % 3 == 0 else i, _text(rng, 12)) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sizes = [r.n for r in records.write_records(docs, f"file://{tmp_path}/ids", WORDS, 2).groupBy("path").agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) >= 12 and max(sizes) <= 3 * 600 / len(sizes)
+    got, plain = records.token_records(docs, WORDS, 2).collect(), _tokenizer()
+    total = sum(len(plain.encode(t, add_special_tokens=False).ids) + 1 for _, t in rows)
+    starts = sorted((r.start, r.n_tokens) for r in got)
+    assert starts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(starts, starts[1:])) and sum(starts[-1]) == total
+    ids = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+
+
 def test_records_by_offset_and_damage(spark, docs, rows, tmp_path):
     index = records.write_records(docs, f"file://{tmp_path}/ids", WORDS, 2)
     plain = _tokenizer()

@@ -52,7 +52,7 @@ def rows():
 def test_verified_links_equal_brute_force(spark, rows, block):
     """All rows as one candidate group: the links among them are exactly those of their sets."""
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("text", F.col("text").cast("binary"))
-    values = shingles.sketches(docs, 1).where("fingerprint is not null").groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    values = shingles.distinct_sets(shingles.sketches(docs, 1).where("fingerprint is not null"))
     nodes = sorted(values.collect())
     edges = spark.createDataFrame([(a.node, b.node) for a, b in zip(nodes, nodes[1:])], "u long, v long")
     first = {r.node: r.first_id for r in nodes}
@@ -98,6 +98,40 @@ def test_repeated_rows_ids_and_clashing_names(spark):
     assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.n, r._goes) for r in kept.collect()) == sorted([(i, "n", "_goes") for i in (0, 0, 1, 1, 1, 3)])
 
 
+@pytest.mark.parametrize(("first", "other"), [(None, None), (7, 7), (None, 7)])
+def test_rows_that_share_an_id_are_shingled_once(spark, first, other):
+    """1,200 near copies without an id, or all of one id: every candidate text is read again once, and all come together."""
+    rng = random.Random(4)
+    base = _text(rng, 120).split()
+    rows = [(first if i % 2 else other, _edited(rng, base, 1)) for i in range(1200)] + [(9, "some other text of its own")]
+    docs = common.stash(spark.createDataFrame(rows, "doc_id long, text string").repartition(4).withColumn("text", F.col("text").cast("binary")))
+    values = common.stash(shingles.distinct_sets(shingles.sketches(docs, 1)))
+    members = values.where("size > 10").selectExpr("content", "_id", "n", "node", "0L component", "1 blocks", "0 block")
+    sets = shingles._sets(docs, members, 5)
+    joined = sets._jdf.queryExecution().analyzed().toString()
+    assert "content" in joined and sets.count() == 1200 == members.count()
+    assert shingles._sets(docs, members, 5).select("node").distinct().count() == 1200
+    found = shingles.near_copies(docs)
+    smallest = min((i for i in (first, other) if i is not None), default=None)
+    assert sorted(((r.doc_id, r.component_id) for r in found.collect()), key=repr) == sorted([(r[0], smallest) for r in rows[:1200]] + [(9, 9)], key=repr)
+
+
+def test_texts_read_again_are_as_many_as_candidates(spark):
+    """Counted where texts are shingled: rows that share an id do not multiply."""
+    rows = [(None, f"text number {i} without an id") for i in range(1200)] + [(1, f"text number {i} of one id") for i in range(1200)]
+    docs = common.stash(spark.createDataFrame(rows, "doc_id long, text string").withColumn("text", F.col("text").cast("binary")))
+    values = common.stash(shingles.distinct_sets(shingles.sketches(docs, 1)))
+    members = values.selectExpr("content", "_id", "n", "node", "0L component", "1 blocks", "0 block")
+    read = docs.select("doc_id", F.xxhash64("text").alias("content"), F.monotonically_increasing_id().alias("_row"))
+    assert common.join_hot(read, members, "content", "_row").count() == 2400
+
+
+@pytest.mark.parametrize("block", [7, 512])
+def test_blocks_bounded_by_shingles_find_the_same(spark, rows, block, monkeypatch):
+    monkeypatch.setattr(shingles, "CELLS", 900)
+    test_verified_links_equal_brute_force.__wrapped__(spark, rows, block) if hasattr(test_verified_links_equal_brute_force, "__wrapped__") else test_verified_links_equal_brute_force(spark, rows, block)
+
+
 def test_rows_without_an_id_stay(spark):
     docs = spark.createDataFrame([(5, "a b c d e f"), (None, "A b c d e f"), (None, "other"), (7, "a b c d  e f")], "doc_id long, text string")
     assert sorted((r.doc_id or 0) for r in shingles.drop_near_copies(docs).collect()) == [0, 0, 5]
