@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -19,6 +20,21 @@ def reduction(name: str) -> Callable[..., Column]:
     return found
 
 
+def uniform(seed: int, *keys: Column) -> Column:
+    """A number from 0 to below 1 that seed and keys alone decide: reruns, other partitionings and other engines agree.
+
+    The first 13 hex digits of the MD5 of seed and keys joined by ':', in units of 2 ** -52.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *(k.cast("string") for k in keys)))
+    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
+def normal(seed: int, *keys: Column) -> Column:
+    """A standard normal number, likewise: the Box-Muller transform of two uniform ones."""
+    one, two = uniform(seed, F.lit("r"), *keys), uniform(seed, F.lit("t"), *keys)
+    return F.sqrt(-2 * F.log(1 - one)) * F.cos(two * (2 * math.pi))
+
+
 def nearest_power_of_two(x: Column) -> Column:
     """2 to the rounded base-2 logarithm (half to even)."""
     return F.pow(F.lit(2.0), F.rint(F.log2(x)))

@@ -7,7 +7,8 @@ from functools import reduce as fold
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sparse import number_rows, running_sum
+from ..functions.scalars import normal, uniform
+from .sparse import lookup_rows, number_rows, running_sum
 
 LADDER = 12
 
@@ -15,22 +16,24 @@ LADDER = 12
 def synthetic_index(spark: SparkSession, keys: int, least: int, most: int, total: int, cv: float, seed: int = 0) -> DataFrame:
     """Sorted items(pos, idx) of total rows: segment lengths are normal around total / keys with the coefficient of variation cv, clamped.
 
-    Lengths are drawn per key, summed up in blocks, cut at total; the last key takes what remains.
+    Lengths are drawn per key (see scalars.normal(), so reruns agree), summed up in blocks, cut at total; the last key takes what remains. Positions look their key up.
     """
     mean = total / keys
-    drawn = F.round(F.randn(seed) * (cv * mean) + mean).cast("long")
+    drawn = F.round(normal(seed, F.col("id")) * (cv * mean) + mean).cast("long")
     lengths = spark.range(keys).select(F.col("id").alias("idx"), F.least(F.greatest(drawn, F.lit(least)), F.lit(most)).cast("long").alias("n"))
     ends = running_sum(lengths, F.col("n"), "end", ["idx"])
     begin, end = F.col("end") - F.col("n"), F.when(F.col("idx") == keys - 1, F.lit(total)).otherwise(F.least("end", F.lit(total)))
-    filled = ends.select("idx", begin.alias("begin"), end.cast("long").alias("stop")).where("stop > begin")
-    return filled.select(F.explode(F.sequence("begin", F.col("stop") - 1)).alias("pos"), "idx")
+    rows = ends.select(F.col("idx").alias("row"), begin.alias("ptr_begin"), end.cast("long").alias("ptr_end"))
+    return lookup_rows(rows, spark.range(total).withColumnRenamed("id", "pos")).select("pos", F.col("row").alias("idx"))
 
 
-def random_graph(spark: SparkSession, nodes: int, edges: int, dim: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
-    """nodes(id, x) and edges(eid, src, dst, w), uniform."""
-    pick = lambda s: F.floor(F.rand(s) * nodes)
-    table = spark.range(edges).select(F.col("id").alias("eid"), pick(seed).alias("src"), pick(seed + 1).alias("dst"), F.rand(seed + 2).alias("w"))
-    return spark.range(nodes).select("id", F.array(*[F.rand(seed + 3 + k) for k in range(dim)]).alias("x")), table
+def random_graph(ids: DataFrame, edges: int, dim: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """nodes(id, x) of ids(id), which are 0 .. n - 1, and edges(src, k, dst, w): so many out of every node to uniform others, with uniform weights and vectors. Reruns agree."""
+    n = ids.count()
+    out = ids.select(F.col("id").alias("src"), F.explode(F.sequence(F.lit(0), F.lit(edges - 1))).alias("k"))
+    drawn = lambda what, *keys: uniform(seed, F.lit(what), *keys)
+    table = out.select("src", "k", F.floor(drawn("dst", F.col("src"), F.col("k")) * n).alias("dst"), drawn("w", F.col("src"), F.col("k")).alias("w"))
+    return ids.select("id", F.array(*[drawn("x", F.col("id"), F.lit(k)) for k in range(dim)]).alias("x")), table
 
 
 def renumber(items: DataFrame) -> DataFrame:
@@ -39,10 +42,10 @@ def renumber(items: DataFrame) -> DataFrame:
 
 
 def noise_augment(items: DataFrame, variant: int = 0, seed: int = 0) -> DataFrame:
-    """items(pos, idx) with noise below (rows - largest idx) / largest idx, sorted again; every variant has a seed of its own."""
+    """items(pos, idx) with noise below (rows - largest idx) / largest idx, sorted again; every variant has a seed of its own. Noise is drawn by seed and position, so reruns agree."""
     size, largest = items.agg(F.count("*"), F.max("idx")).first()
     span = int(max((size - (largest or 1)) / max(largest or 1, 1), 1))
-    noisy = items.select("pos", (F.col("idx") + F.floor(F.rand(seed + variant) * span)).cast("long").alias("idx"))
+    noisy = items.select("pos", (F.col("idx") + F.floor(uniform(seed + variant, F.col("pos")) * span)).cast("long").alias("idx"))
     return renumber(noisy)
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stash
 from .sddmm import sddmm
 from .segment import gather
 from .sparse import csr_to_coo, transpose
@@ -33,5 +34,5 @@ def segment_sum_grad(items: DataFrame, grad: DataFrame) -> DataFrame:
 
 def csr_product_grad(rows: DataFrame, entries: DataFrame, grad: DataFrame, nodes: DataFrame, dim: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The gradients of csr_product(): (id, x) of the nodes, and (pos, value) of the entries."""
-    edges = csr_to_coo(rows, entries).select("pos", F.col("col").alias("src"), F.col("row").alias("dst"), "w")
+    edges = stash(csr_to_coo(rows, entries).select("pos", F.col("col").alias("src"), F.col("row").alias("dst"), "w"), "edges")
     return gather_weight_scatter_grad(edges, grad, nodes, dim), weight_grad(edges, grad, nodes).select("pos", "value")

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..functions.vectors import add, axpy, l2_normalize, let, relu, scale
 from ..session import stash
 from .graph import add_remaining_self_loops, gcn_norm
-from .spmm import gather_scatter, gather_weight_scatter
+from .segment import join_split
+from .spmm import gather_scatter, gather_weight_scatter, mh_spmm
 
 _VECTORS = "array<double>"
 #: Steps of a repeated propagation between two tables that cut its lineage.
@@ -85,7 +86,7 @@ class GCN:
         if self.normalize:
             normal = self._edges if self._edges is not None else gcn_norm(edges, nodes, self.improved, self.self_loops)
             if self.cached and self._edges is None:
-                self._edges = normal = normal.persist()
+                self._edges = normal = stash(normal, "normal")
             edges = normal
         ids = nodes.select("id")
         if self.weight.shape[0] <= self.weight.shape[1]:  # both steps are linear: aggregate on the narrower side
@@ -206,7 +207,8 @@ def gat(nodes: DataFrame, edges: DataFrame, attend_src: np.ndarray, attend_dst:
     """(id, x): attention over incoming edges and a self loop, per head; x[h] are the node's features of head h.
 
     attend_src and attend_dst are (heads, dim): an edge scores leaky(<attend_src, x[src]> + <attend_dst, x[dst]>), scores are
-    softmaxed per destination and head, shifted by their largest.
+    softmaxed per destination and head, shifted by their largest. Scores alone are moved by destination; vectors meet the finished coefficients by source, and products are
+    summed up in each task before they move.
     """
     heads, dim = attend_src.shape
     looped = add_remaining_self_loops(edges.select("src", "dst").distinct().withColumn("w", F.lit(1.0)), nodes).select("src", "dst")
@@ -214,11 +216,22 @@ def gat(nodes: DataFrame, edges: DataFrame, attend_src: np.ndarray, attend_dst:
     def score(weights: np.ndarray) -> Column:
         return F.array(*[sum((F.col("x")[h][k] * float(weights[h][k]) for k in range(1, dim)), F.col("x")[h][0] * float(weights[h][0])) for h in range(heads)])
 
-    a = nodes.select(F.col("id").alias("src"), score(attend_src).alias("_a"), "x")
+    a = nodes.select(F.col("id").alias("src"), score(attend_src).alias("_a"))
     b = nodes.select(F.col("id").alias("dst"), score(attend_dst).alias("_b"))
     leaky = F.transform(F.zip_with("_a", "_b", lambda s, t: s + t), lambda v: F.when(v > 0, v).otherwise(v * slope))
-    scored = looped.join(a, "src").join(b, "dst").select("dst", leaky.alias("s"), "x")
-    top = scored.groupBy("dst").agg(F.array(*[F.max(F.col("s")[h]) for h in range(heads)]).alias("top"))
-    e = scored.join(top, "dst").withColumn("e", F.zip_with("s", "top", lambda v, m: F.exp(v - m)))
-    cells = F.array(*[F.array(*[F.sum(F.col("e")[h] * F.col("x")[h][k]) / F.sum(F.col("e")[h]) for k in range(dim)]) for h in range(heads)])
-    return e.groupBy(F.col("dst").alias("id")).agg(cells.alias("x"))
+    scored = join_split(join_split(looped, stash(a, "scores"), "src"), stash(b, "scores"), "dst")
+    scored = stash(scored.select("src", "dst", leaky.alias("s")), "scored")
+    weighed = softmax_parts(scored, heads)
+    # a component of ones sums up the coefficients beside the products, in the same aggregate
+    ones = nodes.select("id", F.transform("x", lambda v: F.concat(v, F.array(F.lit(1.0)))).alias("x"))
+    sums = mh_spmm(weighed, ones, heads, dim + 1, num_nodes=scored.select(F.col("dst").alias("id")).distinct())
+    return sums.select("id", F.transform("x", lambda v: F.transform(F.slice(v, 1, dim), lambda c: c / F.element_at(v, -1))).alias("x"))
+
+
+def softmax_parts(scored: DataFrame, heads: int) -> DataFrame:
+    """scored(src, dst, s) with w = exp(s - the largest s of the destination) per head: what a softmax over the edges into a destination divides by its sum.
+
+    The largest scores are aggregated within each task first and joined back by destination, where a hub's edges are split; only scores travel.
+    """
+    top = stash(scored.groupBy("dst").agg(F.array(*[F.max(F.col("s")[h]) for h in range(heads)]).alias("top")), "top")
+    return join_split(scored, top, "dst").select("src", "dst", F.zip_with("s", "top", lambda v, m: F.exp(v - m)).alias("w"))

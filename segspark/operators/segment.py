@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.vectors import to_long, to_vectors, zeros
 from ..functions.scalars import reduction
 from ..plans.layout import dim_of, reduce_vectors
-from ..session import stash
+from ..session import stash, will_broadcast
 
 
 def ids_below(rows: DataFrame, key: str, size: int | DataFrame | None) -> DataFrame:
@@ -53,9 +53,39 @@ def scatter_columns(vectors: DataFrame, index: DataFrame, reduce: str = "sum") -
     return to_vectors(reduced, ["id"], "v")
 
 
+#: One row in so many is looked at for keys that many rows share; a key with more than one part in SHARE * spark.sql.shuffle.partitions of these is split.
+SAMPLE, SHARE = 16, 4
+
+
+def hubs(rows: DataFrame, key: str) -> DataFrame:
+    """(key, _parts): the keys that hold so large a share of rows that one task would be slowed by them, and into how many parts they go.
+
+    Shares come from a sample of the key column, which decides nothing but how rows are dealt. There are fewer than SHARE * spark.sql.shuffle.partitions such keys, however large the table.
+    """
+    most = SHARE * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = stash(rows.select(key).sample(1 / SAMPLE, seed=1).groupBy(key).agg(F.count("*").alias("_n")), "shares")
+    total = counts.agg(F.sum("_n")).first()[0] or 0
+    return counts.where(F.col("_n") * most > total).select(key, F.ceil(F.col("_n") * most / F.lit(max(total, 1))).cast("int").alias("_parts"))
+
+
+def join_split(rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+    """rows joined with table, which has one row for each key; a key that a large share of rows has is split.
+
+    Where Spark broadcasts the table no row moves and nothing is split. Otherwise the rows of a hub are dealt over several parts by a hash of all
+    their columns, and the hub's one row of table is repeated for each part.
+    """
+    if will_broadcast(table):
+        return rows.join(table, key)
+    found = stash(hubs(rows, key), "hubs")
+    part = F.pmod(F.xxhash64(*rows.columns), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")
+    left = rows.join(F.broadcast(found), key, "left").withColumn("_part", part).drop("_parts")  # fewer keys than hubs() says
+    right = table.join(F.broadcast(found), key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def gather(index: DataFrame, nodes: DataFrame, key: str = "idx") -> DataFrame:
-    """The vector of nodes(id, x) for every row of index; rows without a node go."""
-    return index.join(nodes.select(F.col("id").alias(key), "x"), key)
+    """The vector of nodes(id, x) for every row of index; rows without a node go. Rows of a hub are split."""
+    return join_split(index, nodes.select(F.col("id").alias(key), "x"), key)
 
 
 def run_lengths(items: DataFrame) -> DataFrame:
@@ -78,12 +108,36 @@ def segment_boundaries(items: DataFrame, block: int = 1 << 16) -> DataFrame:
 
 
 def deal(rows: DataFrame, order: list[str], block: int = 1 << 16) -> DataFrame:
-    """rows with _block, numbered in the given order: ranges of the whole order of about block rows each, whatever the keys' shares.
+    """rows in the given order with _at, which grows in this order, and _block: at most block consecutive rows have one, whatever the keys' shares.
+
+    Rows are dealt by ranges of the whole order to as many partitions as the cluster has set for shuffles, sorted there, and numbered as they stream: the upper bits of _at are the
+    partition, the others the place in it. Written once, because ranges come from a sample and must not be drawn anew for the second phase.
+    """
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    return stash(placed.withColumn("_block", F.expr(f"_at div {block}")), "dealt")
+
+
+#: Bits of _at below the partition.
+_PLACE = 33
+
+
+def plus(a: Column, b: Column) -> Column:
+    """a + b, where a null counts for nothing; null if both are."""
+    return F.coalesce(a + b, a, b)
+
+
+def bases_of(blocked: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """(keys, _block, _base): what the blocks before a block sum to, for each value of keys.
 
-    Written once, because ranges come from a sample and must not be drawn anew for the second phase.
+    Two levels: blocks are summed up within a partition of deal(), partitions across; no window spans more than one partition's blocks or all partitions.
     """
-    parts = max(1, -(-rows.count() // block))
-    return stash(rows.repartitionByRange(parts, *order).withColumn("_block", F.spark_partition_id().cast("long")), "dealt")
+    sums = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_sum"), F.shiftright(F.min("_at"), _PLACE).alias("_block_range"))
+    before = lambda by, order: Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = sums.groupBy(*keys, "_block_range").agg(F.sum("_sum").alias("_total")).withColumn("_before", F.sum("_total").over(before(keys, "_block_range")))
+    ranges = ranges.select("_before", *(F.col(c).alias(f"_r{c}") for c in (*keys, "_block_range")))
+    inner = sums.withColumn("_within", F.sum("_sum").over(before([*keys, "_block_range"], "_block")))
+    same = [F.col(c).eqNullSafe(F.col(f"_r{c}")) for c in (*keys, "_block_range")]
+    return inner.join(ranges, same).select(*keys, "_block", plus(F.col("_before"), F.col("_within")).alias("_base"))
 
 
 def segmented_scan(items: DataFrame, value: str = "v", block: int = 1 << 16) -> DataFrame:
@@ -92,11 +146,8 @@ def segmented_scan(items: DataFrame, value: str = "v", block: int = 1 << 16) ->
     Blocks of rows run on their own; what a segment holds in the blocks before is added from one row per block and segment.
     """
     blocked = deal(items, ["idx", "pos"], block)
-    before = Window.partitionBy("idx").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = blocked.groupBy("_block", "idx").agg(F.sum(value).alias("_sum"))
-    bases = sums.select(F.col("_block").alias("_at"), F.col("idx").alias("_idx"), F.sum("_sum").over(before).alias("_base"))
-    within = Window.partitionBy("_block", "idx").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    bases = bases_of(blocked, value, ["idx"]).select(F.col("_block").alias("_of"), F.col("idx").alias("_idx"), "_base")
+    within = Window.partitionBy("_block", "idx").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     local = blocked.withColumn("_local", F.sum(value).over(within))
-    rows = local.join(bases, (F.col("_block") == F.col("_at")) & F.col("idx").eqNullSafe(F.col("_idx")))
-    running = F.when(F.col("_base").isNull(), F.col("_local")).when(F.col("_local").isNull(), F.col("_base")).otherwise(F.col("_base") + F.col("_local"))
-    return rows.select(*items.columns, running.alias("running"))
+    rows = local.join(bases, (F.col("_block") == F.col("_of")) & F.col("idx").eqNullSafe(F.col("_idx")))
+    return rows.select(*items.columns, plus(F.col("_base"), F.col("_local")).alias("running"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .segment import deal, ids_below
+from ..session import stash
+from .segment import _PLACE, bases_of, deal, ids_below
 
 #: Running sums are taken in blocks of about so many consecutive rows.
 BLOCK = 1 << 16
@@ -15,19 +16,22 @@ def running_sum(rows: DataFrame, value, out: str, order: list[str], inclusive: b
     """rows with the sum of value over all rows up to (with inclusive) each in the given order.
 
     The sum is a total one over order; rows equal in all of it stand together. Two phases: rows are dealt by ranges of the whole order,
-    the sums of these blocks are added up first (one row a block), then each block runs on its own. No window spans the table or a key.
+    the sums of blocks are added up first (one row a block), then each block runs on its own. No window spans the table or a key.
     """
     blocked = deal(rows.withColumn("_value", value), order, block)
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    bases = blocked.groupBy("_block").agg(F.sum("_value").alias("_sum")).select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    within = Window.partitionBy("_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    within = Window.partitionBy("_block").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     local = F.sum("_value").over(within) - (F.lit(0) if inclusive else F.col("_value"))
-    return blocked.withColumn("_local", local).join(bases, "_block").withColumn(out, F.col("_base") + F.col("_local")).drop("_block", "_value", "_local", "_base")
+    summed = blocked.withColumn("_local", local).join(bases_of(blocked, "_value", []), "_block").withColumn(out, F.coalesce("_base", F.lit(0)) + F.col("_local"))
+    return summed.drop("_at", "_block", "_value", "_local", "_base")
 
 
 def number_rows(rows: DataFrame, out: str, order: list[str], block: int = BLOCK) -> DataFrame:
-    """rows with their position from 0 in the given order."""
-    return running_sum(rows, F.lit(1).cast("long"), out, order, inclusive=False, block=block)
+    """rows with their position from 0 in the given order: the place that each has in its partition of deal(), and the number of rows in the partitions before. One range sort, no window over rows."""
+    dealt = deal(rows, order, block).drop("_block").withColumn("_block_range", F.shiftright("_at", _PLACE))
+    before = Window.orderBy("_block_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = dealt.groupBy("_block_range").agg(F.count("*").alias("_n"))
+    bases = counts.select("_block_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    return dealt.join(bases, "_block_range").withColumn(out, F.col("_base") + F.col("_at").bitwiseAND((1 << _PLACE) - 1)).drop("_at", "_block_range", "_base")
 
 
 def degree(edges: DataFrame, key: str = "dst", num_nodes: int | DataFrame | None = None) -> DataFrame:
@@ -66,10 +70,31 @@ def csr_entries(edges: DataFrame, row: str = "dst", col: str = "src") -> DataFra
     return number_rows(rows, "pos", ["_row", "col", "w"]).select("pos", "col", "w")
 
 
+def _cut(spans: DataFrame, wide: int) -> DataFrame:
+    """spans(row, _from, _to) cut at the multiples of wide."""
+    first, last = F.expr(f"_from div {wide}"), F.expr(f"(_to - 1) div {wide}")
+    cut = spans.withColumn("_cut", F.explode(F.sequence(first, last)))
+    return cut.select("row", F.greatest("_from", F.col("_cut") * wide).alias("_from"), F.least("_to", (F.col("_cut") + 1) * wide).alias("_to"))
+
+
+def lookup_rows(rows: DataFrame, positions: DataFrame, wide: int = BLOCK) -> DataFrame:
+    """positions(pos, ...) with row: the one of compressed rows(row, ptr_begin, ptr_end) whose pointers enclose pos. Positions outside of all rows go.
+
+    An interval join by ranges of positions: rows are cut at the borders of ranges of wide positions (long rows first at coarser ones, so that no array of cuts is long), and within a range each position
+    takes the last row that begins before it. A range holds at most wide rows and the positions asked for in it; neither a long row nor its positions are ever in one place.
+    """
+    spans = rows.where("ptr_end > ptr_begin").select("row", F.col("ptr_begin").alias("_from"), F.col("ptr_end").alias("_to"))
+    marks = _cut(_cut(spans, wide << 16), wide).select(F.col("_from").alias("_at"), F.struct("row", "_to").alias("_mark"))
+    asked = positions.select(F.col("pos").alias("_at"), F.struct(*positions.columns).alias("_asked"))
+    both = asked.unionByName(marks, allowMissingColumns=True).withColumn("_range", F.expr(f"_at div {wide}"))
+    upto = Window.partitionBy("_range").orderBy("_at", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(upto)).where("_asked IS NOT NULL AND _at < _mark._to")
+    return found.select("_asked.*", F.col("_mark.row").alias("row"))
+
+
 def csr_to_coo(rows: DataFrame, entries: DataFrame) -> DataFrame:
-    """(row, col, w, pos): every position between a row's pointers, joined with its entry. Linear; no range join."""
-    filled = rows.where("ptr_end > ptr_begin").select("row", F.explode(F.sequence("ptr_begin", F.col("ptr_end") - 1)).alias("pos"))
-    return filled.join(entries, "pos").select("row", "col", "w", "pos")
+    """(row, col, w, pos): every entry with its row, which lookup_rows() finds."""
+    return lookup_rows(rows, entries.select("pos", "col", "w")).select("row", "col", "w", "pos")
 
 
 def transpose(edges: DataFrame) -> DataFrame:
@@ -80,7 +105,7 @@ def transpose(edges: DataFrame) -> DataFrame:
 
 def csr_to_csc(rows: DataFrame, entries: DataFrame, num_cols: int | DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Column pointers and entries (col holds the row) of a matrix in compressed rows."""
-    swapped = csr_to_coo(rows, entries).select(F.col("col").alias("dst"), F.col("row").alias("src"), "w")
+    swapped = stash(csr_to_coo(rows, entries).select(F.col("col").alias("dst"), F.col("row").alias("src"), "w"), "swapped")
     return coo_to_csr(swapped, num_rows=num_cols), csr_entries(swapped)
 
 

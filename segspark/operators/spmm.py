@@ -7,14 +7,18 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import reduction
 from ..plans.layout import dim_of, reduce_vectors
-from .segment import fill_segments, ids_below
+from .segment import fill_segments, ids_below, join_split
 from .sparse import csr_to_coo, unblock
 
 
+#: Products of heads and components that are aggregates of one plan.
+CELLS = 96
+
+
 def _product(edges: DataFrame, nodes: DataFrame, reduce: str, dim: int | None, num_nodes, fill: bool, weighted: bool) -> DataFrame:
     dim = dim or dim_of(nodes)
     cols = ["src", F.col("dst").alias("id")] + ([F.coalesce("w", F.lit(1.0)).alias("w")] if weighted else [])
-    joined = edges.select(*cols).join(nodes.select(F.col("id").alias("src"), "x"), "src")
+    joined = join_split(edges.select(*cols), nodes.select(F.col("id").alias("src"), "x"), "src")
     out = reduce_vectors(joined, ["id"], "x", reduce, dim, F.col("w") if weighted else None)
     return fill_segments(out, ids_below(edges, "dst", num_nodes), dim) if fill else out
 
@@ -23,7 +27,8 @@ def gather_scatter(edges: DataFrame, nodes: DataFrame, reduce: str = "sum", dim:
     """(id, x): for every destination of edges(src, dst) the reduced vectors of nodes(id, x) at its sources.
 
     Duplicate edges count as often as they occur. Destinations 0 .. num_nodes - 1 (to the largest if not given) all appear with fill; those
-    without edges are zero. Messages are never materialised: join, product and partial aggregation are one stage.
+    without edges are zero. Messages are never materialised: join, product and partial aggregation are one stage. The edges of a hub among the sources are split where
+    vectors are shuffled; one among the destinations costs a row a task.
     """
     return _product(edges, nodes, reduce, dim, num_nodes, fill, False)
 
@@ -40,11 +45,20 @@ def csr_product(rows: DataFrame, entries: DataFrame, nodes: DataFrame, dim: int
 
 
 def mh_spmm(edges: DataFrame, nodes: DataFrame, heads: int, dim: int, reduce: str = "sum", num_nodes: int | DataFrame | None = None) -> DataFrame:
-    """(id, x): x[h] = reduce of w[h] * x[h] over the edges; w is an array per edge, x an array of heads per node."""
-    joined = edges.select("src", F.col("dst").alias("id"), "w").join(nodes.select(F.col("id").alias("src"), "x"), "src")
-    aggregate = reduction(reduce)
-    cells = F.array(*[F.array(*[aggregate(F.col("w")[h] * F.col("x")[h][k]) for k in range(dim)]) for h in range(heads)])
-    out = joined.groupBy("id").agg(cells.cast("array<array<double>>").alias("x"))
+    """(id, x): x[h] = reduce of w[h] * x[h] over the edges; w is an array per edge, x an array of heads per node.
+
+    Up to CELLS products are aggregates of one plan. Wider ones go by heads: a head's vectors are rows of their own, cut into chunks where they are long.
+    """
+    joined = join_split(edges.select("src", F.col("dst").alias("id"), "w"), nodes.select(F.col("id").alias("src"), "x"), "src")
+    if heads * dim <= CELLS:
+        aggregate = reduction(reduce)
+        cells = F.array(*[F.array(*[aggregate(F.col("w")[h] * F.col("x")[h][k]) for k in range(dim)]) for h in range(heads)])
+        out = joined.groupBy("id").agg(cells.cast("array<array<double>>").alias("x"))
+    else:
+        each = F.transform(F.sequence(F.lit(0), F.lit(heads - 1)), lambda h: F.struct(h.alias("h"), F.get("w", h).alias("w"), F.get("x", h).alias("x")))
+        by_head = reduce_vectors(joined.select("id", F.inline(each)), ["id", "h"], "x", reduce, dim, F.col("w"))
+        ordered = F.array_sort(F.collect_list(F.struct("h", "x")))
+        out = by_head.groupBy("id").agg(F.transform(ordered, lambda s: s["x"]).alias("x"))
     empty = F.array_repeat(F.array_repeat(F.lit(0.0), dim), heads)
     return ids_below(edges, "dst", num_nodes).join(out, "id", "left").select("id", F.coalesce("x", empty).alias("x"))
 

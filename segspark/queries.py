@@ -185,6 +185,14 @@ def mh_spmm(spark: SparkSession, d: str) -> DataFrame:
     return _heads(spmm.mh_spmm(fx.head_edges(spark, d), nodes, fx.HEADS, dim_of(nodes, F.col("x")[0])))
 
 
+@query(f"WITH {_X}, {_e()}, W AS (SELECT h, E.src, E.dst, (h + 1) * E.w AS w FROM E CROSS JOIN (SELECT unnest(range({fx.HEADS})) AS h)), P AS (SELECT W.dst AS id, h, X.k, sum(w * (v + h)) AS v FROM W JOIN X ON X.id = W.src GROUP BY 1, 2, 3) SELECT g.id, h, k, coalesce(v, 0)::BIGINT AS value FROM (SELECT unnest(range((SELECT max(dst) + 1 FROM E))) AS id) g CROSS JOIN (SELECT unnest(range({fx.HEADS})) AS h) CROSS JOIN (SELECT unnest(range({_DIM})) AS k) LEFT JOIN P USING (id, h, k)")
+def mh_spmm_wide(spark: SparkSession, d: str) -> DataFrame:
+    """Whole vectors as every head, plus the head's number."""
+    nodes = fx.nodes(spark, d)
+    heads = nodes.select("id", F.transform(F.sequence(F.lit(0), F.lit(fx.HEADS - 1)), lambda h: F.transform("x", lambda v: v + h)).alias("x"))
+    return _heads(spmm.mh_spmm(fx.head_edges(spark, d), heads, fx.HEADS, dim_of(nodes)))
+
+
 @query(_HEADS)
 def mh_spmm_transposed(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = stash(fx.head_edges(spark, d, numbered=True), "edges"), fx.head_nodes(spark, d)
@@ -201,6 +209,13 @@ def sddmm_coo(spark: SparkSession, d: str) -> DataFrame:
     return sddmm.sddmm(fx.links(spark, d), nodes, nodes).withColumn("value", F.col("value").cast("long"))
 
 
+@query(_SDDMM.format("src", "dst"))
+def sddmm_grid(spark: SparkSession, d: str) -> DataFrame:
+    """The same over the grid of node blocks, whatever the size of the tables."""
+    nodes = fx.nodes(spark, d)
+    return sddmm.grid_sddmm(fx.links(spark, d), nodes, nodes).withColumn("value", F.col("value").cast("long"))
+
+
 @query(_SDDMM.format("dst AS row", "src AS col"))
 def sddmm_csr(spark: SparkSession, d: str) -> DataFrame:
     edges, nodes = fx.links(spark, d), fx.nodes(spark, d)
@@ -305,6 +320,14 @@ def csr_to_coo(spark: SparkSession, d: str) -> DataFrame:
     return sparse.csr_to_coo(sparse.coo_to_csr(edges), sparse.csr_entries(edges))
 
 
+@query(f'WITH {_e(fx.GAP)}, M AS (SELECT row_number() OVER (ORDER BY dst, src, w) - 1 AS pos, dst FROM E) SELECT event_id, M.pos, M.dst AS "row" FROM events JOIN M ON M.pos = (event_id * 31 + user_id) % (SELECT count(*) FROM E)')
+def row_lookup(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of positions that every event names."""
+    edges = stash(fx.edges(spark, d, fx.GAP), "edges")
+    positions = table(spark, d, "events").select("event_id", ((F.col("event_id") * 31 + F.col("user_id")) % edges.count()).alias("pos"))
+    return sparse.lookup_rows(sparse.coo_to_csr(edges), positions).select("event_id", "pos", "row")
+
+
 @query(f'WITH {_e()} SELECT row_number() OVER (ORDER BY src, dst, w) - 1 AS pos, src AS "row", dst AS col, w FROM E')
 def transpose_csr(spark: SparkSession, d: str) -> DataFrame:
     edges = fx.edges(spark, d)
@@ -721,7 +744,15 @@ def upsample(spark: SparkSession, d: str) -> DataFrame:
     return augment.up_sample(augment.renumber(fx.items(spark, d)), 2)
 
 
-@query()
+_LADDER = f"""WITH {_RANKED}, C AS (SELECT count(*) AS n, floor(log2(greatest(count(*) // 1000, 1)))::BIGINT AS base FROM R),
+    S AS (SELECT step, n, pow(2.0, base - step) AS f, CASE WHEN base > step THEN round_even(n / pow(2.0, base - step), 0) ELSE n * pow(2.0, step - base) END::BIGINT AS m FROM C CROSS JOIN (SELECT unnest(range({augment.LADDER})) AS step)),
+    P AS (SELECT step, n, m, f, unnest(range(m)) AS p FROM S),
+    Q AS (SELECT *, CASE WHEN f > 1 THEN floor(p * n / m) ELSE least(greatest(floor((p + 0.5) * f - 0.5), 0), n - 1) END::BIGINT AS q, greatest((p + 0.5) * f - 0.5, 0)::DOUBLE AS t FROM P),
+    L AS (SELECT step, CASE WHEN f >= 1 THEN floor(a.idx / f) ELSE floor((a.idx + (t - q) * (coalesce(b.idx, a.idx) - a.idx)) / f) END::BIGINT AS idx FROM Q JOIN R a ON a.pos = q LEFT JOIN R b ON b.pos = q + 1)
+    SELECT step::INT AS step, count(*) AS "rows", max(idx) AS largest, sum(idx)::BIGINT AS "sum" FROM L GROUP BY 1"""
+
+
+@query(_LADDER)
 def scale_ladder(spark: SparkSession, d: str) -> DataFrame:
     found = augment.scale_ladder(stash(augment.renumber(fx.items(spark, d)), "index"))
     return found.groupBy("step").agg(F.count("*").alias("rows"), F.max("idx").alias("largest"), F.sum("idx").alias("sum"))
@@ -732,12 +763,24 @@ def arg_sort(spark: SparkSession, d: str) -> DataFrame:
     return augment.arg_sort(fx.items(spark, d))
 
 
-@query()
+def _uniform(seed: int, *keys: str) -> str:
+    return f"(('0x' || left(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 13))::BIGINT / {1 << 52}.0::DOUBLE)"
+
+
+def _normal(seed: int, *keys: str) -> str:
+    return f"(sqrt(-2 * ln(1 - {_uniform(seed, chr(39) + 'r' + chr(39), *keys)})) * cos({_uniform(seed, chr(39) + 't' + chr(39), *keys)} * {2 * np.pi!r}))"
+
+
+@query(f"WITH {_RANKED}, C AS (SELECT greatest(floor((count(*) - greatest(max(idx), 1)) / greatest(max(idx), 1)), 1)::BIGINT AS span FROM R), Z AS (SELECT pos, (idx + floor({_uniform(1, 'pos')} * span))::BIGINT AS idx FROM R CROSS JOIN C) SELECT row_number() OVER (ORDER BY idx, pos) - 1 AS pos, idx FROM Z")
 def noise_augment(spark: SparkSession, d: str) -> DataFrame:
     return augment.noise_augment(augment.renumber(fx.items(spark, d)), variant=1)
 
 
-@query()
+@query(f"""WITH {_e()}, D AS (SELECT g.id, count(E.dst) AS n FROM (SELECT unnest(range((SELECT max(dst) + 1 FROM E))) AS id) g LEFT JOIN E ON E.dst = g.id GROUP BY 1),
+    C AS (SELECT count(*) AS keys, min(n) AS least, max(n) AS most, sum(n)::BIGINT AS total, stddev_pop(n) / avg(n) AS cv, sum(n)::DOUBLE / count(*) AS mean FROM D),
+    L AS (SELECT id AS idx, least(greatest(round({_normal(1, 'id')} * (cv * mean) + mean)::BIGINT, least), most) AS n, keys, total FROM D CROSS JOIN C),
+    Z AS (SELECT idx, sum(n) OVER (ORDER BY idx) - n AS s, CASE WHEN idx = keys - 1 THEN total ELSE least(sum(n) OVER (ORDER BY idx), total) END AS t FROM L)
+    SELECT idx, s::BIGINT AS "begin", (t - s)::BIGINT AS length FROM Z WHERE t > s""")
 def synthetic_index(spark: SparkSession, d: str) -> DataFrame:
     """A generated vector with the size, key count and spread of lineitem's suppliers."""
     stats = sparse.degree(fx.edges(spark, d)).agg(F.count("*"), F.min("degree"), F.max("degree"), F.sum("degree"), F.stddev_pop("degree") / F.avg("degree")).first()
@@ -745,11 +788,13 @@ def synthetic_index(spark: SparkSession, d: str) -> DataFrame:
     return segment.run_lengths(augment.synthetic_index(spark, keys, least, most, total, cv, seed=1))
 
 
-@query()
+@query(f"""WITH {_NODES}, X AS (SELECT id, k, {_uniform(1, "'x'", 'id', 'k')} AS v FROM V CROSS JOIN (SELECT unnest(range(4)) AS k)),
+    G AS (SELECT id AS src, k FROM V CROSS JOIN (SELECT unnest(range(8)) AS k)), E AS (SELECT src, floor({_uniform(1, "'dst'", 'src', 'k')} * {_N})::BIGINT AS dst, {_uniform(1, "'w'", 'src', 'k')} AS w FROM G),
+    P AS (SELECT E.dst AS id, X.k, sum(E.w * X.v) AS v FROM E JOIN X ON X.id = E.src GROUP BY 1, 2) SELECT V.id, c.k, round(coalesce(P.v, 0), 6) + 0 AS value FROM V CROSS JOIN (SELECT unnest(range(4)) AS k) c LEFT JOIN P ON P.id = V.id AND P.k = c.k""")
 def random_graph(spark: SparkSession, d: str) -> DataFrame:
-    """The weighted product on a random graph of the given graph's size."""
-    nodes, edges = augment.random_graph(spark, fx.node_count(spark, d), table(spark, d, "lineitem").count(), 4, seed=1)
-    return spmm.gather_weight_scatter(edges, nodes, dim=4, num_nodes=nodes.select("id"))
+    """The weighted product on a random graph over the given nodes, with 8 edges out of each."""
+    nodes, edges = augment.random_graph(table(spark, d, "embeddings").select(F.col("vec_id").alias("id")), 8, 4, seed=1)
+    return _long(spmm.gather_weight_scatter(edges, nodes, dim=4, num_nodes=nodes.select("id")), kind="double", digits=6)
 
 
 @query()

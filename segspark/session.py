@@ -68,6 +68,17 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     return written
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """The size of df as the optimizer estimates it."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def will_broadcast(df: DataFrame) -> bool:
+    """Whether Spark broadcasts df in a join by its estimated size."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return planned_bytes(df) <= limit
+
+
 def discard(*frames: DataFrame) -> None:
     """Delete tables that stash() returned, once nothing reads them any more; other frames are left alone."""
     for frame in frames:
