@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from functools import reduce as fold
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import nearest_power_of_two
+from ..functions.scalars import nearest_power_of_two, uniform
+from .tree import JointTree
 
 
 def index_features(items: DataFrame, by: str = "dataname", value: str = "idx") -> DataFrame:
@@ -105,28 +104,29 @@ def side_by_side(frames: list[DataFrame], key: str) -> DataFrame:
 
 
 class ConfigModel:
-    """One regression tree per output over (feature_size, size, avg), fitted on 80 % of the rows; predictions are powers of two."""
+    """One regression tree of all outputs over (feature_size, size, avg), fitted on 80 % of the rows; predictions are powers of two."""
 
     INPUTS = ("feature_size", "size", "avg")
 
     def __init__(self, outputs: list[str], depth: int = 5, seed: int = 42):
         self.outputs, self.depth, self.seed = outputs, depth, seed
 
-    def split(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        first, second = rows.randomSplit([0.8, 0.2], self.seed)
-        return first, second
+    def in_train(self, keys: list[str]) -> Column:
+        """Whether a row is one of the 80 %: a number drawn by seed and keys decides, so reruns and other partitionings agree."""
+        return uniform(self.seed, *(F.col(k) for k in keys)) < 0.8
+
+    def split(self, rows: DataFrame, keys: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+        """Rows to fit and rows to test; keys (all columns if not given) tell rows apart."""
+        chosen = self.in_train(keys or rows.columns)
+        return rows.where(chosen), rows.where(~chosen)
 
     def fit(self, rows: DataFrame) -> ConfigModel:
-        ready = VectorAssembler(inputCols=list(self.INPUTS), outputCol="_in").transform(rows)
-        tree = lambda name: DecisionTreeRegressor(featuresCol="_in", labelCol=name, predictionCol=f"pred_{name}", maxDepth=self.depth, seed=self.seed)
-        self.trees = [tree(name).fit(ready.withColumn(name, F.col(name).cast("double"))) for name in self.outputs]
+        self.tree = JointTree(list(self.INPUTS), self.outputs, self.depth).fit(rows)
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:
-        out = VectorAssembler(inputCols=list(self.INPUTS), outputCol="_in").transform(rows)
-        for name, tree in zip(self.outputs, self.trees, strict=True):
-            out = tree.transform(out).withColumn(f"pred_{name}", nearest_power_of_two(F.greatest(F.rint(f"pred_{name}"), F.lit(1.0))))
-        return out.drop("_in")
+        snapped = {f"pred_{c}": nearest_power_of_two(F.greatest(F.rint(f"pred_{c}"), F.lit(1.0))) for c in self.outputs}
+        return self.tree.predict(rows).withColumns(snapped)
 
 
 def root_mean_squared_error(a: Column, b: Column) -> Column:

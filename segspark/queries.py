@@ -797,6 +797,12 @@ def random_graph(spark: SparkSession, d: str) -> DataFrame:
     return _long(spmm.gather_weight_scatter(edges, nodes, dim=4, num_nodes=nodes.select("id")), kind="double", digits=6)
 
 
+@query(f"SELECT event_id, {_uniform(42, 'event_id')} < 0.8 AS in_train FROM events")
+def config_split(spark: SparkSession, d: str) -> DataFrame:
+    """Which measurements a model is fitted on."""
+    return fx.results(spark, d).select("event_id", analytics.ConfigModel([]).in_train(["event_id"]).alias("in_train"))
+
+
 @query()
 def tree_fit(spark: SparkSession, d: str) -> DataFrame:
     """Configurations by tree: fit, predict powers of two, look the measured time up, error against the best."""
@@ -805,7 +811,7 @@ def tree_fit(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.join(features, "dataname").withColumn("config1", scalars.nearest_power_of_two(F.least("time", F.lit(32.0)))).withColumn("config2", F.pow(F.lit(2.0), F.col("feature_size") % 3))
     rows = stash(rows.withColumn("feature_size", F.col("feature_size").cast("double")), "features")
     model = analytics.ConfigModel(["config1", "config2"])
-    train, test = model.split(rows)
+    train, test = model.split(rows, ["event_id"])
     found = model.fit(train).predict(test)
     keys = ["dataname", "config1", "config2"]
     measured = rows.groupBy(*keys).agg(F.max("time").alias("measured"))

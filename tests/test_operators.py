@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segspark.functions import scalars, vectors
-from segspark.operators import analytics, augment, compare, grad, graph, layers, sddmm, segment, sparse, spmm
+from segspark.operators import analytics, augment, compare, grad, graph, layers, sddmm, segment, sparse, spmm, tree
 from segspark.plans.layout import reduce_vectors
 
 N, M, D = 30, 200, 5
@@ -354,16 +354,16 @@ def test_synthetic_index_has_the_asked_spread(spark):
 
 
 def _tree(x, y, depth):
-    """A regression tree by exhaustive search over all thresholds, in plain NumPy: a function of one row."""
+    """A regression tree over all columns of y by exhaustive search over all thresholds, in plain NumPy: a function of one row."""
     best = None
     for k in range(x.shape[1]):
         for t in np.unique(x[:, k])[:-1]:
             left = x[:, k] <= t
-            loss = sum(((part - part.mean()) ** 2).sum() for part in (y[left], y[~left]))
+            loss = sum(((part - part.mean(axis=0)) ** 2).sum() for part in (y[left], y[~left]))
             if best is None or loss < best[0] - 1e-9:
                 best = (loss, k, t, left)
-    if depth == 0 or best is None or ((y - y.mean()) ** 2).sum() - best[0] <= 1e-9:
-        return lambda row: y.mean()
+    if depth == 0 or best is None or ((y - y.mean(axis=0)) ** 2).sum() - best[0] <= 1e-9:
+        return lambda row: y.mean(axis=0)
     _, k, t, left = best
     low, high = _tree(x[left], y[left], depth - 1), _tree(x[~left], y[~left], depth - 1)
     return lambda row: (low if row[k] <= t else high)(row)
@@ -379,10 +379,10 @@ def test_configurations_by_tree(spark):
     train, test = model.split(frame)
     known = np.array([list(r) for r in train.collect()])
     assert 0.7 < len(known) / 300 < 0.9 and train.count() + test.count() == 300 and train.join(test, "i").count() == 0
-    trees = [_tree(known[:, 1:4], known[:, 4 + k], 3) for k in range(2)]
+    tree = _tree(known[:, 1:4], known[:, 4:6], 3)
     got = model.fit(train).predict(test).collect()
     for r in got:
-        want = [2.0 ** np.round(np.log2(max(np.rint(t([r.feature_size, r.size, r.avg])), 1))) for t in trees]
+        want = [2.0 ** np.round(np.log2(max(np.rint(m), 1))) for m in tree([r.feature_size, r.size, r.avg])]
         assert [r.pred_c1, r.pred_c2] == want
     measured = spark.createDataFrame([(2.0, 1.5), (4.0, 2.5), (8.0, 0.5)], "c1 double, t double")
     found = analytics.lookup(frame.select("i", "c1"), measured, ["c1"], "t")
@@ -392,6 +392,32 @@ def test_configurations_by_tree(spark):
     assert found.agg(analytics.root_mean_squared_error(F.col("t"), F.lit(1.0))).first()[0] == pytest.approx(error)
 
 
+@pytest.mark.parametrize("bins", [256, 6])
+def test_joint_tree_equals_exhaustive_search(spark, bins):
+    """Means of the leaves for three noisy outputs; with few bins a tree of at most so many thresholds, that still explains most of the variance."""
+    rng = np.random.default_rng(9)
+    x = np.stack([rng.integers(0, 9, 400), rng.integers(0, 5, 400), rng.normal(size=400).round(1)], axis=1).astype(float)
+    y = np.stack([3.0 * (x[:, 0] > 4) + x[:, 1], x[:, 2] * (x[:, 0] > 2), 0 * x[:, 0]], axis=1) + rng.normal(size=(400, 3)).round(3) * 0.1
+    rows = spark.createDataFrame([(*a, *b) for a, b in zip(x.tolist(), y.tolist(), strict=True)], "a double, b double, c double, u double, v double, w double").repartition(3)
+    got = tree.JointTree(["a", "b", "c"], ["u", "v", "w"], 4, bins).fit(rows).predict(rows).collect()
+    if bins == 256:
+        plain = _tree(x, y, 4)
+        assert all(np.allclose([r.pred_u, r.pred_v, r.pred_w], plain([r.a, r.b, r.c])) for r in got)
+    left = sum((r.u - r.pred_u) ** 2 + (r.v - r.pred_v) ** 2 for r in got)
+    assert left < 0.2 * ((y[:, :2] - y[:, :2].mean(axis=0)) ** 2).sum()
+
+
+def test_joint_tree_of_nulls_and_nothing(spark):
+    schema = "a double, u double"
+    rows = spark.createDataFrame([(1.0, 1.0), (1.0, 1.0), (None, 5.0), (float("nan"), 5.0), (2.0, None)], schema)
+    model = tree.JointTree(["a"], ["u"], 2).fit(rows)
+    assert [r.pred_u for r in model.predict(rows).collect()] == [1.0, 1.0, 5.0, 5.0, 1.0]  # one known value: only what is unknown is apart
+    more = rows.union(spark.createDataFrame([(3.0, 5.0)], schema))
+    found = {repr(r.a): r.pred_u for r in tree.JointTree(["a"], ["u"], 2).fit(more).predict(more).collect()}
+    assert found["1.0"] == 1.0 and found["3.0"] == found["None"] == found["nan"] == 5.0
+    assert tree.JointTree(["a"], ["u"], 2).fit(rows.where("false")).predict(rows).where("pred_u IS NOT NULL").count() == 0
+
+
 def test_tables_of_measurements(spark):
     rows = spark.createDataFrame([("a", "x", 1.0), ("a", "y", 4.0), ("b", "x", 9.0), ("b", "y", 3.0)], "ds string, m string, t double")
     assert {(r.ds, r.m) for r in analytics.best_rows(rows, ["ds"], "t", ["m"]).collect()} == {("a", "y"), ("b", "x")}
