@@ -58,7 +58,7 @@ class JointTree:
             if len(edges[c]) > 1:
                 rows = Bucketizer(splits=[-float("inf"), *edges[c][1:], float("inf")], inputCol=c, outputCol=f"_bin_{c}", handleInvalid="keep").transform(rows)
             else:
-                rows = rows.withColumn(f"_bin_{c}", F.when(~F.isnan(c), 0.0))
+                rows = rows.withColumn(f"_bin_{c}", F.when(F.col(c).isNotNull() & ~F.isnan(c), 0.0))
             rows = rows.withColumn(f"_bin_{c}", F.coalesce(f"_bin_{c}", F.lit(float(len(edges[c])))))  # nulls and NaN beyond all values
         rows = stash(rows, "binned")
         outputs = range(len(self.outputs))
