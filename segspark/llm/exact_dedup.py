@@ -172,7 +172,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Of equal texts the row with the largest doc_id stays (null ids rank lowest). Of rows that repeat both
-    id and text exactly one is kept. Null texts equal empty ones. Other columns are ignored. An empty table gives none. The rows of a
+    id and text exactly one is kept. Null texts equal empty ones. Texts of any length are compared whole. Other columns are ignored. An empty table gives none. The rows of a
     frequent text are joined with their group in parts.
     """
     keys = stash(content_keys(docs, id_col, text_col), "keys")

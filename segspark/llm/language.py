@@ -203,7 +203,7 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
     Null texts and texts without letters are und with score 0, as is everything if no row is labelled. Words of unknown characters
     only count for no language; if no word counts, all languages are equal. Ties go to the first language by name. Null ids are not held
-    out and not learned from. Other columns are ignored. An empty table gives none.
+    out and not learned from. All words of texts of any length are scored. Rows that repeat are scored alike, and learned from as often as they occur. Other columns are ignored. An empty table gives none.
     """
     model = train(docs, id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -81,7 +81,8 @@ def mix_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: doc_id, size, source_size, target, taken (words the mix takes, repeats counted).
 
     Null text: size 0. Null source: a source of its own, last. A source without words has target 0 and is not taken. Rows
-    that repeat id and text count separately. Other columns are ignored. An empty table gives none.
+    that repeat id and text count separately. Equal sizes stand in order of a hash of the id, then the id, then the text. Texts of any length count
+    whole; a long one may be taken up to 3 times. Other columns are ignored. An empty table gives none.
     """
     sized = stash(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(F.col(text_col)).alias("size")), "sized")
     return copies(sized).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))

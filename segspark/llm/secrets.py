@@ -140,7 +140,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     """One row per input row: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
     Positions count code points, ends are exclusive. Null texts are empty; texts without findings have zero counts, the digest of the empty string
-    and empty spans. Rows that repeat id and text report alike. Other columns are ignored. An empty table gives none.
+    and empty spans. Texts of any length are searched whole. Rows that repeat id and text report alike. Other columns are ignored. An empty table gives none.
     """
     found = stash(parts(docs, id_col, text_col), "parts")
     near = stash(link(found, scope), "linked").select(F.col("doc_id").alias("_id"), F.col("content").alias("_content"), "spans")

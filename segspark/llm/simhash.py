@@ -213,7 +213,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints that differ in at most radius bits are linked: such pairs always meet under a covering mask. component_id is the smallest non-null
     doc_id reachable, itself included. Copies share a fingerprint and are merged before any comparison. Null or wordless texts have
-    fingerprint 0 and are linked like any other. Other columns are ignored. An empty table gives none.
+    fingerprint 0 and are linked like any other. All shingles of texts of any length count, in bounded blocks. Rows that repeat have one component. Other columns are ignored. An empty table gives none.
     """
     rows = stash(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     values = stash(rows.groupBy(F.col("fingerprint").alias("node")).agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "values")

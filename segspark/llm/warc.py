@@ -204,6 +204,6 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
     Null html is an empty payload, a null url becomes urn:page:<id>, and a null page_id stays null. Of records with equal
     payloads of at least 100 bytes the one of the smallest page_id is the response (rows that repeat that id as
-    well); smaller payloads are never revisits. Other columns are ignored. An empty table gives none.
+    well); smaller payloads are never revisits. Payloads of any length are one record each, held whole by the task that writes or reads it. Rows that repeat are a record each. Other columns are ignored. An empty table gives none.
     """
     return read_archives(write_archives(mark_revisits(pages), folder or scratch(pages.sparkSession, "warc")))
