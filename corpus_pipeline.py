@@ -12,7 +12,7 @@ from segspark.llm.common import discard, stash
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or whose language stays in doubt, go.
 
-    Null, empty and wordless texts have no letters. Rows that repeat stay or go together; ties between languages go to the first by name, and to a score too low to stay.
+    Null, empty and wordless texts have no letters. Rows that repeat stay or go together; texts of any length are scored whole; ties between languages go to the first by name, and to a score too low to stay.
     All columns are kept, whatever their names. An empty table gives none.
     """
     return language.keep_identified(docs)
@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest doc_id stays.
 
-    Null texts equal empty ones; null ids rank lowest; of rows that repeat id and text one stays. All columns are kept, whatever their names. An empty table gives none.
+    Null texts equal empty ones; null ids rank lowest; of rows that repeat id and text one stays; texts of any length are compared whole. All columns are kept, whatever their names. An empty table gives none.
     """
     return exact_dedup.drop_exact_duplicates(docs)
 
@@ -30,7 +30,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """Of each group of near copies (similarity of five-word shingles 0.8 or more) the document with the smallest doc_id stays.
 
     Covering SimHash proposes, whole shingle sets decide. Null, empty and wordless texts are copies of each other; texts under five words are one shingle. Rows without an
-    id stay, and so do all rows of an id that stays. All columns are kept, whatever their names. An empty table gives none.
+    id stay, and so do all rows of an id that stays; texts of any length are compared whole. All columns are kept, whatever their names. An empty table gives none.
     """
     return shingles.drop_near_copies(docs)
 
@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources at their target weights; a document appears as often as it is taken.
 
     A null source is one of its own, last; null texts have size 0; a source without words is not taken. Equal sizes stand in order of a hash of the id, then the id, then
-    the text, so reruns agree; rows that repeat count separately. All columns are kept, whatever their names. An empty table gives none.
+    the text, so reruns agree; rows that repeat count separately; texts of any length count whole. All columns are kept, whatever their names. An empty table gives none.
     """
     return mixing.mix(docs)
 
