@@ -14,7 +14,7 @@ from ..functions.vectors import add, axpy, l2_normalize, let, relu, scale
 from ..session import stash
 from .graph import add_remaining_self_loops, gcn_norm
 from .segment import join_split
-from .spmm import gather_scatter, gather_weight_scatter, mh_spmm
+from .spmm import gather_scatter, gather_scatter_several, gather_weight_scatter, mh_spmm
 
 _VECTORS = "array<double>"
 #: Steps of a repeated propagation between two tables that cut its lineage.
@@ -122,8 +122,7 @@ class SAGE:
         if self.project:
             sources, dim = apply(apply(sources, linear(*self.project)), relu), len(self.project[0])
         ids = nodes.select("id")
-        found = [gather_scatter(edges, sources, how, dim, ids) for how in self.aggr]
-        near = fold(lambda a, b: combine(a, b, lambda x, y: F.concat(x, y)), found)
+        near = gather_scatter_several(edges, sources, self.aggr, dim, ids)
         out = apply(near, linear(self.neighbour, self.bias))
         if self.root is not None:
             out = combine(out, apply(nodes.select("id", "x"), linear(self.root)), add)

@@ -9,31 +9,52 @@ from ..functions.scalars import reduction
 from ..plans.layout import dim_of, reduce_vectors
 from .segment import fill_segments, ids_below, join_split
 from .sparse import csr_to_coo, unblock
+from .stored import StoredGraph
 
 
 #: Products of heads and components that are aggregates of one plan.
 CELLS = 96
 
 
-def _product(edges: DataFrame, nodes: DataFrame, reduce: str, dim: int | None, num_nodes, fill: bool, weighted: bool) -> DataFrame:
+def _messages(edges: DataFrame | StoredGraph, nodes: DataFrame, weighted: bool) -> DataFrame:
+    """(id, x and, if weighted, w): the vector at the source of every edge, by its destination."""
+    cols = [F.col("dst").alias("id")] + ([F.coalesce("w", F.lit(1.0)).alias("w")] if weighted else [])
+    if isinstance(edges, StoredGraph):
+        return edges.messages(nodes).select(*cols, "x")
+    return join_split(edges.select("src", *cols), nodes.select(F.col("id").alias("src"), "x"), "src")
+
+
+def _product(edges: DataFrame | StoredGraph, nodes: DataFrame, reduce: str, dim: int | None, num_nodes, fill: bool, weighted: bool) -> DataFrame:
     dim = dim or dim_of(nodes)
-    cols = ["src", F.col("dst").alias("id")] + ([F.coalesce("w", F.lit(1.0)).alias("w")] if weighted else [])
-    joined = join_split(edges.select(*cols), nodes.select(F.col("id").alias("src"), "x"), "src")
-    out = reduce_vectors(joined, ["id"], "x", reduce, dim, F.col("w") if weighted else None)
+    out = reduce_vectors(_messages(edges, nodes, weighted), ["id"], "x", reduce, dim, F.col("w") if weighted else None)
+    if fill and isinstance(edges, StoredGraph) and num_nodes is None:
+        num_nodes = edges.nodes
     return fill_segments(out, ids_below(edges, "dst", num_nodes), dim) if fill else out
 
 
-def gather_scatter(edges: DataFrame, nodes: DataFrame, reduce: str = "sum", dim: int | None = None, num_nodes: int | DataFrame | None = None, fill: bool = True) -> DataFrame:
+def gather_scatter_several(edges: DataFrame | StoredGraph, nodes: DataFrame, reduces: list[str], dim: int | None = None, num_nodes: int | DataFrame | None = None) -> DataFrame:
+    """(id, x): the results of gather_scatter() for each of reduces, end to end; edges meet nodes once, and one aggregate takes all reductions of a component.
+
+    Nodes are filled as there; components that a shorter vector lacks count for nothing.
+    """
+    dim = dim or dim_of(nodes)
+    if isinstance(edges, StoredGraph) and num_nodes is None:
+        num_nodes = edges.nodes
+    out = reduce_vectors(_messages(edges, nodes, False), ["id"], "x", reduces, dim)
+    return fill_segments(out, ids_below(edges, "dst", num_nodes), dim * len(reduces))
+
+
+def gather_scatter(edges: DataFrame | StoredGraph, nodes: DataFrame, reduce: str = "sum", dim: int | None = None, num_nodes: int | DataFrame | None = None, fill: bool = True) -> DataFrame:
     """(id, x): for every destination of edges(src, dst) the reduced vectors of nodes(id, x) at its sources.
 
     Duplicate edges count as often as they occur. Destinations 0 .. num_nodes - 1 (to the largest if not given) all appear with fill; those
-    without edges are zero. Messages are never materialised: join, product and partial aggregation are one stage. The edges of a hub among the sources are split where
+    without edges are zero; a stored graph's are all of its nodes. Messages are never materialised: join, product and partial aggregation are one stage. The edges of a hub among the sources are split where
     vectors are shuffled; one among the destinations costs a row a task.
     """
     return _product(edges, nodes, reduce, dim, num_nodes, fill, False)
 
 
-def gather_weight_scatter(edges: DataFrame, nodes: DataFrame, reduce: str = "sum", dim: int | None = None, num_nodes: int | DataFrame | None = None, fill: bool = True) -> DataFrame:
+def gather_weight_scatter(edges: DataFrame | StoredGraph, nodes: DataFrame, reduce: str = "sum", dim: int | None = None, num_nodes: int | DataFrame | None = None, fill: bool = True) -> DataFrame:
     """gather_scatter() with every vector times the edge's weight w; a null weight is 1."""
     return _product(edges, nodes, reduce, dim, num_nodes, fill, True)
 

@@ -22,16 +22,22 @@ def dim_of(vectors: DataFrame, column: str | Column = "x") -> int:
     return vectors.agg(F.max(F.when(column.isNotNull(), F.size(column)))).first()[0] or 0
 
 
-def reduce_vectors(rows: DataFrame, keys: list[str], column: str, how: str, dim: int, weight: Column | None = None) -> DataFrame:
-    """(keys, column) with the vectors of column, times weight if given, reduced by component; components that a shorter vector lacks count for nothing."""
-    aggregate = reduction(how)
+def reduce_vectors(rows: DataFrame, keys: list[str], column: str, how: str | list[str], dim: int, weight: Column | None = None) -> DataFrame:
+    """(keys, column) with the vectors of column, times weight if given, reduced by component; components that a shorter vector lacks count for nothing.
+
+    Several reductions are taken in one aggregate, their results joined end to end.
+    """
+    aggregates = [reduction(h) for h in ([how] if isinstance(how, str) else how)]
     scaled = (lambda v: v) if weight is None else (lambda v: F.col("_weight") * v)
     rows = rows.select(*keys, column) if weight is None else rows.select(*keys, column, weight.alias("_weight"))
-    if dim <= WIDTH:
-        return rows.groupBy(*keys).agg(F.array(*[aggregate(scaled(F.get(column, F.lit(k)))) for k in range(dim)]).cast("array<double>").alias(column))
-    chunks = F.array(*[F.slice(column, k + 1, WIDTH) for k in range(0, dim, WIDTH)])
+    wide = max(1, WIDTH // len(aggregates))
+    if dim <= wide:
+        return rows.groupBy(*keys).agg(F.array(*[a(scaled(F.get(column, F.lit(k)))) for a in aggregates for k in range(dim)]).cast("array<double>").alias(column))
+    chunks = F.array(*[F.slice(column, k + 1, wide) for k in range(0, dim, wide)])
     pieces = rows.select(*[c for c in rows.columns if c != column], F.posexplode(chunks).alias("_chunk", "_part"))
-    reduced = pieces.groupBy(*keys, "_chunk").agg(F.array(*[aggregate(scaled(F.get("_part", F.lit(k)))) for k in range(WIDTH)]).alias("_part"))
-    ordered = F.array_sort(F.collect_list(F.struct("_chunk", "_part")))
-    whole = F.slice(F.flatten(F.transform(ordered, lambda s: s["_part"])), 1, dim)
+    parts = F.array(*[F.array(*[a(scaled(F.get("_part", F.lit(k)))) for k in range(wide)]) for a in aggregates])
+    reduced = pieces.groupBy(*keys, "_chunk").agg(parts.alias("_parts"))
+    ordered = F.array_sort(F.collect_list(F.struct("_chunk", "_parts")))
+    of = lambda i: F.flatten(F.transform(ordered, lambda s: s["_parts"][i]))
+    whole = F.concat(*[F.slice(of(i), 1, dim) for i in range(len(aggregates))])
     return reduced.groupBy(*keys).agg(whole.cast("array<double>").alias(column))

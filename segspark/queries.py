@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 from . import fixtures as fx
 from .functions import scalars, vectors
 from .operators import analytics, augment, compare, grad, graph, layers, sddmm, segment, sparse, spmm
+from .operators.stored import StoredGraph
 from .plans.layout import dim_of
 from .session import scratch, stash, table
 from .sources import matrix_market, tables
@@ -421,6 +424,14 @@ def validate_index(spark: SparkSession, d: str) -> DataFrame:
     return graph.validate_index(fx.edges(spark, d), half, ("src",)).groupBy("valid").agg(F.count("*").alias("n"))
 
 
+@query(f"WITH {_en()} SELECT eid, src, dst, w, true AS valid FROM E")
+def wrapped_index(spark: SparkSession, d: str) -> DataFrame:
+    """Sources of every other quantity count from the end; all are wrapped, and none may lie outside then."""
+    n = fx.node_count(spark, d)
+    edges = fx.numbered_edges(spark, d).withColumn("src", F.when(F.col("w") % 2 == 1, F.col("src") - n).otherwise(F.col("src")))
+    return graph.validate_index(graph.wrap_negative(edges, n, ("src",)), n, ("src",), strict=True)
+
+
 @query(f"WITH {_X}, Y AS (SELECT id, k, round(v / 10) * 10 AS v FROM X) SELECT count(*) AS cells, 0::BIGINT AS missing, max(abs(X.v - Y.v)) AS max_abs_diff, bool_and(abs(X.v - Y.v) <= 0.0001) AS all_close, count(*) FILTER (abs(X.v - Y.v) > 0.01 * abs(Y.v)) AS bad_relative FROM X JOIN Y ON X.id = Y.id AND X.k = Y.k")
 def compare_results(spark: SparkSession, d: str) -> DataFrame:
     cells = vectors.to_long(fx.nodes(spark, d), ["id"])
@@ -510,6 +521,45 @@ def gnn_stack(spark: SparkSession, d: str) -> DataFrame:
     return _long(stack(nodes, edges), kind="double", digits=3)
 
 
+def _stored(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> StoredGraph:
+    """The graph in tables of the shared folder, which go when the driver ends."""
+    return StoredGraph.save(nodes, edges, f"graph_{uuid.uuid4().hex}", path=scratch(spark, "graph"))
+
+
+@query(_product(_e(fx.SQUARE), True) + _filled("P", _DIM, ids=_N))
+def stored_product(spark: SparkSession, d: str) -> DataFrame:
+    """The weighted product over stored tables, duplicate edges included."""
+    stored = _stored(spark, fx.nodes(spark, d), fx.edges(spark, d, fx.SQUARE))
+    return _long(spmm.gather_weight_scatter(stored, stored.nodes))
+
+
+@query(ORACLES["gnn_stack"])
+def stored_stack(spark: SparkSession, d: str) -> DataFrame:
+    """The stack of gnn_stack over edges that are normalised once and stored in the buckets of the nodes."""
+    nodes, edges, dim = _square(spark, d)
+    stored = _stored(spark, nodes, graph.gcn_norm(edges, nodes))
+    stack = layers.Stack([layers.GCN(_weight(_HIDDEN, dim), normalize=False), layers.GCN(_weight(_OUT, _HIDDEN, 1), normalize=False)], cut=stored.cut)
+    return _long(stack(stored.nodes, stored), kind="double", digits=3)
+
+
+def _normal_of(source: str, name: str) -> str:
+    """CTE name(id, k, v): every component of the CTE source over all nodes, shifted and scaled, then relu."""
+    return f"{name}M AS (SELECT k, avg(v) AS m, var_pop(v) AS s FROM {source} GROUP BY 1), {name} AS (SELECT {source}.id, {source}.k, greatest((v - m) / sqrt(s + 1e-5), 0) AS v FROM {source} JOIN {name}M USING (k))"
+
+
+@query(f"""WITH {_X}, {_NORM}, H1 AS {_linear('X', _HIDDEN)}, O1 AS {_spread('A', 'H1')}, {_normal_of('O1', 'Y1')}, H2 AS {_linear('Y1', _HIDDEN, 1)}, O2 AS {_spread('A', 'H2')}, {_normal_of('O2', 'Y2')},
+    H3 AS {_linear('Y2', _HIDDEN, 2)}, O3 AS {_spread('A', 'H3')}, {_normal_of('O3', 'Y3')},
+    J AS (SELECT * FROM Y1 UNION ALL SELECT id, k + {_HIDDEN}, v FROM Y2 UNION ALL SELECT id, k + 2 * {_HIDDEN}, v FROM Y3), R AS (SELECT id, k, v + k - 3 AS v FROM {_linear('J', _OUT, 3)})""" + _rounded("R", 3))
+def knowledge_stack(spark: SparkSession, d: str) -> DataFrame:
+    """Three layers, each normalised over all nodes and activated, all outputs joined end to end and mapped to the classes."""
+    nodes, edges, dim = _square(spark, d)
+    stored = _stored(spark, nodes, graph.gcn_norm(edges, nodes))
+    convolutions = [layers.GCN(_weight(_HIDDEN, width, i), normalize=False) for i, width in enumerate((dim, _HIDDEN, _HIDDEN))]
+    out = layers.linear(_weight(_OUT, 3 * _HIDDEN, 3), np.arange(_OUT) - 3.0)
+    stack = layers.Stack([lambda n, e, c=c: stored.cut(c(n, e)) for c in convolutions], norm="batch", dims=[_HIDDEN] * 3, jk="cat", out=out)
+    return _long(stack(stored.nodes, stored), kind="double", digits=3)
+
+
 def _two_layers(spark: SparkSession, d: str) -> list[DataFrame]:
     nodes, edges, dim = _square(spark, d)
     return [nodes, spmm.gather_weight_scatter(edges, nodes, dim=dim, num_nodes=nodes)]
@@ -877,6 +927,27 @@ def matrix_market_fields(spark: SparkSession, d: str) -> DataFrame:
     return out[0].union(out[1])
 
 
+_LOWER = f"{_e(fx.SQUARE)}, T AS (SELECT greatest(src, dst) AS a, least(src, dst) AS b, sum(w)::DOUBLE AS w FROM E GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_LOWER}, U AS (SELECT 'symmetric' AS kind, a, b, w AS re, 0.0::DOUBLE AS im, 1 AS s, 0 AS t FROM T UNION ALL SELECT 'skew-symmetric', a, b, w, 0.0, -1, 0 FROM T WHERE a <> b
+    UNION ALL SELECT 'hermitian', a, b, w, CASE WHEN a = b THEN 0 ELSE a - b END, 1, -1 FROM T)
+    SELECT kind, a AS "row", b AS col, re, im + 0 AS im FROM U UNION ALL SELECT kind, b, a, s * re, t * im + 0 FROM U WHERE a <> b""")
+def matrix_market_symmetries(spark: SparkSession, d: str) -> DataFrame:
+    """Matrices of which a half is written, read whole: entries below the diagonal come with their mirror image."""
+    n, out = fx.node_count(spark, d), []
+    edges = fx.edges(spark, d, fx.SQUARE).select(F.greatest("src", "dst").alias("dst"), F.least("src", "dst").alias("src"), "w")
+    lower = stash(sparse.coalesce_edges(edges).select(F.col("dst").alias("row"), F.col("src").alias("col"), "w"), "lower")
+    complex_w = F.struct(F.col("w").alias("re"), (F.col("row") - F.col("col")).cast("double").alias("im"))
+    for symmetry, field, w in (("symmetric", "real", F.col("w")), ("skew-symmetric", "real", F.col("w")), ("hermitian", "complex", complex_w)):
+        path = scratch(spark, "mtx")
+        matrix_market.write_matrix_market(lower.withColumn("w", w), path, n, n, field, symmetry)
+        found = matrix_market.read_matrix_market(spark, path)
+        re, im = (F.col("w.re"), F.col("w.im") + 0.0) if field == "complex" else (F.col("w"), F.lit(0.0))
+        out.append(found.select(F.lit(symmetry).alias("kind"), "row", "col", re.alias("re"), im.alias("im")))
+    return analytics.stack_rows(out)
+
+
 @query("SELECT (p // 1024)::VARCHAR AS dataname, p % 1024 AS pos, idx FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS p, user_id AS idx FROM events)")
 def npy_files(spark: SparkSession, d: str) -> DataFrame:
     """Index vectors as .npy files of 1,024 entries, read back in bulk."""

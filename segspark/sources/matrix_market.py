@@ -65,10 +65,17 @@ def read_matrix_market_csr(spark: SparkSession, path: str) -> tuple[DataFrame, D
     return coo_to_csr(coo, "row", rows), csr_entries(coo, "row", "col")
 
 
-def write_matrix_market(coo: DataFrame, path: str, rows: int, cols: int, field: str = "real") -> None:
-    """Write (row, col, w) in order of row and column to a folder of text parts that read as one file, header first."""
+def write_matrix_market(coo: DataFrame, path: str, rows: int, cols: int, field: str = "real", symmetry: str = "general") -> None:
+    """Write (row, col, w) in order of row and column to a folder of text parts that read as one file, header first.
+
+    Of a symmetric matrix the entries on and below the diagonal are written, of a skew-symmetric one those below; the rest is their mirror image and isn't looked at.
+    """
+    if field not in FIELDS or symmetry not in SYMMETRIES or (symmetry == "hermitian" and field != "complex"):
+        raise ValueError(f"cannot write field and symmetry: {field} {symmetry}")
+    if symmetry != "general":
+        coo = coo.where("row > col" if symmetry == "skew-symmetric" else "row >= col")
     ordered = coo.orderBy("row", "col")
     value = F.lit("") if field == "pattern" else F.concat(F.lit(" "), F.concat_ws(" ", F.col("w.re").cast("string"), F.col("w.im").cast("string")) if field == "complex" else F.col("w").cast("string"))
     body = ordered.select(F.concat((F.col("row") + 1).cast("string"), F.lit(" "), (F.col("col") + 1).cast("string"), value).alias("value"))
-    head = coo.sparkSession.createDataFrame([(f"%%MatrixMarket matrix coordinate {field} general\n{rows} {cols} {coo.count()}",)], "value string").coalesce(1)
+    head = coo.sparkSession.createDataFrame([(f"%%MatrixMarket matrix coordinate {field} {symmetry}\n{rows} {cols} {coo.count()}",)], "value string").coalesce(1)
     head.union(body).write.mode("overwrite").text(path)

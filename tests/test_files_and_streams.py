@@ -40,6 +40,18 @@ def test_matrix_market_complex_and_csr(spark, tmp_path):
         matrix_market.header(spark, _file(tmp_path, "x.mtx", "1 2 3\n"))
 
 
+@pytest.mark.parametrize(("symmetry", "sign"), [("symmetric", 1.0), ("skew-symmetric", -1.0)])
+def test_half_of_a_symmetric_matrix_is_written(spark, tmp_path, symmetry, sign):
+    cells = [(0, 0, 0.0), (2, 1, 5.0), (1, 2, 5.0 * sign), (3, 0, -1.5), (0, 3, -1.5 * sign)]
+    cells = cells if sign > 0 else cells[1:]
+    path = f"file://{tmp_path}/half"
+    matrix_market.write_matrix_market(spark.createDataFrame(cells, "row long, col long, w double"), path, 4, 4, symmetry=symmetry)
+    assert matrix_market.header(spark, path) == ("real", symmetry, 4, 4, len(cells) - 2)
+    assert sorted(map(tuple, matrix_market.read_matrix_market(spark, path).collect())) == sorted(cells)
+    with pytest.raises(ValueError, match="cannot write"):
+        matrix_market.write_matrix_market(spark.createDataFrame(cells, "row long, col long, w double"), path, 4, 4, symmetry="hermitian")
+
+
 def test_matrix_market_in_small_splits(spark, tmp_path):
     cells = [(i, (7 * i) % 50, float(i)) for i in range(400)]
     frame = spark.createDataFrame(cells, "row long, col long, w double")
