@@ -212,6 +212,8 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 # -- a kept index: build once, then apply insertions and deletions ------------------------------------
 
+#: Live keys that a bucket of a kept index holds on average at most once fit_index() has seen it.
+BUCKET_KEYS = 100_000
 _INDEX = "bucket int, buckets int, tags binary, refs binary, keys array<binary>"
 
 
@@ -236,7 +238,7 @@ def _bucket(buckets: int):
 def build_index(keys: DataFrame, buckets: int) -> DataFrame:
     """An index table of one cuckoo filter per bucket over the distinct keys of keys(key).
 
-    Choose buckets so that keys / buckets stays around a hundred thousand.
+    Choose buckets so that keys / buckets stays below BUCKET_KEYS; fit_index() sees to it as the index grows. Null keys are left out.
     """
     def build(table: pa.Table) -> pa.Table:
         index = CuckooIndex()
@@ -244,26 +246,45 @@ def build_index(keys: DataFrame, buckets: int) -> DataFrame:
             index.add(key)
         return _dump(table["bucket"][0].as_py(), index)
 
-    return keys.select("key").distinct().select(_bucket(buckets), "key").groupBy("bucket").applyInArrow(build, _INDEX)
+    return keys.select("key").where("key IS NOT NULL").distinct().select(_bucket(buckets), "key").groupBy("bucket").applyInArrow(build, _INDEX)
+
+
+def live_keys(index: DataFrame) -> DataFrame:
+    """(key) of all keys that the index holds."""
+    return index.select(F.explode("keys").alias("key")).where("key IS NOT NULL")
+
+
+def fit_index(index: DataFrame, buckets: int, most: int | None = None) -> tuple[DataFrame, int]:
+    """The index and its number of buckets, refilled from its stored keys into twice as many, or four times, and so on, if buckets hold over most (BUCKET_KEYS) live keys on average.
+
+    Keys are digests, so buckets fill evenly. Call it after update_index(), so that no task outgrows its memory however long the index is kept; an index with few enough keys comes back as it is. An
+    empty one stays empty.
+    """
+    held = index.agg(F.sum(F.size(F.filter("keys", lambda k: k.isNotNull())))).first()[0] or 0
+    wanted = buckets
+    while held > wanted * (most or BUCKET_KEYS):
+        wanted *= 2
+    return (index, buckets) if wanted == buckets else (build_index(live_keys(index), wanted), wanted)
 
 
 def update_index(index: DataFrame, changes: DataFrame, buckets: int) -> DataFrame:
-    """The index after changes(key, live): live rows are inserted, others deleted. A key may occur once in changes."""
+    """The index after changes(key, live): live rows are inserted, others (also null ones) deleted. A key may occur once in changes; null keys change nothing."""
     def update(old: pa.Table, new: pa.Table) -> pa.Table:
         filt = _load(old.to_pylist()[0]) if old.num_rows else CuckooIndex()
         for key, live in zip(new["key"].to_pylist(), new["live"].to_pylist(), strict=True):
             filt.add(key) if live else filt.remove(key)
         return _dump((old if old.num_rows else new)["bucket"][0].as_py(), filt)
 
+    changes = changes.where("key IS NOT NULL")
     return index.groupBy("bucket").cogroup(changes.select(_bucket(buckets), "key", "live").groupBy("bucket")).applyInArrow(update, _INDEX)
 
 
 def probe_index(index: DataFrame, keys: DataFrame, buckets: int) -> DataFrame:
-    """(key, live) per distinct key of keys(key): whether the index holds it, verified against its stored keys."""
+    """(key, live) per distinct key of keys(key): whether the index holds it, verified against its stored keys. Null keys are not asked for."""
     def probe(old: pa.Table, new: pa.Table) -> pa.Table:
         filt = _load(old.to_pylist()[0]) if old.num_rows else CuckooIndex()
         asked = new["key"].to_pylist()
         return pa.table({"key": pa.array(asked, pa.binary()), "live": pa.array([filt.find(k) >= 0 for k in asked], pa.bool_())})
 
-    asked = keys.select("key").distinct().select(_bucket(buckets), "key")
+    asked = keys.select("key").where("key IS NOT NULL").distinct().select(_bucket(buckets), "key")
     return index.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(probe, "key binary, live boolean")

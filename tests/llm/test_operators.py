@@ -400,6 +400,24 @@ def test_kept_index(spark):
     assert got == {k: 50 <= i < 200 or i >= 250 for i, (k,) in enumerate(keys)}
 
 
+def test_kept_index_grows_from_its_stored_keys(spark):
+    """Buckets double until they hold few enough live keys; every key stays live or dead, before and after further changes."""
+    keys = [(hashlib.sha256(b"%d" % i).digest(),) for i in range(400)]
+    frame = lambda rows: spark.createDataFrame(rows, "key binary, live boolean")
+    index = exact_dedup.build_index(spark.createDataFrame([*keys[:200], (None,)], "key binary"), 2)
+    index = exact_dedup.update_index(index, frame([(k, False) for (k,) in keys[:40]] + [(k, True) for (k,) in keys[200:300]] + [(None, True)]), 2)
+    same, two = exact_dedup.fit_index(index, 2, 200)
+    assert two == 2 and same is index
+    grown, buckets = exact_dedup.fit_index(index, 2, 40)
+    assert buckets == 8 and grown.count() == 8 and exact_dedup.live_keys(grown).count() == 260
+    assert grown.agg(F.max(F.size("keys"))).first()[0] < 80
+    grown = exact_dedup.update_index(grown, frame([(k, False) for (k,) in keys[40:60]] + [(k, True) for (k,) in keys[350:]]), buckets)
+    got = {bytes(r.key): r.live for r in exact_dedup.probe_index(grown, spark.createDataFrame([*keys, (None,)], "key binary"), buckets).collect()}
+    assert got == {k: 60 <= i < 300 or i >= 350 for i, (k,) in enumerate(keys)}
+    empty = exact_dedup.build_index(spark.createDataFrame([], "key binary"), 4)
+    assert exact_dedup.fit_index(empty, 4)[1] == 4 and exact_dedup.live_keys(empty).count() == 0
+
+
 # -- 6 ------------------------------------------------------------------------------------------------
 
 
