@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import nearest_power_of_two, uniform
+from ..session import stash
+from .segment import join_split
 from .tree import JointTree
 
 
@@ -18,9 +20,17 @@ def index_features(items: DataFrame, by: str = "dataname", value: str = "idx") -
 
 
 def best_rows(rows: DataFrame, by: list[str], score: str, ties: list[str]) -> DataFrame:
-    """The row of the largest score per group; of equal ones the first by ties."""
-    ranked = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc(score), *ties))
-    return rows.withColumn("_place", ranked).where("_place = 1").drop("_place")
+    """The row of the largest score, a number, per group; of equal ones the first by ties. NaN is the largest score, null the smallest.
+
+    One aggregate: each task keeps its best row of a group, so a group of any size moves one row a task.
+    """
+    worth = F.col(score)
+    if rows.schema[score].dataType.typeName() in ("byte", "short", "integer", "long"):
+        falling = [F.bitwise_not(worth)]  # unlike a minus it can't overflow
+    else:
+        falling = [~F.isnan(worth), -worth]
+    best = F.min_by(F.struct(*rows.columns), F.struct(worth.isNull(), *falling, *ties))
+    return rows.groupBy(*by).agg(best.alias("_best")).select("_best.*")
 
 
 def summarize(rows: DataFrame, by: list[str], value: str) -> DataFrame:
@@ -47,8 +57,14 @@ def share_of_total(rows: DataFrame, by: list[str], label: str, value: str, named
 
 
 def ratio_to_first(rows: DataFrame, by: list[str], value: str, order: list[Column], out: str = "ratio") -> DataFrame:
-    """rows with the value of the group's first row over the row's own."""
-    return rows.withColumn(out, F.first(value).over(Window.partitionBy(*by).orderBy(*order)) / F.col(value))
+    """rows with the value of the group's first row, in ascending order, over the row's own.
+
+    First values are aggregated, one a group, and joined back; where there are too many to broadcast, hot groups are split. Nulls in by are a group, nulls in order come first.
+    """
+    group = F.struct(*by)
+    firsts = stash(rows.groupBy(group.alias("_group")).agg(F.min_by(value, F.struct(*order)).alias("_first")), "firsts")
+    found = join_split(rows.withColumn("_group", group), firsts, "_group")
+    return found.select(*rows.columns, (F.col("_first") / F.col(value)).alias(out))
 
 
 def melt(rows: DataFrame, ids: list[str], values: list[str], name: str = "variable", value: str = "value") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from . import fixtures as fx
 from .functions import scalars, vectors
-from .operators import analytics, augment, compare, grad, graph, layers, sddmm, segment, sparse, spmm
+from .operators import analytics, augment, compare, grad, graph, layers, ranks, sddmm, segment, sparse, spmm
 from .operators.stored import StoredGraph
 from .plans.layout import dim_of
 from .session import scratch, stash, table
@@ -392,6 +392,22 @@ _BLOCKS = f"""WITH {_LINKS}, B AS (SELECT src AS "row", dst AS col, src // 8 AS
     W AS (SELECT win, place // 8 AS blk, max(place % 8) + 1 AS width FROM B GROUP BY 1, 2)"""
 
 
+def _windowed(spark: SparkSession, d: str) -> DataFrame:
+    return fx.edges(spark, d, fx.SQUARE).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.expr("src div 8").alias("win"))
+
+
+@query(f'WITH {_e(fx.SQUARE)} SELECT src AS "row", dst AS col, dense_rank() OVER (PARTITION BY src // 8 ORDER BY dst) - 1 AS place FROM E')
+def column_ranks(spark: SparkSession, d: str) -> DataFrame:
+    """The place of every entry's column among the distinct columns of its window of 8 rows."""
+    return ranks.dense_ranks(_windowed(spark, d), ["win"], "col", "place").select("row", "col", "place")
+
+
+@query(f"WITH {_e(fx.SQUARE)}, N AS (SELECT src // 8 AS win, count(DISTINCT dst) AS n FROM E GROUP BY 1) SELECT win, (sum(n) OVER (ORDER BY win) - n)::BIGINT AS ptr_begin, (sum(n) OVER (ORDER BY win))::BIGINT AS ptr_end FROM N")
+def column_offsets(spark: SparkSession, d: str) -> DataFrame:
+    """Running numbers of distinct columns over the windows of 8 rows."""
+    return ranks.distinct_offsets(_windowed(spark, d), ["win"], "col")
+
+
 @query(_BLOCKS + """, C AS (SELECT win, place // 8 AS blk, "row" % 8 AS r, place % 8 AS slot FROM B)
     SELECT W.win, W.blk, W.width, i.i AS k, (CASE WHEN C.r IS NULL THEN 0 ELSE 1 END)::BIGINT AS value
     FROM W JOIN (SELECT unnest(range(64)) AS i) i ON i.i < 8 * W.width LEFT JOIN C ON C.win = W.win AND C.blk = W.blk AND C.r = i.i // W.width AND C.slot = i.i % W.width""")

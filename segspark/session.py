@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +50,35 @@ def _delete(spark: SparkSession, path: str, on_exit: bool) -> None:
     fs.deleteOnExit(jpath) if on_exit else fs.delete(jpath, True)
 
 
+#: Paths handed out within the open scratch_space().
+_spaces: ContextVar[list[str] | None] = ContextVar("spaces", default=None)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder; it is deleted when the driver's JVM exits."""
+    """A new path in the shared folder; it is deleted when the scratch_space() that is open ends, or when the driver's JVM exits."""
     path = f"{shared_dir(spark)}/segspark-{name}-{uuid.uuid4().hex}"
     _delete(spark, path, on_exit=True)
+    if (taken := _spaces.get()) is not None:
+        taken.append(path)
     return path
 
 
+@contextmanager
+def scratch_space(spark: SparkSession) -> Iterator[None]:
+    """A with block whose intermediate tables go when it ends, so that a driver of many queries doesn't fill the shared folder.
+
+    Results are lazy and read these tables: collect them or write them elsewhere within the block. Blocks may be nested; each deletes its own.
+    """
+    taken: list[str] = []
+    token = _spaces.set(taken)
+    try:
+        yield
+    finally:
+        _spaces.reset(token)
+        for path in taken:
+            _delete(spark, path, on_exit=False)
+
+
 def stash(df: DataFrame, name: str = "table") -> DataFrame:
     """Write df as Parquet in the shared folder and return the written table.
 
