@@ -11,12 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.vectors import dot
-from ..session import stash, will_broadcast
+from ..session import stash, stashed, will_broadcast
 from .segment import SHARE, hubs
 from .sparse import csr_to_coo
 
 #: Bytes of vectors of either side that one cell of the grid holds, and edges whose products are worked out at once.
-BYTES, EDGES = 1 << 26, 1 << 14
+BYTES, EDGES = 1 << 26, 1 << 11
+#: Bytes of vectors that may be sent for an edge before the grid has fewer cells than the cluster has partitions.
+EDGE_BYTES = 32
+#: More parts than a cell is ever split into.
+_PARTS = 1 << 20
 
 
 def grid(left_bytes: int, right_bytes: int, cells: int) -> tuple[int, int]:
@@ -84,23 +88,34 @@ def sddmm(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return joined.select(*edges.columns, dot(F.col("_a"), F.col("_b")).alias("value"))
 
 
+def cells_for(edges: int, left_bytes: int, right_bytes: int, partitions: int, cores: int) -> int:
+    """Cells of the grid: SHARE a partition, but no more than keep the vectors sent at about EDGE_BYTES an edge, and so many in any case that every core has some."""
+    sides = EDGE_BYTES * edges / max(1.0, 2 * (left_bytes * right_bytes) ** 0.5)
+    return max(1, min(SHARE * partitions, max(int(sides**2), SHARE * cores)))
+
+
 def grid_sddmm(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """sddmm() over a grid of node blocks.
 
     Nodes are dealt into blocks by a hash, edges to the cells of the grid of these blocks: a cell holds its two blocks and its edges pass by. So a vector is sent once for every row or column of the grid, not
-    once for every edge, and shuffled bytes grow with edges + side * nodes. Hubs are spread over a row or column; a cell with a large share of the edges is split.
+    once for every edge, and the grid has so few cells that this stays in proportion to the edges. Hubs are spread over a row or column; a cell with more than twice its share of the edges is split.
     """
     spark = edges.sparkSession
-    cells = F.coalesce(F.sum(F.size("x").cast("long")), F.lit(0))
-    of_left = left.agg(cells).first()[0]
-    of_right = of_left if right is left else right.agg(cells).first()[0]
-    rows, columns = grid(8 * of_left, 8 * of_right, SHARE * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    block = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n)).cast("int")
-    placed = edges.select((block("dst", rows) * columns + block("src", columns)).alias("_cell"), F.struct(*edges.columns).alias("_edge"))
-    placed = stash(placed, "placed")
-    hot = stash(hubs(placed, "_cell"), "hot")
-    part = F.pmod(F.xxhash64("_edge"), F.coalesce("_parts", F.lit(1)).cast("long")).cast("int")
-    placed = placed.join(F.broadcast(hot), "_cell", "left").select("_cell", part.alias("_part"), F.lit(2).alias("_kind"), "_edge")  # fewer cells than hubs() says
+    size = F.coalesce(F.sum(F.size("x").cast("long")), F.lit(0))
+    of_left = left.agg(size).first()[0]
+    of_right = of_left if right is left else right.agg(size).first()[0]
+    edges = stashed(edges, "edges")
+    cells = cells_for(edges.count(), 8 * of_left, 8 * of_right, int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows, columns = grid(8 * of_left, 8 * of_right, cells)
+    block = lambda c, n: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(n))
+    names = edges.columns
+    placed = edges.select((block("dst", rows) * columns + block("src", columns)).alias("_cell"), *(F.col(c).alias(f"_edge_{c}") for c in names))
+    hot = stash(hubs(placed, "_cell", max(1, rows * columns // 2)), "hot")
+    key = lambda part, kind: ((F.col("_cell") * _PARTS + part) * 4 + kind).alias("_key")
+    part = F.pmod(F.xxhash64(*placed.columns), F.coalesce("_parts", F.lit(1)).cast("long"))
+    placed = placed.join(F.broadcast(hot), "_cell", "left")  # fewer cells than hubs() says
+    # an empty list, because Arrow's writer takes time for every null list before in the batch whenever a row is added
+    placed = placed.select(key(part, 2), F.array().cast("array<double>").alias("_x"), *(f"_edge_{c}" for c in names))
 
     def sent(nodes: DataFrame, kind: int) -> DataFrame:
         id_, x = F.col("id").cast("long").alias("_id"), F.col("x").cast("array<double>").alias("_x")
@@ -108,39 +123,40 @@ def grid_sddmm(edges: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame
             to = F.transform(F.sequence(F.lit(0), F.lit(columns - 1)), lambda c: block("id", rows) * columns + c)
         else:
             to = F.transform(F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: r * columns + block("id", columns))
-        cells = nodes.select(F.explode(to).alias("_cell"), id_, x)
-        parts = F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))
-        return cells.join(F.broadcast(hot), "_cell", "left").select("_cell", parts.alias("_part"), F.lit(kind).alias("_kind"), "_id", "_x")
+        cells = nodes.select(F.explode(to).alias("_cell"), id_, x).join(F.broadcast(hot), "_cell", "left")
+        return cells.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).select(key(F.col("_part"), kind), "_id", "_x")
 
-    names = edges.columns
     at_dst, at_src = names.index("dst"), names.index("src")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, held, blocks = None, ([], []), None
         for batch in batches:
-            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in (0, 1, 2)], axis=1)
-            cuts = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            keys = batch.column(0).to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
             for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(keys)], strict=True):
                 if s == e:
                     continue
-                if cell != (keys[s, 0], keys[s, 1]):
-                    cell, held, blocks = (keys[s, 0], keys[s, 1]), ([], []), None
-                if keys[s, 2] < 2:
-                    held[keys[s, 2]].append((batch.column(3).slice(s, e - s), batch.column(4).slice(s, e - s)))
+                if cell != keys[s] >> 2:
+                    cell, held, blocks = keys[s] >> 2, ([], []), None
+                kind = keys[s] & 3
+                if kind < 2:
+                    held[kind].append((batch.column(1).slice(s, e - s), batch.column(2).slice(s, e - s)))
                     continue
                 if blocks is None:
                     blocks, held = tuple(Block(h) for h in held), ([], [])
-                columns_ = batch.column(5).slice(s, e - s).flatten()
+                columns_ = [batch.column(3 + i).slice(s, e - s) for i in range(len(names))]
                 ends = [columns_[i].cast(pa.int64()) for i in (at_dst, at_src)]
                 whole = np.asarray(ends[0].is_valid()) & np.asarray(ends[1].is_valid())
                 dst, src = (c.fill_null(0).to_numpy() for c in ends)
                 at, value = inner_products(*blocks, dst, src)
                 keep = whole[at]
-                at, value = pa.array(at[keep]), value.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in columns_), value], names=[*names, "value"])
+                if len(at) < len(dst) or not keep.all():
+                    at, value = pa.array(at[keep]), value.filter(pa.array(keep))
+                    columns_ = [c.take(at) for c in columns_]
+                yield pa.RecordBatch.from_arrays([*columns_, value], names=[*names, "value"])
 
-    rows_ = sent(left, 0).unionByName(sent(right, 1)).unionByName(placed, allowMissingColumns=True).select("_cell", "_part", "_kind", "_id", "_x", "_edge")
-    dealt = rows_.repartition("_cell", "_part").sortWithinPartitions("_cell", "_part", "_kind")
+    rows_ = sent(left, 0).unionByName(sent(right, 1)).unionByName(placed, allowMissingColumns=True).select("_key", "_id", "_x", *(f"_edge_{c}" for c in names))
+    dealt = rows_.repartition(F.shiftright("_key", 2)).sortWithinPartitions("_key")
     return dealt.mapInArrow(run, StructType([*edges.schema.fields, StructField("value", DoubleType())]))
 
 

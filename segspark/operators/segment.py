@@ -57,12 +57,13 @@ def scatter_columns(vectors: DataFrame, index: DataFrame, reduce: str = "sum") -
 SAMPLE, SHARE = 16, 4
 
 
-def hubs(rows: DataFrame, key: str) -> DataFrame:
+def hubs(rows: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """(key, _parts): the keys that hold so large a share of rows that one task would be slowed by them, and into how many parts they go.
 
-    Shares come from a sample of the key column, which decides nothing but how rows are dealt. There are fewer than SHARE * spark.sql.shuffle.partitions such keys, however large the table.
+    Shares come from a sample of the key column, which decides nothing but how rows are dealt. There are fewer than SHARE * spark.sql.shuffle.partitions such keys, however large the table;
+    most, if given, takes that number's place.
     """
-    most = SHARE * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = most or SHARE * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     counts = stash(rows.select(key).sample(1 / SAMPLE, seed=1).groupBy(key).agg(F.count("*").alias("_n")), "shares")
     total = counts.agg(F.sum("_n")).first()[0] or 0
     return counts.where(F.col("_n") * most > total).select(key, F.ceil(F.col("_n") * most / F.lit(max(total, 1))).cast("int").alias("_parts"))

@@ -93,6 +93,11 @@ def stash(df: DataFrame, name: str = "table") -> DataFrame:
     return written
 
 
+def stashed(df: DataFrame, name: str = "table") -> DataFrame:
+    """df itself if stash() returned it, else what stash() makes of it."""
+    return df if getattr(df, "_stashed_at", None) else stash(df, name)
+
+
 def planned_bytes(df: DataFrame) -> int:
     """The size of df as the optimizer estimates it."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

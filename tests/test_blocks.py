@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from segspark import fixtures as fx
-from segspark.operators import segment, sparse
+from segspark.operators import sddmm, segment, sparse
+from segspark.operators.segment import hubs
 
 
 @pytest.fixture(scope="module")
@@ -44,3 +45,20 @@ def test_segmented_scan_crosses_blocks(hot):
         group = list(group)
         want |= dict(zip((r.pos for r in group), itertools.accumulate(r.v for r in group), strict=True))
     assert {r.pos: r.running for r in segment.segmented_scan(hot, block=200).collect()} == want
+
+
+def test_vectors_sent_stay_in_proportion_to_edges():
+    """Ten times the edges, nodes and partitions: ten times the bytes of vectors, not ten times as many for each row and column of a larger grid."""
+    sent = []
+    for times in (1, 10, 100):
+        edges, size = 50_000 * times, 500_000 * times
+        rows, columns = sddmm.grid(size, size, sddmm.cells_for(edges, size, size, 100 * times, 8))
+        sent.append(size * (rows + columns) / times)
+    assert max(sent) <= 1.5 * min(sent)
+
+
+def test_cells_of_average_size_are_not_split(spark):
+    rows = spark.range(64_000).selectExpr("id % 32 AS cell")
+    assert hubs(rows, "cell", 16).count() == 0
+    hot = rows.union(spark.range(30_000).selectExpr("0L AS cell"))
+    assert [r.cell for r in hubs(hot, "cell", 16).collect()] == [0]
