@@ -110,8 +110,15 @@ def csr_to_csc(rows: DataFrame, entries: DataFrame, num_cols: int | DataFrame |
 
 
 def symmetrize(edges: DataFrame) -> DataFrame:
-    """(src, dst) with every mirrored edge, each once."""
-    return edges.select("src", "dst").union(edges.select("dst", "src")).distinct()
+    """(src, dst) with every mirrored edge, each once.
+
+    Edges are read once, and pairs are made distinct regardless of direction, before the mirror images double their number. An unknown end is a value like any other.
+    """
+    forward = F.col("src").isNull() | F.coalesce(F.col("src") <= F.col("dst"), F.lit(False))
+    ends = [F.when(forward, F.col(a)).otherwise(F.col(b)) for a, b in (("src", "dst"), ("dst", "src"))]
+    pairs = edges.select(ends[0].alias("src"), ends[1].alias("dst")).distinct()
+    one, other = F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return pairs.select(F.inline(F.when(F.col("src").eqNullSafe(F.col("dst")), F.array(one)).otherwise(F.array(one, other))))
 
 
 def sort_edges(edges: DataFrame, partitions: int | None = None) -> DataFrame:

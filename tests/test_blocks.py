@@ -62,3 +62,17 @@ def test_cells_of_average_size_are_not_split(spark):
     assert hubs(rows, "cell", 16).count() == 0
     hot = rows.union(spark.range(30_000).selectExpr("0L AS cell"))
     assert [r.cell for r in hubs(hot, "cell", 16).collect()] == [0]
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_symmetrize_reads_edges_once_and_moves_a_pair_once(spark):
+    rows = [(1, 2), (2, 1), (3, 3), (None, 4), (4, None), (None, None), (5, 6), (5, 6)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    found = sparse.symmetrize(edges)
+    assert exchanges(found) == 1
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {*rows, *((b, a) for a, b in rows)}
+    assert exchanges(sparse.symmetrize(edges.distinct())) <= 2
