@@ -32,8 +32,8 @@ def numbered_edges(spark: SparkSession, d: str, dst: str = "l_suppkey") -> DataF
     """edges() with eid, the row's number in a total order of lineitem."""
     n = node_count(spark, d)
     order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_shipdate", "l_extendedprice"]
-    rows = number_rows(table(spark, d, "lineitem").select(*order), "eid", order)
-    return rows.select("eid", (F.col("l_partkey") % n).alias("src"), F.expr(dst.format(n=n)).cast("long").alias("dst"), F.col("l_quantity").cast("double").alias("w"))
+    ends = [(F.col("l_partkey") % n).alias("src"), F.expr(dst.format(n=n)).cast("long").alias("dst"), F.col("l_quantity").cast("double").alias("w")]
+    return number_rows(table(spark, d, "lineitem").select(*order), "eid", order, keep=ends).select("eid", "src", "dst", "w")
 
 
 def links(spark: SparkSession, d: str) -> DataFrame:

@@ -108,14 +108,14 @@ def segment_boundaries(items: DataFrame, block: int = 1 << 16) -> DataFrame:
     return rows.select(*items.columns, (~F.col("idx").eqNullSafe(before) | (F.col("_first") & F.col("_known").isNull())).alias("is_start"))
 
 
-def deal(rows: DataFrame, order: list[str], block: int = 1 << 16) -> DataFrame:
+def deal(rows: DataFrame, order: list[str], block: int = 1 << 16, keep: list[str | Column] | None = None) -> DataFrame:
     """rows in the given order with _at, which grows in this order, and _block: at most block consecutive rows have one, whatever the keys' shares.
 
     Rows are dealt by ranges of the whole order to as many partitions as the cluster has set for shuffles, sorted there, and numbered as they stream: the upper bits of _at are the
-    partition, the others the place in it. Written once, because ranges come from a sample and must not be drawn anew for the second phase.
+    partition, the others the place in it. Written once, because ranges come from a sample and must not be drawn anew for the second phase; of the columns only those in keep, if given.
     """
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
-    return stash(placed.withColumn("_block", F.expr(f"_at div {block}")), "dealt")
+    return stash(placed.select(*(keep or rows.columns), "_at", F.expr(f"_at div {block}").alias("_block")), "dealt")
 
 
 #: Bits of _at below the partition.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stash
@@ -25,9 +25,12 @@ def running_sum(rows: DataFrame, value, out: str, order: list[str], inclusive: b
     return summed.drop("_at", "_block", "_value", "_local", "_base")
 
 
-def number_rows(rows: DataFrame, out: str, order: list[str], block: int = BLOCK) -> DataFrame:
-    """rows with their position from 0 in the given order: the place that each has in its partition of deal(), and the number of rows in the partitions before. One range sort, no window over rows."""
-    dealt = deal(rows, order, block).drop("_block").withColumn("_block_range", F.shiftright("_at", _PLACE))
+def number_rows(rows: DataFrame, out: str, order: list[str], block: int = BLOCK, keep: list[str | Column] | None = None) -> DataFrame:
+    """rows with their position from 0 in the given order: the place that each has in its partition of deal(), and the number of rows in the partitions before. One range sort, no window over rows.
+
+    With keep, only these columns, worked out after the sort, are written and returned beside the position.
+    """
+    dealt = deal(rows, order, block, *([keep] if keep else [])).drop("_block").withColumn("_block_range", F.shiftright("_at", _PLACE))
     before = Window.orderBy("_block_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("_block_range").agg(F.count("*").alias("_n"))
     bases = counts.select("_block_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
@@ -67,7 +70,7 @@ def csr_entries(edges: DataFrame, row: str = "dst", col: str = "src") -> DataFra
     """(pos, col, w): the entries in order of row, then column, then weight, numbered from 0."""
     weights = F.coalesce("w", F.lit(1.0)) if "w" in edges.columns else F.lit(1.0)
     rows = edges.select(F.col(row).alias("_row"), F.col(col).alias("col"), weights.alias("w"))
-    return number_rows(rows, "pos", ["_row", "col", "w"]).select("pos", "col", "w")
+    return number_rows(rows, "pos", ["_row", "col", "w"], keep=["col", "w"]).select("pos", "col", "w")
 
 
 def _cut(spans: DataFrame, wide: int) -> DataFrame:

@@ -76,3 +76,12 @@ def test_symmetrize_reads_edges_once_and_moves_a_pair_once(spark):
     got = [tuple(r) for r in found.collect()]
     assert len(got) == len(set(got)) and set(got) == {*rows, *((b, a) for a, b in rows)}
     assert exchanges(sparse.symmetrize(edges.distinct())) <= 2
+
+
+def test_numbering_writes_only_what_is_kept(hot, monkeypatch):
+    seen, deal = [], sparse.deal
+    monkeypatch.setattr(sparse, "deal", lambda *a: seen.append(deal(*a)) or seen[-1])
+    got = sparse.number_rows(hot, "place", ["idx", "pos"], keep=["v"]).collect()
+    assert set(seen[0].columns) == {"v", "_at", "_block"}
+    rows = sorted(hot.collect(), key=lambda r: (r.idx, r.pos))
+    assert [r.v for r in sorted(got, key=lambda r: r.place)] == [r.v for r in rows]
