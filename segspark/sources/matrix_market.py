@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.sparse import coo_to_csr, csr_entries
+from ..session import stash
 
 FIELDS = ("real", "double", "complex", "integer", "pattern")
 SYMMETRIES = ("general", "symmetric", "skew-symmetric", "hermitian")
@@ -55,13 +56,15 @@ def read_matrix_market(spark: SparkSession, path: str, expand: bool = True) -> D
         mirror = F.struct((-F.col("w.re")).alias("re"), (-F.col("w.im")).alias("im")) if field == "complex" else -mirror
     if symmetry == "hermitian" and field == "complex":
         mirror = F.struct(F.col("w.re").alias("re"), (-F.col("w.im")).alias("im"))
-    return coo.union(coo.where("row <> col").select("col", "row", mirror))
+    entry = F.struct("row", "col", "w")
+    image = F.struct(F.col("col").alias("row"), F.col("row").alias("col"), mirror.alias("w"))
+    return coo.select(F.inline(F.when(F.col("row") != F.col("col"), F.array(entry, image)).otherwise(F.array(entry))))
 
 
 def read_matrix_market_csr(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Row pointers and entries of a file; the size line gives the number of rows."""
     rows = header(spark, path)[2]
-    coo = read_matrix_market(spark, path)
+    coo = stash(read_matrix_market(spark, path), "coo")
     return coo_to_csr(coo, "row", rows), csr_entries(coo, "row", "col")
 
 

@@ -97,3 +97,25 @@ def test_windowed_degree(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert sorted((r.start.minute, r.id, r.degree) for r in spark.sql("SELECT * FROM degrees").collect()) == [(0, 1, 2), (1, 1, 1), (1, 2, 1)]
+
+
+def test_mirror_images_cost_no_second_reading(spark, tmp_path):
+    coo = spark.createDataFrame([(2, 0, 1.5), (2, 2, 4.0), (3, 1, -2.0)], "row long, col long, w double")
+    for symmetry, sign in (("symmetric", 1), ("skew-symmetric", -1)):
+        path = f"file://{tmp_path}/{symmetry}"
+        matrix_market.write_matrix_market(coo, path, 4, 4, "real", symmetry)
+        found = matrix_market.read_matrix_market(spark, path)
+        halves = matrix_market.read_matrix_market(spark, path, expand=False)
+        scans = [d._jdf.queryExecution().optimizedPlan().toString().count("Relation [") for d in (found, halves)]
+        assert scans[0] == scans[1] > 0
+        want = {(2, 0, 1.5), (3, 1, -2.0), (0, 2, sign * 1.5), (1, 3, sign * -2.0)} | ({(2, 2, 4.0)} if sign > 0 else set())
+        assert {tuple(r) for r in found.collect()} == want
+
+
+def test_compressed_rows_read_the_text_once(spark, tmp_path):
+    coo = spark.createDataFrame([(1, 0, 1.5), (2, 2, 4.0)], "row long, col long, w double")
+    matrix_market.write_matrix_market(coo, f"file://{tmp_path}/m", 3, 3)
+    rows, entries = matrix_market.read_matrix_market_csr(spark, f"file://{tmp_path}/m")
+    assert "text" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert sorted(tuple(r) for r in rows.collect()) == [(0, 0, 0), (1, 0, 1), (2, 1, 2)]
+    assert sorted(tuple(r) for r in entries.collect()) == [(0, 0, 1.5), (1, 2, 4.0)]
