@@ -10,6 +10,8 @@ from .segment import _PLACE, bases_of, deal, ids_below
 
 #: Running sums are taken in blocks of about so many consecutive rows.
 BLOCK = 1 << 16
+#: Cells of a tile that are aggregates of one plan.
+CELLS = 64
 
 
 def running_sum(rows: DataFrame, value, out: str, order: list[str], inclusive: bool = True, block: int = BLOCK) -> DataFrame:
@@ -135,21 +137,32 @@ def save_sorted(edges: DataFrame, table: str, buckets: int) -> None:
     edges.write.bucketBy(buckets, "dst").sortBy("dst", "src").mode("overwrite").saveAsTable(table)
 
 
-def block_columns(edges: DataFrame, window: int, wide: int) -> DataFrame:
+def block_columns(edges: DataFrame, window: int, wide: int, unique: bool = False) -> DataFrame:
     """Entries (row, col, w) with win, place (rank of the column among the window's), blk and slot within the block.
 
-    Duplicate entries are added up first. A window is as many rows as window says; the last may be shorter.
+    Duplicate entries are added up first, unless the caller says that there are none (unique). A window is as many rows as window says; the last may be shorter.
     """
-    merged = edges.groupBy("row", "col").agg(F.sum(F.coalesce("w", F.lit(1.0))).alias("w"))
+    weight = F.coalesce("w", F.lit(1.0)).alias("w")
+    merged = edges.select("row", "col", weight) if unique else edges.groupBy("row", "col").agg(F.sum(weight).alias("w"))
     place = F.dense_rank().over(Window.partitionBy("win").orderBy("col")) - 1
     placed = merged.withColumn("win", F.floor(F.col("row") / window)).withColumn("place", place.cast("long"))
     return placed.withColumn("blk", F.floor(F.col("place") / wide)).withColumn("slot", F.col("place") % wide)
 
 
-def block_format(edges: DataFrame, window: int = 8, wide: int = 8) -> DataFrame:
+def block_format(edges: DataFrame, window: int = 8, wide: int = 8, unique: bool = False) -> DataFrame:
     """Tiles (win, blk, width, cols, vals): vals holds window rows of width values; the last tile of a window may be narrower."""
-    placed = block_columns(edges, window, wide)
+    placed = block_columns(edges, window, wide, unique)
     widths = F.max("slot") + 1
+    if window * wide <= CELLS:  # one plain aggregate a cell: no lists, no maps, all in generated code
+        cell = (F.col("row") % window) * wide + F.col("slot")
+        of_cells = [F.coalesce(F.max(F.when(cell == i, F.col("w"))), F.lit(0.0)).alias(f"_{i}") for i in range(window * wide)]
+        columns = F.slice(F.array(*[F.max(F.when(F.col("slot") == s, F.col("col"))) for s in range(wide)]), F.lit(1), widths.cast("int"))
+        tiles = placed.groupBy("win", "blk").agg(widths.alias("width"), columns.alias("cols"), *of_cells)
+        kept = lambda n: F.array(*[F.col(f"_{r * wide + s}") for r in range(window) for s in range(n)])
+        vals = kept(wide)
+        for n in range(1, wide):
+            vals = F.when(F.col("width") == n, kept(n)).otherwise(vals)
+        return tiles.select("win", "blk", "width", "cols", vals.alias("vals"))
     cells = F.map_from_entries(F.collect_list(F.struct(((F.col("row") % window) * wide + F.col("slot")).alias("at"), "w")))
     cols = F.transform(F.array_sort(F.collect_set(F.struct("slot", "col"))), lambda s: s["col"])
     tiles = placed.groupBy("win", "blk").agg(widths.alias("width"), cols.alias("cols"), cells.alias("_cells"))

@@ -413,7 +413,7 @@ def column_offsets(spark: SparkSession, d: str) -> DataFrame:
     FROM W JOIN (SELECT unnest(range(64)) AS i) i ON i.i < 8 * W.width LEFT JOIN C ON C.win = W.win AND C.blk = W.blk AND C.r = i.i // W.width AND C.slot = i.i % W.width""")
 def block_format(spark: SparkSession, d: str) -> DataFrame:
     edges = fx.links(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
-    return _long(sparse.block_format(edges, 8, 8).withColumnRenamed("vals", "x"), ("win", "blk", "width"))
+    return _long(sparse.block_format(edges, 8, 8, unique=True).withColumnRenamed("vals", "x"), ("win", "blk", "width"))
 
 
 @query(_BLOCKS + f", N AS (SELECT win, count(DISTINCT col) AS n FROM B GROUP BY 1) SELECT g.win, (sum(coalesce(n, 0)) OVER (ORDER BY g.win) - coalesce(n, 0))::BIGINT AS ptr_begin, (sum(coalesce(n, 0)) OVER (ORDER BY g.win))::BIGINT AS ptr_end FROM (SELECT unnest(range(({_N} + 16 - {_N} % 16 + 7) // 8)) AS win) g LEFT JOIN N ON N.win = g.win")
@@ -425,7 +425,7 @@ def block_pointers(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {_X}, {_LINKS}, P AS (SELECT S.src AS id, X.k, sum(X.v) AS v FROM S JOIN X ON X.id = S.dst GROUP BY 1, 2) " + _filled("P", _DIM, ids=_N))
 def blocked_spmm(spark: SparkSession, d: str) -> DataFrame:
     edges = fx.links(spark, d).select(F.col("src").alias("row"), F.col("dst").alias("col"), F.lit(1.0).alias("w"))
-    return _long(spmm.blocked_product(sparse.block_format(edges, 8, 8), fx.nodes(spark, d), 8, num_rows=fx.node_count(spark, d)))
+    return _long(spmm.blocked_product(sparse.block_format(edges, 8, 8, unique=True), fx.nodes(spark, d), 8, num_rows=fx.node_count(spark, d)))
 
 
 @query(f"SELECT {_N} AS num_nodes, (SELECT count(*) FROM lineitem) AS num_edges, max(len(embedding))::BIGINT AS in_channels, (max(label) + 1)::BIGINT AS num_classes FROM embeddings")

@@ -85,3 +85,16 @@ def test_numbering_writes_only_what_is_kept(hot, monkeypatch):
     assert set(seen[0].columns) == {"v", "_at", "_block"}
     rows = sorted(hot.collect(), key=lambda r: (r.idx, r.pos))
     assert [r.v for r in sorted(got, key=lambda r: r.place)] == [r.v for r in rows]
+
+
+def test_tiles_are_plain_aggregates(spark):
+    """Neither lists nor maps nor a second merge of distinct entries; narrow tiles, gaps and negative weights as by the general way."""
+    entries = spark.createDataFrame([(0, 5, 1.5), (0, 7, -2.0), (1, 5, 3.0), (3, 9, 0.0), (4, 1, 2.0), (9, 2, None), (9, 4, 5.0), (9, 6, 1.0)], "row long, col long, w double")
+    found = sparse.block_format(entries, 4, 2, unique=True)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ObjectHashAggregate" not in plan and exchanges(found) == 1
+    got = {(r.win, r.blk): (r.width, r.cols, r.vals) for r in found.collect()}
+    assert got == {
+        (0, 0): (2, [5, 7], [1.5, -2.0, 3.0, 0.0, 0.0, 0.0, 0.0, 0.0]), (0, 1): (1, [9], [0.0, 0.0, 0.0, 0.0]),
+        (1, 0): (1, [1], [2.0, 0.0, 0.0, 0.0]), (2, 0): (2, [2, 4], [0.0, 0.0, 1.0, 5.0, 0.0, 0.0, 0.0, 0.0]), (2, 1): (1, [6], [0.0, 1.0, 0.0, 0.0]),
+    }
