@@ -221,7 +221,7 @@ def sddmm_grid(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_SDDMM.format("dst AS row", "src AS col"))
 def sddmm_csr(spark: SparkSession, d: str) -> DataFrame:
-    edges, nodes = fx.links(spark, d), fx.nodes(spark, d)
+    edges, nodes = stash(fx.links(spark, d), "links"), fx.nodes(spark, d)
     found = sddmm.sddmm_csr(sparse.coo_to_csr(edges), sparse.csr_entries(edges), nodes, nodes)
     return found.select("row", "col", F.col("value").cast("long").alias("value"))
 
