@@ -192,8 +192,7 @@ def mh_spmm(spark: SparkSession, d: str) -> DataFrame:
 def mh_spmm_wide(spark: SparkSession, d: str) -> DataFrame:
     """Whole vectors as every head, plus the head's number."""
     nodes = fx.nodes(spark, d)
-    heads = nodes.select("id", F.transform(F.sequence(F.lit(0), F.lit(fx.HEADS - 1)), lambda h: F.transform("x", lambda v: v + h)).alias("x"))
-    return _heads(spmm.mh_spmm(fx.head_edges(spark, d), heads, fx.HEADS, dim_of(nodes)))
+    return _heads(spmm.mh_spmm(fx.head_edges(spark, d), nodes, fx.HEADS, dim_of(nodes), shifts=[float(h) for h in range(fx.HEADS)]))
 
 
 @query(_HEADS)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segspark.operators import cells, layers
+from segspark.operators import cells, grad, layers, sparse, spmm
 
 N, M, P = 400, 40_000, 64
 
@@ -88,3 +88,76 @@ def test_attention_of_odd_vectors(many):
         cells.plan = kept
     near = lambda xs: {k: str(np.round(np.array(v, dtype=float), 9)) for k, v in xs.items()}
     assert near(found) == near(plain)
+
+
+def _summed(ends, x, w):
+    out = np.zeros((N, *x.shape[1:]))
+    np.add.at(out, ends[1], w * x[ends[0]])
+    return out
+
+
+def test_shared_heads_move_one_vector(many, ends, tmp_path, monkeypatch):
+    edges = written(many, tmp_path, ends).withColumn("w", F.array(F.col("w"), F.col("w") * 2, F.col("w") - 1))
+    x = np.random.default_rng(1).integers(-4, 5, (N, 70)).astype(float)
+    nodes = many.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    shifts = [0.0, 5.0, -2.0]
+    got, size = moved(many, lambda: {r.id: r.x for r in spmm.mh_spmm(edges, nodes, 3, 70, num_nodes=N, shifts=shifts).collect()})
+    w = np.stack([ends[2], ends[2] * 2, ends[2] - 1], axis=1)[:, :, None]
+    want = _summed(ends, x[:, None, :] + np.array(shifts)[:, None], w)
+    assert all(got[i] == want[i].tolist() for i in range(N))
+    shifted = lambda s: F.transform("x", lambda v: v + s)
+    heads = nodes.select("id", F.array(*[shifted(s) for s in shifts]).alias("x"))
+    assert {r.id: r.x for r in spmm.mh_spmm(edges, heads, 3, 70, num_nodes=N).collect()} == got
+    monkeypatch.setattr(cells, "applies", lambda *a: False)
+    by_task, more = moved(many, lambda: {r.id: r.x for r in spmm.mh_spmm(edges, nodes, 3, 70, num_nodes=N, shifts=shifts).collect()})
+    assert by_task == got and size < more / 2
+
+
+def test_propagation_joins_no_edge_with_degrees(many, ends, tmp_path):
+    edges = sparse.coalesce_edges(written(many, tmp_path, ends).where("src < 400 AND dst < 400").withColumn("w", F.abs("w") + 1))
+    edges.write.parquet(str(tmp_path / "merged"))
+    edges = many.read.parquet(str(tmp_path / "merged"))
+    x = np.random.default_rng(3).integers(-9, 9, (N, 16)).astype(float)
+    nodes = many.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    a = np.zeros((N, N))
+    rows = edges.collect()
+    for r in rows:
+        a[r.dst, r.src] = r.w
+    a[np.arange(N), np.arange(N)] = np.where(a.diagonal() > 0, a.diagonal(), 1.0)
+    root = a.sum(1) ** -0.5
+    a = root[:, None] * a * root
+    weight = np.random.default_rng(4).normal(size=(3, 16))
+    got, size = moved(many, lambda: {r.id: r.x for r in layers.sgc(nodes, edges, 2, weight, 16).collect()})
+    assert np.allclose([got[i] for i in range(N)], a @ a @ x @ weight.T)
+    assert size < 180 * len(rows)
+
+
+def test_gradient_of_compressed_rows(many, ends, tmp_path):
+    edges = written(many, tmp_path, ends).where("src < 400 AND w IS NOT NULL")
+    x = np.random.default_rng(3).integers(-9, 9, (N, 16)).astype(float)
+    nodes = many.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+    (of_nodes, _), _ = moved(many, lambda: grad.csr_product_grad(sparse.coo_to_csr(edges.where("dst IS NOT NULL")), sparse.csr_entries(edges.where("dst IS NOT NULL")), nodes, nodes, 16))
+    got = {r.id: r.x for r in of_nodes.collect()}
+    want = _summed((ends[1], ends[0]), x, ends[2][:, None])
+    assert all(got[i] == want[i].tolist() for i in range(N))
+
+
+@pytest.mark.parametrize("reduces", [["sum"], ["mean"], ["max", "sum"], ["min", "mean", "prod"]])
+@pytest.mark.parametrize("dim", [3, 70])
+def test_reductions_on_the_grid_equal_those_by_task(many, reduces, dim, monkeypatch):
+    """Short vectors, gaps, nulls, unknown weights and ends, in cells that are split."""
+    rng = np.random.default_rng(dim)
+    rows = [(i, [None if rng.random() < 0.1 else float(v) for v in rng.integers(-3, 4, dim - i % 3)]) for i in range(20)]
+    nodes = many.createDataFrame([*rows, (20, None), (21, []), (None, [1.0] * dim)], "id long, x array<double>")
+    end = lambda: [None if v == 25 else int(v) for v in rng.integers(0, 26, 120)]
+    edges = many.createDataFrame(list(zip(end(), end(), [None if v > 6 else float(v) for v in rng.integers(-5, 9, 120)], strict=True)), "src long, dst long, w double")
+    grid = cells.Grid(2, 3, many.createDataFrame([(0, 2), (3, 2), (5, 3)], "_cell long, _parts int"))
+    several = lambda: {r.id: r.x for r in spmm._reduced(edges, nodes, reduces, dim, True).where("id IS NOT NULL").collect()}
+    monkeypatch.setattr(cells, "applies", lambda *a: False)
+    want = several()
+    monkeypatch.setattr(cells, "applies", lambda *a: True)
+    monkeypatch.setattr(cells, "plan", lambda edges, nodes, *sizes: (grid, nodes))
+    got = several()
+    assert got.keys() == want.keys()
+    near = lambda x: [None if v is None else round(v, 9) for v in x]
+    assert all(near(got[i]) == near(want[i]) for i in want)
