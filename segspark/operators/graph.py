@@ -78,8 +78,8 @@ def fill_diagonal(edges: DataFrame, nodes: DataFrame, fill: float = 1.0) -> Data
     return edges.where("src <> dst").select("src", "dst", "w").union(nodes.select(F.col("id"), F.col("id"), F.lit(fill)))
 
 
-def gcn_norm(edges: DataFrame, nodes: DataFrame, improved: bool = False, self_loops: bool = True, flow: str = "source_to_target") -> DataFrame:
-    """(src, dst, w) with w / sqrt(degree[src] * degree[dst]), degrees as weight sums at dst (at src if the flow is reversed), 0 for degree 0."""
+def norm_parts(edges: DataFrame, nodes: DataFrame, improved: bool = False, self_loops: bool = True, flow: str = "source_to_target") -> tuple[DataFrame, DataFrame]:
+    """What gcn_norm() multiplies: edges (src, dst, w) with their loops, and (id, d) with degree ** -0.5 of every node. A product with normalised edges is d times the product of these edges with d times the vectors."""
     if flow not in ("source_to_target", "target_to_source"):
         raise ValueError(f"unknown flow {flow!r}")
     if "w" not in edges.columns:
@@ -87,5 +87,11 @@ def gcn_norm(edges: DataFrame, nodes: DataFrame, improved: bool = False, self_lo
     edges = edges.withColumn("w", F.coalesce("w", F.lit(1.0)))
     edges = add_remaining_self_loops(edges, nodes, 2.0 if improved else 1.0) if self_loops else edges.select("src", "dst", "w")
     scale = weighted_degree(edges, "dst" if flow == "source_to_target" else "src", nodes).select("id", inverse_sqrt(F.col("degree")).alias("d"))
+    return edges, scale
+
+
+def gcn_norm(edges: DataFrame, nodes: DataFrame, improved: bool = False, self_loops: bool = True, flow: str = "source_to_target") -> DataFrame:
+    """(src, dst, w) with w / sqrt(degree[src] * degree[dst]), degrees as weight sums at dst (at src if the flow is reversed), 0 for degree 0."""
+    edges, scale = norm_parts(edges, nodes, improved, self_loops, flow)
     joined = edges.join(scale.withColumnsRenamed({"id": "src", "d": "_s"}), "src").join(scale.withColumnsRenamed({"id": "dst", "d": "_t"}), "dst")
     return joined.select("src", "dst", (F.col("_s") * F.col("w") * F.col("_t")).alias("w"))
