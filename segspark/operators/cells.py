@@ -11,12 +11,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import reduction
 from ..plans.layout import WIDTH
 from ..session import stash, stashed, will_broadcast
+from .sddmm import Block, inner_products
 from .segment import SAMPLE, SHARE, hubs
 
 #: Bytes of vectors that a cell holds at most, and edges that it has about, if there are very many.
@@ -42,48 +43,68 @@ class Grid:
         return self.block("dst", self.rows) * self.columns + self.block("src", self.columns)
 
 
-def shape(vector_bytes: int, sum_bytes: int, cells: int) -> tuple[int, int]:
-    """Blocks (of destinations, of sources): so many cells at least, BYTES of vectors in a block of sources at most, and then the fewest bytes sent: a vector to every block of destinations, a sum from every block of sources."""
-    least, best = max(1, -(-vector_bytes // BYTES)), []
+def shape(vector_bytes: int, sum_bytes: int, cells: int, target_bytes: int = 0) -> tuple[int, int]:
+    """Blocks (of destinations, of sources): so many cells at least, BYTES of vectors in a block at most, and then the fewest bytes sent: a vector to every block of destinations, a sum from every block of sources and, if destinations have vectors too, each of these to every block of sources."""
+    (least, fewest), best = (max(1, -(-b // BYTES)) for b in (vector_bytes, target_bytes)), []
     for columns in range(least, max(least, cells) + 1):
-        rows = max(1, -(-cells // columns))
-        best.append((vector_bytes * rows + sum_bytes * columns, rows, columns))
+        rows = max(fewest, -(-cells // columns))
+        best.append((vector_bytes * rows + (sum_bytes + target_bytes) * columns, rows, columns))
     return min(best)[1:]
 
 
+def _cells(spark: SparkSession, edges: int, sent: int, back: int) -> int:
+    """How many cells for so many edges, with bytes of vectors sent to and sums and vectors sent along the other side of the grid."""
+    partitions, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    sides = EDGE_BYTES * edges / max(1.0, 2 * (sent * back) ** 0.5)
+    return max(min(SHARE * partitions, max(int(sides**2), SHARE * cores)), edges // EDGES)
+
+
+def _grid(seen: DataFrame, rows: int, columns: int) -> Grid:
+    """The grid of these sides, its hot cells from a sample of the edges."""
+    grid = Grid(rows, columns, None)
+    grid.hot = stash(hubs(seen.select(grid.cell().alias("_cell")), "_cell", max(1, rows * columns // 2)), "hot")
+    return grid
+
+
 def plan(edges: DataFrame, nodes: DataFrame, vector: int, total: int) -> tuple[Grid | None, DataFrame]:
     """The grid for edges(src, dst) and nodes(id, x) with vectors of so many numbers and sums of so many, and the nodes as a written table; no grid where sums taken by task are smaller than what the grid sends.
 
     The numbers of edges and destinations, and the hot cells, come from a sample of the edges, which decides nothing but how rows are dealt.
     """
     spark = edges.sparkSession
-    partitions, cores = int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     seen = stash(edges.select("src", "dst").sample(1 / SAMPLE, seed=1), "seen")
     count, targets = seen.agg(F.count("*"), F.approx_count_distinct("dst")).first()
     nodes, count = stashed(nodes, "vectors"), count * SAMPLE
     vectors, sums = 8 * vector * nodes.count(), 8 * total * targets
-    sides = EDGE_BYTES * count / max(1.0, 2 * (vectors * sums) ** 0.5)
-    rows, columns = shape(vectors, sums, max(min(SHARE * partitions, max(int(sides**2), SHARE * cores)), count // EDGES))
+    rows, columns = shape(vectors, sums, _cells(spark, count, vectors, sums))
     if vectors * rows + min(sums * columns, 8 * total * count) >= vectors + min(sums * partitions, 8 * total * count):
         return None, nodes
-    grid = Grid(rows, columns, None)
-    grid.hot = stash(hubs(seen.select(grid.cell().alias("_cell")), "_cell", max(1, rows * columns // 2)), "hot")
-    return grid, nodes
+    return _grid(seen, rows, columns), nodes
 
 
-def applies(edges: DataFrame, nodes: DataFrame) -> bool:
-    """Whether a grid may be of use: nodes are not broadcast, and ids are whole numbers."""
-    kinds = {dict(edges.dtypes).get("src"), dict(edges.dtypes).get("dst"), dict(nodes.dtypes).get("id")}
-    return kinds <= {"bigint", "int", "smallint", "tinyint"} and not will_broadcast(nodes)
+def plan_both(seen: DataFrame, sources: DataFrame, targets: DataFrame, dim: int) -> Grid:
+    """The grid for edges that need the vectors of both ends, of dim numbers, and whose sums have as many; seen(src, dst) is one edge in SAMPLE."""
+    seen = stash(seen.select("src", "dst"), "seen")
+    count, reached = seen.agg(F.count("*"), F.approx_count_distinct("dst")).first()
+    count *= SAMPLE
+    sent, held, sums = 8 * dim * sources.count(), 8 * dim * targets.count(), 8 * dim * reached
+    return _grid(seen, *shape(sent, sums, _cells(seen.sparkSession, count, sent, sums + held), held))
 
 
-def deal(grid: Grid, edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None) -> DataFrame:
-    """(_key, _a, _b, _x): edges(src, dst, _x), sources(id, _x) and, if given, targets(id, _x) by cell; in a cell, vectors come before edges, and edges are in order of dst, then src."""
+def applies(edges: DataFrame, *nodes: DataFrame) -> bool:
+    """Whether a grid may be of use: some table of nodes is not broadcast, and ids are whole numbers."""
+    kinds = {dict(edges.dtypes).get("src"), dict(edges.dtypes).get("dst"), *(dict(n.dtypes).get("id") for n in nodes)}
+    return kinds <= {"bigint", "int", "smallint", "tinyint"} and not all(will_broadcast(n) for n in nodes)
+
+
+def deal(grid: Grid, edges: DataFrame, sources: DataFrame, targets: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(_key, _a, _b, _x, keep): edges(src, dst, _x, keep), sources(id, _x) and, if given, targets(id, _x) by cell; in a cell, vectors come before edges, and edges are in order of dst, then src. keep are columns of edges of type long."""
     key = lambda part, kind: ((F.col("_cell") * _PARTS + part) * 4 + kind).alias("_key")
-    part = F.pmod(F.xxhash64("_a", "_b", "_x"), F.coalesce("_parts", F.lit(1)).cast("long"))
+    part = F.pmod(F.xxhash64("_a", "_b", "_x", *keep), F.coalesce("_parts", F.lit(1)).cast("long"))
     split = lambda rows: rows.join(F.broadcast(grid.hot), "_cell", "left")  # noqa: E731 - fewer cells than hubs() says
-    placed = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(grid.cell().alias("_cell"), F.col("src").cast("long").alias("_a"), F.col("dst").cast("long").alias("_b"), "_x")
-    rows = split(placed).select(key(part, 2), "_a", "_b", "_x")
+    placed = edges.where("src IS NOT NULL AND dst IS NOT NULL").select(grid.cell().alias("_cell"), F.col("src").cast("long").alias("_a"), F.col("dst").cast("long").alias("_b"), "_x", *keep)
+    rows = split(placed).select(key(part, 2), "_a", "_b", "_x", *keep)
     to_all = lambda n, at: F.explode(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
     sent = [(sources, 1, to_all(grid.rows, lambda r: r * grid.columns + grid.block("id", grid.columns)))]
     if targets is not None:
@@ -91,7 +112,7 @@ def deal(grid: Grid, edges: DataFrame, sources: DataFrame, targets: DataFrame |
     for nodes, kind, cells in sent:
         each = split(nodes.where("id IS NOT NULL").select(cells.alias("_cell"), F.col("id").cast("long").alias("_a"), "_x"))
         each = each.withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)))
-        rows = rows.union(each.select(key(F.col("_part"), kind), "_a", F.lit(0).cast("long"), "_x"))
+        rows = rows.union(each.select(key(F.col("_part"), kind), "_a", F.lit(0).cast("long"), "_x", *(F.lit(0).cast("long") for _ in keep)))
     return rows.repartition(F.shiftright("_key", 2)).sortWithinPartitions("_key", "_b", "_a")
 
 
@@ -141,12 +162,14 @@ class Run:
     src: np.ndarray
     dst: np.ndarray
     x: pa.Array
+    kept: list[pa.Array]
 
 
-def runs(batches: Iterator[pa.RecordBatch], wide: int, target_wide: int = 0) -> Iterator[Run]:
+def runs(batches: Iterator[pa.RecordBatch], wide: int, target_wide: int = 0, block: Callable = Vectors) -> Iterator[Run]:
+    """The runs of deal(); block makes a block of pieces (ids, lists) and a width. Without target_wide the vectors of destinations are passed over."""
     cell, held, blocks = None, ([], []), None
     for batch in batches:
-        keys, a, b, x = (batch.column(i) for i in range(4))
+        keys, a, b, x, *kept = batch.columns
         keys, a, b = keys.to_numpy(), a.to_numpy(), b.to_numpy()
         cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
         for s, e in zip(np.r_[0, cuts], np.r_[cuts, len(keys)], strict=True):
@@ -155,11 +178,12 @@ def runs(batches: Iterator[pa.RecordBatch], wide: int, target_wide: int = 0) ->
             if cell != keys[s] >> 2:
                 cell, held, blocks = keys[s] >> 2, ([], []), None
             if keys[s] & 3 < 2:
-                held[keys[s] & 3].append((a[s:e].copy(), x.slice(s, e - s)))
+                if keys[s] & 3 or target_wide:
+                    held[keys[s] & 3].append((a[s:e].copy(), x.slice(s, e - s)))
                 continue
             if blocks is None:
-                blocks, held = (Vectors(held[1], wide), Vectors(held[0], target_wide)), ([], [])
-            yield Run(int(cell), *blocks, a[s:e], b[s:e], x.slice(s, e - s))
+                blocks, held = (block(held[1], wide), block(held[0], target_wide)), ([], [])
+            yield Run(int(cell), *blocks, a[s:e], b[s:e], x.slice(s, e - s), [k.slice(s, e - s) for k in kept])
 
 
 def starts_of(dst: np.ndarray) -> np.ndarray:
@@ -202,7 +226,12 @@ def merge(sums: DataFrame, reduces: list[str], dim: int) -> DataFrame:
 
 
 def reduce_edges(grid: Grid, edges: DataFrame, nodes: DataFrame, reduces: list[str], dim: int, weights: int = 0, shifts: list[float] | None = None) -> DataFrame:
-    """(id, x): for every dst the reductions, end to end, of the vectors of nodes(id, _x) at the sources of edges(src, dst, _x); components that are not there count for nothing.
+    """reduce_dealt() of edges(src, dst, _x) and nodes(id, _x)."""
+    return reduce_dealt(deal(grid, edges, nodes), reduces, dim, weights, shifts)
+
+
+def reduce_dealt(dealt: DataFrame, reduces: list[str], dim: int, weights: int = 0, shifts: list[float] | None = None) -> DataFrame:
+    """(id, x): for every dst the reductions, end to end, of the vectors at the sources of the edges of deal(); components that are not there count for nothing.
 
     _x of an edge holds as many weights, each for an equal part of the dim components. With shifts, nodes have one vector for all of these parts, and part h is that vector plus shifts[h].
     """
@@ -242,7 +271,21 @@ def reduce_edges(grid: Grid, edges: DataFrame, nodes: DataFrame, reduces: list[s
                     columns = [pa.array(dst[starts]), pa.array(np.full(len(starts), i * chunks + c, dtype=np.int32)), lists_of(found, None if counts is None else counts > 0)]
                     yield pa.RecordBatch.from_arrays(columns, names=["id", "_at", "x"])
 
-    return merge(deal(grid, edges, nodes).mapInArrow(run, "id long, _at int, x array<double>"), reduces, dim)
+    return merge(dealt.mapInArrow(run, "id long, _at int, x array<double>"), reduces, dim)
+
+
+def products_dealt(dealt: DataFrame, keep: str) -> DataFrame:
+    """(keep, value): for every edge of deal() whose nodes are both there, with this one column kept, the inner product of its source's and its destination's vector; null where sddmm() says."""
+
+    def block(pieces: list[tuple[np.ndarray, pa.Array]], _: int) -> Block:
+        return Block([(pa.array(ids), x) for ids, x in pieces])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in runs(batches, 1, 1, block):
+            at, value = inner_products(r.sources, r.targets, r.src, r.dst)
+            yield pa.RecordBatch.from_arrays([r.kept[0].take(pa.array(at)), value], names=[keep, "value"])
+
+    return dealt.mapInArrow(run, f"{keep} long, value double")
 
 
 def attend(grid: Grid, edges: DataFrame, sources: DataFrame, targets: DataFrame, heads: int, dim: int, leaky: Callable[[np.ndarray], np.ndarray]) -> DataFrame:

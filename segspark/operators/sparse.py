@@ -36,7 +36,8 @@ def number_rows(rows: DataFrame, out: str, order: list[str], block: int = BLOCK,
     before = Window.orderBy("_block_range").rowsBetween(Window.unboundedPreceding, -1)
     counts = dealt.groupBy("_block_range").agg(F.count("*").alias("_n"))
     bases = counts.select("_block_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
-    return dealt.join(bases, "_block_range").withColumn(out, F.col("_base") + F.col("_at").bitwiseAND((1 << _PLACE) - 1)).drop("_at", "_block_range", "_base")
+    # a row a partition; without the hint Spark, which can't tell the size of a window, deals all rows by partition for this join
+    return dealt.join(F.broadcast(bases), "_block_range").withColumn(out, F.col("_base") + F.col("_at").bitwiseAND((1 << _PLACE) - 1)).drop("_at", "_block_range", "_base")
 
 
 def degree(edges: DataFrame, key: str = "dst", num_nodes: int | DataFrame | None = None) -> DataFrame:
@@ -90,11 +91,12 @@ def lookup_rows(rows: DataFrame, positions: DataFrame, wide: int = BLOCK) -> Dat
     """
     spans = rows.where("ptr_end > ptr_begin").select("row", F.col("ptr_begin").alias("_from"), F.col("ptr_end").alias("_to"))
     marks = _cut(_cut(spans, wide << 16), wide).select(F.col("_from").alias("_at"), F.struct("row", "_to").alias("_mark"))
-    asked = positions.select(F.col("pos").alias("_at"), F.struct(*positions.columns).alias("_asked"))
+    kept, kind = [c for c in positions.columns if c != "pos"], dict(positions.dtypes)["pos"]
+    asked = positions.select(F.col("pos").alias("_at"), F.struct(F.lit(True).alias("_is"), *kept).alias("_asked"))
     both = asked.unionByName(marks, allowMissingColumns=True).withColumn("_range", F.expr(f"_at div {wide}"))
     upto = Window.partitionBy("_range").orderBy("_at", F.col("_asked").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("_mark", F.last("_mark", ignorenulls=True).over(upto)).where("_asked IS NOT NULL AND _at < _mark._to")
-    return found.select("_asked.*", F.col("_mark.row").alias("row"))
+    return found.select(*(F.col("_at").cast(kind).alias(c) if c == "pos" else F.col("_asked")[c].alias(c) for c in positions.columns), F.col("_mark.row").alias("row"))
 
 
 def csr_to_coo(rows: DataFrame, entries: DataFrame) -> DataFrame:

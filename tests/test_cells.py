@@ -161,3 +161,53 @@ def test_reductions_on_the_grid_equal_those_by_task(many, reduces, dim, monkeypa
     assert got.keys() == want.keys()
     near = lambda x: [None if v is None else round(v, 9) for v in x]
     assert all(near(got[i]) == near(want[i]) for i in want)
+
+
+def test_both_gradients_take_one_exchange_of_entries(many, ends, tmp_path):
+    """Entries are numbered and looked up without being dealt for a join with a row a partition, and both gradients read the same cells."""
+    edges = written(many, tmp_path, ends).where("dst IS NOT NULL")
+    x = np.random.default_rng(3).integers(-9, 9, (N, 16)).astype(float)
+    nodes = many.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, x array<double>")
+
+    def both():
+        of_nodes, of_entries = grad.csr_product_grad(sparse.coo_to_csr(edges), sparse.csr_entries(edges), nodes, nodes, 16)
+        return of_nodes.select("id", F.lit(None).cast("double").alias("value"), "x").union(of_entries.select("pos", "value", F.lit(None))).collect()
+
+    rows, size = moved(many, both)
+    want = _summed((ends[1], ends[0]), x, ends[2][:, None])
+    want[5] += x[2]  # the edge of unknown weight
+    got = {r.id: r.x for r in rows if r.x is not None}
+    assert got == {i: want[i].tolist() for i in range(N)}
+    order = sorted([(t, s) for s, t in zip(*ends[:2], strict=True)] + [(1, 999), (1, -1), (2, 5)])
+    products = {r.id: r.value for r in rows if r.x is None}
+    assert products == {p: float(x[t] @ x[s]) for p, (t, s) in enumerate(order) if 0 <= s < N}
+    assert size < 80 * M
+
+
+def test_gradients_on_the_grid_equal_those_of_broadcast_nodes(many, monkeypatch):
+    """Null, short and unknown vectors, unknown weights and repeated entries, in cells that are split."""
+    rng = np.random.default_rng(11)
+    table = lambda: many.createDataFrame([*((i, [None if rng.random() < 0.05 else float(v) for v in rng.integers(-3, 4, 6 - (i % 5 == 0))]) for i in range(20)), (20, None), (21, [])], "id long, x array<double>")
+    upstream, nodes = table(), table().where("id <> 3")
+    end = lambda: [int(v) for v in rng.integers(0, 25, 150)]
+    edges = many.createDataFrame(list(zip(end(), end(), [None if v > 6 else float(v) for v in rng.integers(-5, 9, 150)], strict=True)), "src long, dst long, w double")
+    grid = cells.Grid(2, 3, many.createDataFrame([(0, 2), (3, 2), (5, 3)], "_cell long, _parts int"))
+    entries = sparse.csr_entries(edges)
+
+    def found():
+        of_nodes, of_entries = grad.csr_product_grad(sparse.coo_to_csr(edges), entries, upstream, nodes, 6)
+        return sorted((r.id, str(r.x)) for r in of_nodes.collect()), sorted((r.pos, r.value is None, r.value or 0) for r in of_entries.collect())
+
+    monkeypatch.setattr(cells, "plan_both", lambda *a: grid)
+    got = found()
+    many.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        want = found()
+    finally:
+        many.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    assert got == want and any(v[1] for v in got[1])
+
+
+def test_both_sides_bound_the_blocks():
+    rows, columns = cells.shape(10 * cells.BYTES, cells.BYTES, 4, 30 * cells.BYTES)
+    assert columns >= 10 and rows >= 30
