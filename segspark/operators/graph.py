@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import inverse_sqrt
-from .sparse import weighted_degree
+from .sparse import coalesce_edges, weighted_degree
 
 DEFAULT_WIDTH = 32
 
@@ -73,6 +73,12 @@ def add_remaining_self_loops(edges: DataFrame, nodes: DataFrame, fill: float = 1
     return edges.where("src <> dst").select("src", "dst", "w").union(ours)
 
 
+def merge_loops(edges: DataFrame) -> DataFrame:
+    """(src, dst, w) with the loops of a node added up to one; other edges as they are."""
+    others = edges.where("src <> dst").select("src", "dst", F.coalesce("w", F.lit(1.0)).alias("w"))
+    return others.union(coalesce_edges(edges.where("src = dst")))
+
+
 def fill_diagonal(edges: DataFrame, nodes: DataFrame, fill: float = 1.0) -> DataFrame:
     """(src, dst, w) with the diagonal set to fill."""
     return edges.where("src <> dst").select("src", "dst", "w").union(nodes.select(F.col("id"), F.col("id"), F.lit(fill)))

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from ..session import scratch, stash
 from .segment import hubs
+from .sparse import coalesce_edges
 
 
-def _save(rows: DataFrame, table: str, key: str, buckets: int, then: list[str], path: str | None) -> None:
-    """rows as a table in buckets of key, one file a bucket, sorted within."""
-    writer = rows.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key, *then).mode("overwrite")
+def _save(rows: DataFrame, table: str, key: str, buckets: int, then: list[str], path: str | None, merge: bool = False) -> None:
+    """rows as a table in buckets of key, one file a bucket, sorted within; edges are merged where they lie if merge says so, without an exchange of their own."""
+    dealt = rows.repartition(buckets, key)
+    writer = (coalesce_edges(dealt) if merge else dealt).write.bucketBy(buckets, key).sortBy(key, *then).mode("overwrite")
     (writer.option("path", f"{path}/{table}") if path else writer).saveAsTable(table)
 
 
@@ -37,11 +39,11 @@ class StoredGraph:
     hubs: DataFrame
 
     @classmethod
-    def save(cls, nodes: DataFrame, edges: DataFrame, name: str, buckets: int | None = None, path: str | None = None) -> StoredGraph:
+    def save(cls, nodes: DataFrame, edges: DataFrame, name: str, buckets: int | None = None, path: str | None = None, merge: bool = False) -> StoredGraph:
         """Write the tables name_nodes, name_edges, name_hub_edges and name_hubs, to the warehouse or to folders in path.
 
         buckets should be what spark.sql.shuffle.partitions is for the passes to come (as it is now, if not given); other numbers are right as well, but cost an exchange a layer. Weights that are
-        missing or null are 1. Edges without a source or destination meet nothing and go.
+        missing or null are 1. Edges without a source or destination meet nothing and go. With merge the weights of repeated edges are added up.
         """
         spark = nodes.sparkSession
         buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -50,8 +52,8 @@ class StoredGraph:
         found = stash(hubs(edges, "src").select("src"), "hubs")
         small = F.broadcast(found)
         _save(nodes.select("id", "x"), f"{name}_nodes", "id", buckets, [], path)
-        _save(edges.join(small, "src", "left_anti"), f"{name}_edges", "src", buckets, ["dst"], path)
-        _save(edges.join(small, "src", "left_semi"), f"{name}_hub_edges", "dst", buckets, ["src"], path)
+        _save(edges.join(small, "src", "left_anti"), f"{name}_edges", "src", buckets, ["dst"], path, merge)
+        _save(edges.join(small, "src", "left_semi"), f"{name}_hub_edges", "dst", buckets, ["src"], path, merge)
         _save(found, f"{name}_hubs", "src", 1, [], path)
         return cls.open(spark, name)
 
@@ -76,10 +78,14 @@ class StoredGraph:
 
     def cut(self, nodes: DataFrame) -> DataFrame:
         """nodes(id, x), written in the graph's buckets: cuts lineage between layers and keeps vectors where their edges are."""
-        path = scratch(nodes.sparkSession, "layer")
+        return self.keep(nodes.select("id", "x"))
+
+    def keep(self, rows: DataFrame) -> DataFrame:
+        """rows(id, ...), written in the graph's buckets."""
+        path = scratch(rows.sparkSession, "layer")
         table = path.rsplit("/", 1)[1].replace("-", "_")
-        _save(nodes.select("id", "x"), table, "id", self.buckets, [], path)
-        return nodes.sparkSession.table(table)
+        _save(rows, table, "id", self.buckets, [], path)
+        return rows.sparkSession.table(table)
 
     def drop(self) -> None:
         """Delete the tables."""

@@ -536,9 +536,17 @@ def gnn_stack(spark: SparkSession, d: str) -> DataFrame:
     return _long(stack(nodes, edges), kind="double", digits=3)
 
 
-def _stored(spark: SparkSession, nodes: DataFrame, edges: DataFrame) -> StoredGraph:
+def _stored(spark: SparkSession, nodes: DataFrame, edges: DataFrame, merge: bool = False) -> StoredGraph:
     """The graph in tables of the shared folder, which go when the driver ends."""
-    return StoredGraph.save(nodes, edges, f"graph_{uuid.uuid4().hex}", path=scratch(spark, "graph"))
+    return StoredGraph.save(nodes, edges, f"graph_{uuid.uuid4().hex}", path=scratch(spark, "graph"), merge=merge)
+
+
+def _stored_square(spark: SparkSession, d: str) -> tuple[StoredGraph, DataFrame, int]:
+    """The square graph with a loop at every node, merged as it is stored, what scales its vectors, and their length. Edges move once, to their buckets."""
+    nodes = fx.nodes(spark, d)
+    looped, roots = graph.norm_parts(graph.merge_loops(fx.edges(spark, d, fx.SQUARE)), nodes)
+    stored = _stored(spark, nodes, looped, merge=True)
+    return stored, stored.keep(roots), dim_of(nodes)
 
 
 @query(_product(_e(fx.SQUARE), True) + _filled("P", _DIM, ids=_N))
@@ -550,10 +558,9 @@ def stored_product(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ORACLES["gnn_stack"])
 def stored_stack(spark: SparkSession, d: str) -> DataFrame:
-    """The stack of gnn_stack over edges that are normalised once and stored in the buckets of the nodes."""
-    nodes, edges, dim = _square(spark, d)
-    stored = _stored(spark, nodes, graph.gcn_norm(edges, nodes))
-    stack = layers.Stack([layers.GCN(_weight(_HIDDEN, dim), normalize=False), layers.GCN(_weight(_OUT, _HIDDEN, 1), normalize=False)], cut=stored.cut)
+    """The stack of gnn_stack over edges that are merged as they are stored in the buckets of the nodes."""
+    stored, roots, dim = _stored_square(spark, d)
+    stack = layers.Stack([layers.normalized(layers.GCN(w, normalize=False), roots) for w in (_weight(_HIDDEN, dim), _weight(_OUT, _HIDDEN, 1))], cut=stored.cut)
     return _long(stack(stored.nodes, stored), kind="double", digits=3)
 
 
@@ -567,9 +574,8 @@ def _normal_of(source: str, name: str) -> str:
     J AS (SELECT * FROM Y1 UNION ALL SELECT id, k + {_HIDDEN}, v FROM Y2 UNION ALL SELECT id, k + 2 * {_HIDDEN}, v FROM Y3), R AS (SELECT id, k, v + k - 3 AS v FROM {_linear('J', _OUT, 3)})""" + _rounded("R", 3))
 def knowledge_stack(spark: SparkSession, d: str) -> DataFrame:
     """Three layers, each normalised over all nodes and activated, all outputs joined end to end and mapped to the classes."""
-    nodes, edges, dim = _square(spark, d)
-    stored = _stored(spark, nodes, graph.gcn_norm(edges, nodes))
-    convolutions = [layers.GCN(_weight(_HIDDEN, width, i), normalize=False) for i, width in enumerate((dim, _HIDDEN, _HIDDEN))]
+    stored, roots, dim = _stored_square(spark, d)
+    convolutions = [layers.normalized(layers.GCN(_weight(_HIDDEN, width, i), normalize=False), roots) for i, width in enumerate((dim, _HIDDEN, _HIDDEN))]
     out = layers.linear(_weight(_OUT, 3 * _HIDDEN, 3), np.arange(_OUT) - 3.0)
     stack = layers.Stack([lambda n, e, c=c: stored.cut(c(n, e)) for c in convolutions], norm="batch", dims=[_HIDDEN] * 3, jk="cat", out=out)
     return _long(stack(stored.nodes, stored), kind="double", digits=3)

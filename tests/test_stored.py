@@ -4,10 +4,13 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from segspark import queries
 from segspark.functions import vectors
-from segspark.operators import layers, segment, spmm
+from segspark.operators import graph, layers, segment, sparse, spmm
 from segspark.operators.stored import StoredGraph
+from segspark.session import stash
 
 N, M = 60, 3000
 SETTINGS = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8", "spark.sql.adaptive.enabled": "false"}
@@ -133,3 +136,30 @@ def test_hubs_are_few_and_vectors_stay(plain):
     assert sorted(map(tuple, sent.select("src", "dst", "w").collect())) == sorted(map(tuple, edges.collect()))
     assert vectors.to_long(sent.select("src", "x").distinct().withColumnRenamed("src", "id"), ["id"]).count() == nodes.count() * 5
     stored.drop()
+
+
+@pytest.mark.parametrize("hub", [True, False])
+def test_normalised_layers_move_edges_once(plain, hub, tmp_path):
+    """Merged as they are stored and never joined with degrees, edges give what gcn_norm() gives of merged edges, with one exchange to their buckets."""
+    edges, nodes, _ = _graph(plain, hub)
+    edges = edges.withColumn("w", F.when(F.col("src") % 7 != 0, F.abs("w") + 1)).union(plain.createDataFrame([(3, 3, 2.0), (3, 3, 4.0), (None, 3, 1.0), (3, None, 1.0)], edges.schema))
+    weight = np.random.default_rng(2).integers(-3, 4, (4, 5)).astype(float)
+    want = layers.GCN(weight)(nodes, sparse.coalesce_edges(edges))
+    looped, roots = graph.norm_parts(graph.merge_loops(edges), nodes)
+    stored = StoredGraph.save(nodes, looped, "stored_e", path=f"file://{tmp_path}", merge=True)
+    kept = plain.table("stored_e_edges").union(plain.table("stored_e_hub_edges").select("src", "dst", "w"))
+    assert kept.select("src", "dst").distinct().count() == kept.count() == N + edges.where("src <> dst").select("src", "dst").distinct().count()
+    found = layers.normalized(layers.GCN(weight, normalize=False), stored.keep(roots))(stored.nodes, stored)
+    assert np.allclose(_matrix(found), _matrix(want))
+    stored.drop()
+    plan = sparse.coalesce_edges(edges.repartition(8, "src"))._jdf.queryExecution().executedPlan().toString()  # what save() writes
+    assert len(re.findall(r"\bExchange ", plan)) == 1
+
+
+def test_stored_square_writes_no_edges_but_those_of_the_graph(plain, monkeypatch):
+    """Neither merged nor normalised edges are written or dealt on their own."""
+    names = []
+    monkeypatch.setattr(queries, "stash", lambda df, name="table": names.append(name) or stash(df, name))
+    stored, roots, dim = queries._stored_square(plain, "/root/testdata/sf0.001")
+    assert names == [] and dim == 64 and roots.columns == ["id", "d"] and roots.count() == stored.nodes.count()
+    stored.drop()
